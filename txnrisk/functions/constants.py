@@ -26,9 +26,9 @@ WEIGHT_EXTREME = 20
 WEIGHT_TYPE = 15
 WEIGHT_FLAGGED = 5
 
-# Right-closed upper edges with their labels.
+# Right-closed bins with their labels. Risk tiers are equally wide: 25, 50, 75, 100.
 RISK_TIERS = ["Low", "Medium", "High", "Critical"]
-RISK_EDGES = [25, 50, 75, 100]
+RISK_TIER_WIDTH = 25
 ALERT_PRIORITIES = ["Low", "Medium", "High", "Critical"]
 ALERT_EDGES = [0.3, 0.6, 0.85, 1.0]
 QUEUE_TIERS = ["High", "Critical"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from txnrisk.functions import constants as C
-from txnrisk.functions.scalars import clip, flag, ratio, right_closed, rnd
+from txnrisk.functions.scalars import clip, flag, ratio, rnd
 
 
 def is_extreme_amount() -> Column:
@@ -29,7 +29,14 @@ def risk_score() -> Column:
 
 
 def risk_tier(score: Column) -> Column:
-    return right_closed(score, C.RISK_EDGES, C.RISK_TIERS)
+    """Tier of a 0 to 100 score: [0,25] (25,50] (50,75] (75,100].
+
+    One expression of the score rather than a chain of comparisons: a filter on the
+    tier is pushed below the projection, and a chain would work the score out four times.
+    """
+    place = F.greatest(F.ceil(score / C.RISK_TIER_WIDTH), F.lit(1)).cast("int")
+    labels = F.array(*[F.lit(t) for t in C.RISK_TIERS])
+    return F.when(score.isNotNull(), F.try_element_at(labels, place))
 
 
 def add_features(df: DataFrame) -> DataFrame:

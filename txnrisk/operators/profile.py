@@ -33,14 +33,17 @@ def _groups(df: DataFrame, by: str) -> list:
 def over_domain(df: DataFrame, key: str, domain: Sequence, fill: dict[str, object]) -> DataFrame:
     """One row per value of a short fixed list, in its order, filled where ``df`` has none.
 
-    ``df`` has one row per key; only keys of the list are broadcast, so the size is bounded by it.
+    ``df`` has one row per key. Its rows for the list are packed into one map, no larger
+    than the list. A join would do too, but pushes "key is not null" down to the raw
+    rows, where a derived key is worked out a second time.
     """
-    values = F.array(*[F.lit(v) for v in domain])
-    listed = df.sparkSession.range(len(domain)).select(
-        F.col("id").alias("_place"), F.element_at(values, (F.col("id") + 1).cast("int")).alias(key))
-    known = F.broadcast(df.where(F.col(key).isin(list(domain))))
-    joined = listed.join(known, key, "left").orderBy("_place")
-    return joined.select(*df.columns).na.fill(fill)
+    others = [c for c in df.columns if c != key]
+    entry = F.when(F.col(key).isin(list(domain)), F.struct(key, F.struct(*others)))
+    packed = df.agg(F.map_from_entries(F.collect_list(entry)).alias("_found"))
+    listed = F.array(*[F.lit(v) for v in domain]).cast(f"array<{df.schema[key].dataType.simpleString()}>")
+    rows = packed.select("_found", F.explode(listed).alias(key))
+    hit = F.try_element_at("_found", F.col(key))
+    return rows.select(*[F.col(c) if c == key else hit[c].alias(c) for c in df.columns]).na.fill(fill)
 
 
 def describe(df: DataFrame, columns: Sequence[str] = tuple(C.DESCRIBED_COLUMNS)) -> DataFrame:
@@ -65,7 +68,8 @@ def describe(df: DataFrame, columns: Sequence[str] = tuple(C.DESCRIBED_COLUMNS))
 
 def value_counts(df: DataFrame, key: str) -> DataFrame:
     """(key, count, pct) with the share of all rows that have a value, in key order."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("count"))
+    # count(key) is 0 for the NULL group: dropping it here costs no check per raw row.
+    counts = df.groupBy(key).agg(F.count(key).alias("count")).where(F.col("count") > 0)
     total = counts.agg(F.sum("count")).scalar()
     return counts.select(key, "count", percent(F.col("count"), total, 4).alias("pct")).orderBy(key)
 
@@ -98,35 +102,38 @@ def histogram(df: DataFrame, value: Column, bins: int, by: str | None = None) ->
     ranges = {r["_g"]: r for r in data.groupBy("_g").agg(
         F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
     groups = [g for g in groups if g in ranges]
+    if not groups:
+        raise ValueError("no values to count")
     spans = []
     for g in groups:
         lo, hi = ranges[g]["lo"], ranges[g]["hi"]
         spans.append((lo - 0.5, hi + 0.5) if lo == hi else (lo, hi))
-    bin_of = F.lit(None).cast("double")
-    for g, (lo, hi) in zip(groups, spans):
+    # One number per (group, bin); -1 for a group without values.
+    slot = F.lit(-1).cast("long")
+    for i, (g, (lo, hi)) in enumerate(zip(groups, spans)):
         width = (hi - lo) / bins
-        slot = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
-        bin_of = F.when(F.col("_g") == F.lit(g), slot).otherwise(bin_of)
-    counts = data.groupBy("_g", bin_of.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+        inside = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+        slot = F.when(F.col("_g") == F.lit(g), inside + i * bins).otherwise(slot)
+    counts = data.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("count"))
+    dense = over_domain(counts, "_slot", list(range(bins * len(groups))), {"count": 0})
 
-    session = df.sparkSession
     cells = F.array(*[
-        F.struct(F.lit(g).alias("_g"), F.lit(lo).alias("lo"), F.lit((hi - lo) / bins).alias("width"),
+        F.struct(F.lit(g).alias("g"), F.lit(lo).alias("lo"), F.lit((hi - lo) / bins).alias("width"),
                  F.lit(ranges[g]["n"]).alias("n"))
         for g, (lo, hi) in zip(groups, spans)
-    ]) if groups else F.array().cast("array<struct<_g:int,lo:double,width:double,n:long>>")
-    grid = session.range(bins).select(F.col("id").alias("bin"), F.inline(cells))
-    # The broadcast side holds at most bins x groups rows.
-    joined = grid.join(F.broadcast(counts), ["_g", "bin"], "left")
-    count = F.coalesce(F.col("count"), F.lit(0))
-    out = joined.select(
-        F.col("_g").alias(by or "_g"), "bin",
-        rnd(F.col("lo") + F.col("bin") * F.col("width"), 6).alias("bin_start"),
-        rnd(F.col("lo") + (F.col("bin") + 1) * F.col("width"), 6).alias("bin_end"),
-        count.alias("count"),
-        rnd(ratio(count, F.col("n") * F.col("width")), 8).alias("density"),
+    ])
+    placed = dense.select(
+        "count", (F.col("_slot") % bins).alias("bin"),
+        F.element_at(cells, (F.floor(F.col("_slot") / bins) + 1).cast("int")).alias("c"))
+    lo, width = F.col("c.lo"), F.col("c.width")
+    out = placed.select(
+        F.col("c.g").alias(by or "_g"), "bin",
+        rnd(lo + F.col("bin") * width, 6).alias("bin_start"),
+        rnd(lo + (F.col("bin") + 1) * width, 6).alias("bin_end"),
+        "count",
+        rnd(ratio(F.col("count"), F.col("c.n") * width), 8).alias("density"),
     )
-    return out.orderBy(by, "bin") if by else out.drop("_g").orderBy("bin")
+    return out if by else out.drop("_g")
 
 
 def amount_histogram(df: DataFrame) -> DataFrame:

@@ -47,6 +47,11 @@ def _over(source: Callable[[SparkSession, str], DataFrame], op: Callable[..., Da
     return lambda spark, sf_dir: op(source(spark, sf_dir), *args, **options)
 
 
+def profiled(*columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Feature columns stored first: for operators that pass over derived columns several times."""
+    return lambda spark, sf_dir: stage(feat(spark, sf_dir).select(*columns), "features")
+
+
 def feature_table(spark, sf_dir):
     return feat(spark, sf_dir).withColumn("log_amount", rnd(features.log_amount(), 8))
 
@@ -287,10 +292,10 @@ QUERIES: dict[str, Query] = {
     "step_audit": _over(dirty, cleaning_run.step_audit),
     "unknown_types": unknown_types,
     # profiling
-    "describe_columns": _over(feat, P.describe),
+    "describe_columns": _over(profiled(*C.DESCRIBED_COLUMNS), P.describe),
     "class_distribution": _over(feat, P.class_distribution),
     "amount_histogram": _over(feat, P.amount_histogram),
-    "score_histogram": _over(feat, P.score_histogram),
+    "score_histogram": _over(profiled("risk_score"), P.score_histogram),
     "reference_markers": _over(feat, P.reference_markers),
     "type_counts": _over(feat, P.value_counts, "type"),
     "hour_counts": _over(feat, P.value_counts, "hour_of_day"),
@@ -302,8 +307,8 @@ QUERIES: dict[str, Query] = {
     "fraud_rate_by_receiver": _over(feat, P.fraud_rate_by, "dest_type"),
     "tier_fraud_rate": _over(feat, P.tier_fraud_rate),
     "amount_box_stats": lambda s, d: P.box_stats(feat(s, d), F.log1p("amount")),
-    "score_density": _over(feat, P.kernel_density, "risk_score"),
-    "correlation_pairs": _over(feat, P.correlation_pairs),
+    "score_density": _over(profiled("isFraud", "risk_score"), P.kernel_density, "risk_score"),
+    "correlation_pairs": _over(profiled(*C.CORRELATED_COLUMNS), P.correlation_pairs),
     "top_label_correlations": _over(feat, P.top_label_correlations),
     "class_amount_density": _over(feat, P.class_amount_density),
     "type_hour_rates": _over(feat, P.type_hour_rates),
