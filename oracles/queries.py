@@ -250,12 +250,20 @@ UNION ALL SELECT 'cap amounts', ok, ok, 'cap ' || {_text('cap', 2)} || ', ' || a
 UNION ALL SELECT 'encode types', ok, ok, '0 unknown' FROM k"""
 
 
+KINDS = [('step', 'int'), ('type', 'string'), ('amount', 'double'), ('nameOrig', 'string'),
+         ('oldbalanceOrg', 'double'), ('newbalanceOrig', 'double'), ('nameDest', 'string'),
+         ('oldbalanceDest', 'double'), ('newbalanceDest', 'double'), ('isFraud', 'int'),
+         ('isFlaggedFraud', 'int')]
+
+
+def _info() -> str:
+    return f"{SOILED}\n" + "\nUNION ALL ".join(
+        f"SELECT {i} AS position, '{n}' AS \"column\", count(\"{n}\") AS non_null, '{k}' AS dtype FROM dirty"
+        for i, (n, k) in enumerate(KINDS))
+
+
 def _diagnostics() -> str:
-    kinds = [('step', 'int'), ('type', 'string'), ('amount', 'double'), ('nameOrig', 'string'),
-             ('oldbalanceOrg', 'double'), ('newbalanceOrig', 'double'), ('nameDest', 'string'),
-             ('oldbalanceDest', 'double'), ('newbalanceDest', 'double'), ('isFraud', 'int'),
-             ('isFlaggedFraud', 'int')]
-    rows = ", ".join(f"({i}, '{n}', '{k}')" for i, (n, k) in enumerate(kinds))
+    rows = ", ".join(f"({i}, '{n}', '{k}')" for i, (n, k) in enumerate(KINDS))
     return f"""{SOILED}
 SELECT v.position, v."column", v.dtype, (SELECT count(*) FROM dirty) AS rows
 FROM (VALUES {rows}) AS v(position, "column", dtype)"""
@@ -284,6 +292,7 @@ ORACLES: dict[str, str] = {
     "warehouse_table": _txn("SELECT * FROM txn"),
     "csv_scan": f"{SOILED}\nSELECT * FROM dirty",
     "scan_diagnostics": _diagnostics(),
+    "table_info": _info(),
     "key_collisions": f"""{RAW}
 SELECT CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS colliding_rows
 FROM (SELECT count(*) AS n FROM (SELECT * EXCLUDE (id) FROM raw) AS x GROUP BY x)""",

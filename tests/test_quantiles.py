@@ -12,7 +12,7 @@ def frame(spark, values):
     return spark.createDataFrame([(float(v),) for v in values], "v double")
 
 
-@pytest.mark.parametrize("accuracy,bins", [(10_000, 2048), (3, 4), (2, 2)])
+@pytest.mark.parametrize("accuracy,bins", [(500, 2048), (10_000, 16), (3, 64), (2, 7)])
 def test_equals_numpy(spark, accuracy, bins):
     rng = np.random.default_rng(5)
     values = np.concatenate([

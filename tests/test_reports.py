@@ -156,3 +156,12 @@ def test_stamp_and_keys(spark):
     assert warehouse.key_collisions(stamped).first()[0] == 0
     numbered = warehouse.with_sequence(raw(spark, *[{"step": i} for i in range(1, 50)]), buckets=8)
     assert sorted(r["id"] for r in numbered.collect()) == list(range(1, 50))
+
+
+def test_introspection(spark, sf):
+    base = warehouse.register_view(txns(spark, sf), "transactions")
+    described = warehouse.describe_table(base).collect()
+    assert (len(described), described[3]["dtype"]) == (23, "decimal(18,2)")
+    plan = I.explain_sql(
+        spark, "SELECT type, count(*) AS n FROM transactions WHERE is_fraud = 1 GROUP BY type").first()
+    assert "HashAggregate" in plan["plan"]

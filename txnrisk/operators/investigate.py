@@ -138,10 +138,9 @@ def repeat_fraud(txns: DataFrame, k: int | None = 10, group_rows: int = GROUP_RO
         _fraud_only(txns).groupBy("name_orig").agg(M.rows().alias("n"))
         .where(F.col("n") >= 2).select("name_orig")
     )
-    pool = txns.select("id", "name_orig", "step", "type", "amount", "is_fraud").join(
-        candidates, "name_orig", "left_semi")
+    pool = txns.select("id", "name_orig", "step", "type", "amount", "is_fraud")
     looked = with_neighbour(pool, "name_orig", "step", ["is_fraud", "amount", "step"],
-                            group_rows=group_rows)
+                            only=candidates, group_rows=group_rows)
     pairs = looked.where((F.col("is_fraud") == 1) & (F.col("prev_is_fraud") == 1)).select(
         "name_orig", "step", "type", F.col("amount").cast("double").alias("amount"),
         "is_fraud", "prev_is_fraud",

@@ -2,9 +2,9 @@
 
 A window without PARTITION BY, or one partitioned by a key that holds a third of the
 rows, sorts everything in one task. Here the order column is cut into value ranges by
-fixed boundaries (a bounded list of numbers found by ``percentile_approx``). Ranges are
-sorted side by side and joined up with the sums of the ranges before. Boundaries are
-literals, so a row's range depends on its value alone, whatever the partitioning.
+fixed boundaries, a bounded list of numbers. Ranges are sorted side by side and joined
+up with the sums of the ranges before. Boundaries are literals, so a row's range depends
+on its value alone, whatever the partitioning, and any boundaries give the right result.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 # A group up to this many rows is fine for one task; the sort spills.
 GROUP_ROWS = 4_000_000
 MAX_RANGES = 4096
+# Rows looked at per range to place the boundaries.
+SAMPLE_PER_RANGE = 200
 
 
 def _range_count(df: DataFrame) -> int:
@@ -26,14 +28,19 @@ def _range_count(df: DataFrame) -> int:
 
 
 def range_marks(df: DataFrame, column: str, ranges: int | None = None) -> tuple[int, list[float]]:
-    """(non-null rows, increasing boundaries) with about equal rows between boundaries."""
+    """(non-null rows, increasing boundaries) with about equal rows between boundaries.
+
+    Boundaries come from a sample of bounded size, as in a range repartitioning: they
+    decide only how even the ranges are. Every row takes part in the counts that follow.
+    """
     ranges = ranges or _range_count(df)
+    total = df.agg(F.count(column)).first()[0]
+    wanted = SAMPLE_PER_RANGE * ranges
+    looked = df if total <= wanted else df.sample(wanted / total, seed=1)
     points = [i / ranges for i in range(1, ranges)]
-    row = df.agg(
-        F.count(column).alias("n"),
-        F.percentile_approx(F.col(column).cast("double"), points, 20 * ranges).alias("marks"),
-    ).first()
-    return row["n"], sorted(set(row["marks"] or []))
+    marks = looked.agg(
+        F.percentile_approx(F.col(column).cast("double"), points, 20 * ranges)).first()[0]
+    return total, sorted(set(marks or []))
 
 
 def with_range(df: DataFrame, column: str, marks: Sequence[float], out: str) -> DataFrame:
@@ -142,27 +149,32 @@ def heavy_keys(df: DataFrame, key: str, group_rows: int = GROUP_ROWS) -> DataFra
 
 
 def with_neighbour(df: DataFrame, key: str, order: str, columns: Sequence[str], tie: str = "id",
-                   following: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
+                   following: bool = False, only: DataFrame | None = None,
+                   group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add ``prev_<c>`` (or ``next_<c>``): the values of the neighbouring row of the same key.
 
-    Rows are ordered by (order, tie). Keys of ordinary size use one window. A heavy key
-    is cut into cells of one ``order`` value and one range of ``tie``; rows look inside
-    their cell, and a cell's edge row takes the edge of the neighbouring cell.
+    Rows are ordered by (order, tie). ``only`` keeps the keys of a one-column frame.
+    Keys of ordinary size use one window. A heavy key is cut into cells of one ``order``
+    value and one range of ``tie``; rows look inside their cell, and a cell's edge row
+    takes the edge of the neighbouring cell.
     """
     prefix = "next" if following else "prev"
     step_to = F.lead if following else F.lag
 
     def plain(part: DataFrame) -> DataFrame:
+        kept = part if only is None else part.join(only, key, "left_semi")
         w = Window.partitionBy(key).orderBy(order, tie)
-        return part.withColumns({f"{prefix}_{c}": step_to(c).over(w) for c in columns})
+        return kept.withColumns({f"{prefix}_{c}": step_to(c).over(w) for c in columns})
 
     heavy = heavy_keys(df, key, group_rows)
     if heavy is None:
         return plain(df)
 
+    # Heavy keys leave before any shuffle by key.
     light = plain(df.join(F.broadcast(heavy), key, "left_anti"))
+    wanted = heavy if only is None else heavy.join(only, key, "left_semi")
     _, marks = range_marks(df, tie)
-    rows = with_range(df.join(F.broadcast(heavy), key, "left_semi"), tie, marks, "_cell")
+    rows = with_range(df.join(F.broadcast(wanted), key, "left_semi"), tie, marks, "_cell")
     packed = F.struct(*columns)
     edge = F.min_by(packed, F.col(tie)) if following else F.max_by(packed, F.col(tie))
     cells = rows.groupBy(key, order, "_cell").agg(edge.alias("_edge"))

@@ -14,7 +14,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-ACCURACY = 10_000
+# Every task sends one sketch of about this many entries to the task that merges them,
+# so it stays small; a wide bracket costs no more than one extra narrowing pass.
+ACCURACY = 500
 BINS = 2048
 
 

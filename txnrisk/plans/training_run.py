@@ -22,10 +22,16 @@ class Trained:
     test: DataFrame
 
 
-def train_models(df: DataFrame, key: str = "id") -> Trained:
-    """Split and fit the three models. The training part is kept while the fits iterate over it."""
+def train_models(df: DataFrame, key: str = "id", partitions: int | None = None) -> Trained:
+    """Split and fit the three models. The training part is kept while the fits iterate over it.
+
+    ``partitions`` spreads the training part when it comes from fewer files than cores.
+    """
     train, test = learn.stratified_split(df, key=key)
-    frame = learn.training_frame(train).persist(StorageLevel.MEMORY_AND_DISK)
+    frame = learn.training_frame(train)
+    if partitions:
+        frame = frame.repartition(partitions)
+    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fits = [learn.fit_logistic(frame), learn.fit_tree(frame), learn.fit_forest(frame)]
     finally:
@@ -60,9 +66,10 @@ def best_models(comparison: DataFrame) -> DataFrame:
         F.max_by("Model", F.struct("`ROC-AUC`", early)).alias("best_roc_auc"))
 
 
-def run(df: DataFrame, model_folder: str | None = None, key: str = "id"):
+def run(df: DataFrame, model_folder: str | None = None, key: str = "id",
+        partitions: int | None = None):
     """(trained, comparison, scored test part); stores the models when given a folder."""
-    trained = train_models(df, key)
+    trained = train_models(df, key, partitions)
     comparison = compare_models(trained)
     scored = learn.score(trained.models["Random Forest"], trained.test, key, C.MODEL_FEATURES)
     if model_folder:
