@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from txnrisk.functions import constants as C
 from txnrisk.operators import evaluate, learn
+from txnrisk.session import stage
 
 MODEL_ORDER = ["Logistic Regression", "Decision Tree", "Random Forest"]
 
@@ -40,9 +41,10 @@ def train_models(df: DataFrame, key: str = "id", partitions: int | None = None)
 
 
 def test_scores(trained: Trained, name: str) -> DataFrame:
-    """(label, score) of one model on the test part."""
+    """(label, score) of one model on the test part, stored: evaluation passes over it several times."""
     scored = learn.probabilities(trained.models[name], trained.test)
-    return scored.select(F.col(learn.LABEL).alias("label"), F.col("probability_of_fraud").alias("score"))
+    pairs = scored.select(F.col(learn.LABEL).alias("label"), F.col("probability_of_fraud").alias("score"))
+    return stage(pairs, "scores")
 
 
 def compare_models(trained: Trained) -> DataFrame:
