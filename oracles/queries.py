@@ -518,8 +518,7 @@ FROM alerts WHERE alert_priority IN ('High', 'Critical')"""),
   k AS (SELECT *, CAST(floor(x) AS BIGINT) + CAST(row_number() OVER (ORDER BY x - floor(x) DESC, label)
           <= want - sum(floor(x)) OVER () AS BIGINT) AS t FROM s)
 SELECT 'test' AS part, label, t AS rows FROM k UNION ALL SELECT 'train', label, n - t FROM k"""),
-    "live_hourly": _feat(f"""SELECT TIMESTAMP '2000-01-03 00:00:00' + to_hours(step - 1) AS window_start,
-       {N} AS transactions, CAST(sum("isFraud") {BIG} AS fraud_count,
+    "live_hourly": _feat(f"""SELECT step AS simulation_hour, {N} AS transactions, CAST(sum("isFraud") {BIG} AS fraud_count,
        CAST(sum(CASE "isFraud" WHEN 1 THEN CAST(amount AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS fraud_loss
 FROM feat GROUP BY step"""),
 }

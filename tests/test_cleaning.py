@@ -16,8 +16,9 @@ def test_expected_counts(spark, sf):
     assert quality.invalid_amounts(soiled).first()[0] == 2
     missing = {r["column"]: r["count"] for r in quality.missing_report(soiled).collect()}
     assert missing == {"oldbalanceDest": 12, "newbalanceDest": 9}
-    valid, learned = cleaning_run.prepare(soiled)
-    assert valid.count() == 1498
+    prepared = cleaning_run.prepare(soiled)
+    learned = prepared.learned
+    assert (prepared.distinct.count(), prepared.valid.count()) == (1500, 1498)
     assert learned.cap == pytest.approx(499407.55886)
     done = cleaning_run.clean(soiled, learned)
     assert len(done.columns) == 25
@@ -76,7 +77,7 @@ def test_validation_of_an_uncleaned_frame(spark):
 
 
 def test_cleaning_again_changes_only_the_cap(spark, sf):
-    learned = cleaning_run.prepare(dirty(spark, sf))[1]
+    learned = cleaning_run.prepare(dirty(spark, sf)).learned
     once = cleaning_run.clean(dirty(spark, sf), learned)
     twice = cleaning_run.clean(once.select(*cleaning_run.C.RAW_COLUMNS), learned)
     assert once.exceptAll(twice).isEmpty() and twice.exceptAll(once).isEmpty()
@@ -92,8 +93,11 @@ def test_empty_input(spark):
 def test_file_to_file(spark, sf, tmp_path, as_csv):
     source, target = str(tmp_path / "raw"), str(tmp_path / "clean")
     files.write_csv(dirty(spark, sf), source)
-    stored = cleaning_run.run(spark, source, target, as_csv=as_csv)
-    assert (stored.count(), len(stored.columns)) == (1498, 25)
+    done = cleaning_run.run(spark, source, target, as_csv=as_csv)
+    assert (done.table.count(), len(done.table.columns)) == (1498, 25)
+    assert done.checks.where("not passed").isEmpty()
+    assert done.steps.where("step = 'drop duplicates'").first()["detail"] == "1 removed"
+    assert done.audit.where("check = 'invalid_amounts'").first()["value"] == 2
 
 
 def test_csv_tokens(spark, tmp_path):

@@ -66,12 +66,16 @@ def describe(df: DataFrame, columns: Sequence[str] = tuple(C.DESCRIBED_COLUMNS))
     return stats.select(F.inline(F.array(*rows)))
 
 
-def value_counts(df: DataFrame, key: str) -> DataFrame:
-    """(key, count, pct) with the share of all rows that have a value, in key order."""
+def _counts(df: DataFrame, key: str) -> DataFrame:
     # count(key) is 0 for the NULL group: dropping it here costs no check per raw row.
     counts = df.groupBy(key).agg(F.count(key).alias("count")).where(F.col("count") > 0)
     total = counts.agg(F.sum("count")).scalar()
-    return counts.select(key, "count", percent(F.col("count"), total, 4).alias("pct")).orderBy(key)
+    return counts.select(key, "count", percent(F.col("count"), total, 4).alias("pct"))
+
+
+def value_counts(df: DataFrame, key: str) -> DataFrame:
+    """(key, count, pct) with the share of all rows that have a value, in key order."""
+    return _counts(df, key).orderBy(key)
 
 
 def class_distribution(df: DataFrame) -> DataFrame:
@@ -87,7 +91,7 @@ def day_counts(df: DataFrame) -> DataFrame:
 
 
 def tier_counts(df: DataFrame) -> DataFrame:
-    counts = value_counts(df, "risk_tier")
+    counts = _counts(df, "risk_tier")
     return over_domain(counts, "risk_tier", C.RISK_TIERS, {"count": 0, "pct": 0.0})
 
 
@@ -157,18 +161,22 @@ def reference_markers(df: DataFrame) -> DataFrame:
         rnd(F.col("m"), 4).alias("mean_risk_score"))
 
 
-def fraud_rate_by(df: DataFrame, key: str) -> DataFrame:
-    """(key, transactions, fraud_count, fraud_rate_pct) in key order."""
+def _rates(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(
         F.count(F.lit(1)).alias("transactions"),
         F.sum("isFraud").cast("long").alias("fraud_count"),
         _rate().alias("fraud_rate_pct"),
-    ).orderBy(key)
+    )
+
+
+def fraud_rate_by(df: DataFrame, key: str) -> DataFrame:
+    """(key, transactions, fraud_count, fraud_rate_pct) in key order."""
+    return _rates(df, key).orderBy(key)
 
 
 def tier_fraud_rate(df: DataFrame) -> DataFrame:
     empty = {"transactions": 0, "fraud_count": 0, "fraud_rate_pct": 0.0}
-    return over_domain(fraud_rate_by(df, "risk_tier"), "risk_tier", C.RISK_TIERS, empty)
+    return over_domain(_rates(df, "risk_tier"), "risk_tier", C.RISK_TIERS, empty)
 
 
 def lift_by(df: DataFrame, key: str) -> DataFrame:

@@ -29,25 +29,50 @@ class Learned:
     cap: float | None
 
 
-def valid_rows(raw: DataFrame, fills: Mapping[str, object]) -> DataFrame:
-    """Fill, then drop exact copies, then drop amounts that are not positive."""
+@dataclass(frozen=True)
+class Prepared:
+    """Filled, de-duplicated rows stored in the shared folder, with what was learned."""
+
+    distinct: DataFrame
+    learned: Learned
+
+    @property
+    def valid(self) -> DataFrame:
+        return cleaning.drop_invalid_amounts(self.distinct)
+
+
+@dataclass(frozen=True)
+class Cleaned:
+    """Outcome of a file-to-file run."""
+
+    table: DataFrame
+    audit: DataFrame
+    steps: DataFrame
+    checks: DataFrame
+
+
+def distinct_rows(raw: DataFrame, fills: Mapping[str, object]) -> DataFrame:
+    """Fill, then drop exact copies: rows may become equal only by filling."""
     filled = cleaning.fill_missing(cleaning.fill_zero_balances(raw), fills)
-    return cleaning.drop_invalid_amounts(cleaning.drop_duplicates(filled))
+    return cleaning.drop_duplicates(filled)
+
+
+def valid_rows(raw: DataFrame, fills: Mapping[str, object]) -> DataFrame:
+    return cleaning.drop_invalid_amounts(distinct_rows(raw, fills))
 
 
 def learn_fills(raw: DataFrame) -> dict[str, object]:
     return cleaning.fill_values(cleaning.fill_zero_balances(raw))
 
 
-def prepare(raw: DataFrame) -> tuple[DataFrame, Learned]:
-    """The staged valid rows and what was learned from the data.
-
-    De-duplication shuffles whole rows, and the cap needs several passes over the
-    result, so the valid rows are written once to the shared folder.
+def prepare(raw: DataFrame) -> Prepared:
+    """De-duplication shuffles whole rows and several passes follow, so its result is
+    written once to the shared folder. The cap is learned from its valid rows.
     """
     fills = learn_fills(raw)
-    valid = stage(valid_rows(raw, fills), "valid-rows")
-    return valid, Learned(fills, cleaning.cap_value(valid))
+    distinct = stage(distinct_rows(raw, fills), "distinct-rows")
+    cap = cleaning.cap_value(cleaning.drop_invalid_amounts(distinct))
+    return Prepared(distinct, Learned(fills, cap))
 
 
 def finish(valid: DataFrame, cap: float | None, strict: bool = False) -> DataFrame:
@@ -59,29 +84,29 @@ def finish(valid: DataFrame, cap: float | None, strict: bool = False) -> DataFra
 def clean(raw: DataFrame, learned: Learned | None = None, strict: bool = False) -> DataFrame:
     """The 25-column cleaned table. Unknown types are left out unless ``strict`` raises."""
     if learned is None:
-        valid, learned = prepare(raw)
-    else:
-        valid = valid_rows(raw, learned.fills)
-    return finish(valid, learned.cap, strict).select(*CLEANED_COLUMNS)
+        return clean_prepared(prepare(raw), strict)
+    return finish(valid_rows(raw, learned.fills), learned.cap, strict).select(*CLEANED_COLUMNS)
+
 
+def clean_prepared(prepared: Prepared, strict: bool = False) -> DataFrame:
+    return finish(prepared.valid, prepared.learned.cap, strict).select(*CLEANED_COLUMNS)
 
-def step_audit(raw: DataFrame, learned: Learned | None = None) -> DataFrame:
+
+def step_audit(raw: DataFrame, prepared: Prepared | None = None) -> DataFrame:
     """(step, rows_in, rows_out, detail) of a cleaning run.
 
     Counted by two plain aggregates rather than task-side counters, which count twice
     when a lost executor's tasks run again.
     """
-    learned = learned or prepare(raw)[1]
-    fills, cap = learned.fills, learned.cap
+    prepared = prepared or prepare(raw)
+    fills, cap = prepared.learned.fills, prepared.learned.cap
     unfilled = [c for c in raw.columns if c in C.ZERO_FILL_COLUMNS or c in fills]
     before = raw.agg(
         F.count(F.lit(1)).alias("raw"),
         *[F.count_if(F.col(c).isNull()).alias(c) for c in unfilled],
     ).first()
-    filled = cleaning.fill_missing(cleaning.fill_zero_balances(raw), fills)
-    distinct = cleaning.drop_duplicates(filled)
     positive = F.col("amount") > 0
-    after = distinct.agg(
+    after = prepared.distinct.agg(
         F.count(F.lit(1)).alias("distinct"),
         F.count_if(positive).alias("valid"),
         F.count_if(positive & (F.col("amount") > F.lit(cap))).alias("capped"),
@@ -91,11 +116,8 @@ def step_audit(raw: DataFrame, learned: Learned | None = None) -> DataFrame:
     rows = before["raw"]
     steps = []
     for name in unfilled:
-        if name in C.ZERO_FILL_COLUMNS:
-            detail = f"{before[name]} missing filled with 0.0"
-        else:
-            detail = f"{before[name]} missing filled with {fills[name]}"
-        steps.append((f"fill {name}", rows, rows, detail))
+        value = 0.0 if name in C.ZERO_FILL_COLUMNS else fills[name]
+        steps.append((f"fill {name}", rows, rows, f"{before[name]} missing filled with {value}"))
     steps += [
         ("drop duplicates", rows, after["distinct"], f"{rows - after['distinct']} removed"),
         ("drop invalid amounts", after["distinct"], after["valid"],
@@ -110,13 +132,15 @@ def step_audit(raw: DataFrame, learned: Learned | None = None) -> DataFrame:
 
 
 def run(spark: SparkSession, raw_path: str, clean_path: str, as_csv: bool = False,
-        strict: bool = True) -> DataFrame:
-    """CSV file in, cleaned table out, validated on what was written.
+        strict: bool = True) -> Cleaned:
+    """CSV file in, cleaned table out, validated on what was written and read back.
 
-    The cleaned table is written first and checked by reading it back.
+    Strict mode raises on an unknown type or a failed check.
     """
     raw = files.read_csv(spark, raw_path)
-    cleaned = clean(raw, strict=strict)
+    audit = quality.audit(raw)
+    prepared = prepare(raw)
+    cleaned = clean_prepared(prepared, strict)
     if as_csv:
         files.write_csv(cleaned, clean_path)
         stored = spark.read.schema(cleaned.schema).csv(clean_path, header=True)
@@ -124,5 +148,5 @@ def run(spark: SparkSession, raw_path: str, clean_path: str, as_csv: bool = Fals
         files.write_parquet(cleaned, clean_path)
         stored = spark.read.parquet(clean_path)
     # The other columns follow from the raw ones, so copies show in these alone.
-    quality.validate(stored, strict=strict, key=C.RAW_COLUMNS)
-    return stored
+    checks = quality.validate(stored, strict=strict, key=C.RAW_COLUMNS)
+    return Cleaned(stored, audit, step_audit(raw, prepared), checks)
