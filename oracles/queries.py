@@ -416,7 +416,7 @@ SELECT type, {N} AS rows, {_count('coalesce("oldbalanceDest", 0) = 0')} AS zero_
   f AS (SELECT quantile_cont(amount, 0.5) AS ma, quantile_cont(CAST(s AS DOUBLE), 0.5) AS ms FROM g),
   m AS (SELECT d AS md FROM g WHERE d IS NOT NULL GROUP BY d ORDER BY count(*) DESC, d LIMIT 1)
 SELECT CAST(coalesce(s, ms) AS DOUBLE) AS step, {r('coalesce(amount, ma)', 4)} AS amount,
-       coalesce(d, md) AS "nameDest", type, "nameOrig" FROM g, f, m""",
+       coalesce(d, md) AS "nameDest", type, "nameOrig" FROM g CROSS JOIN f LEFT JOIN m ON true""",
     "cleaned_table": f"{CLEANED}\nSELECT * FROM cleaned",
     "validation_report": f"""{CLEANED}
 SELECT v."check", v.violations, v.violations = 0 AS passed FROM (
@@ -477,8 +477,7 @@ FROM (VALUES ('Low'), ('Medium'), ('High'), ('Critical')) AS v(t) LEFT JOIN feat
 FROM feat"""),
     "tier_lift": _lift("risk_tier"),
     "drained_lift": _lift("zero_balance_after"),
-    "account_history": _txn(f""", w AS (SELECT name_orig AS a FROM txn WHERE is_fraud = 1 GROUP BY 1
-       ORDER BY count(*) DESC, 1 LIMIT 1)
+    "account_history": _txn(f""", w AS (SELECT name_orig AS a FROM txn GROUP BY 1 ORDER BY sum(is_fraud) DESC, 1 LIMIT 1)
 SELECT id, step, type, {r('amount', 2)} AS amount, name_orig, name_dest,
        if(name_orig = a, 'sender', 'receiver') AS role FROM txn, w WHERE a IN (name_orig, name_dest)"""),
     "dashboard_measures": _txn(f"""SELECT {RATE} AS fraud_rate_pct,

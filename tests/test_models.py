@@ -1,5 +1,6 @@
 """Evaluation on hand-computed cases; models by quality bands."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,25 @@ def test_models_rank_well(trained):
     assert all(r["ROC-AUC"] > 0.85 and r["Recall"] >= 0.75 for r in rows)
 
 
+def test_logistic_minimises_the_penalised_weighted_loss(spark, sf):
+    """Against Newton's method on sum(weight x loss) x C + |b|^2 / 2, population scaling."""
+    frame = learn.training_frame(feat(spark, sf)).persist()
+    data = np.array([[*r] for r in frame.collect()])
+    x, y, w = data[:, :14], data[:, 14], data[:, 15]
+    z = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(len(x))])
+    ridge = np.diag([1.0] * 14 + [0.0])
+    b = np.zeros(15)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ b))
+        gradient = 0.1 * z.T @ (w * (p - y)) + ridge @ b
+        hessian = 0.1 * (z * (w * p * (1 - p))[:, None]).T @ z + ridge
+        b -= np.linalg.solve(hessian, gradient)
+    model = learn.fit_logistic(frame)
+    got = learn.probabilities(model, frame).select("amount", "newbalanceDest", "probability_of_fraud").collect()
+    want = {(r[0], r[4]): p for r, p in zip(x, 1 / (1 + np.exp(-z @ b)))}
+    assert max(abs(want[r[0], r[1]] - r[2]) for r in got) < 2e-3
+
+
 def test_best_prefers_the_earlier_on_a_tie(spark):
     df = spark.createDataFrame(
         [(0, "A", 0.8, 0.9), (1, "B", 0.8, 0.95), (2, "C", 0.7, 0.95)],

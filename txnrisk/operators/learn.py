@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from txnrisk.functions import constants as C
 from txnrisk.operators.evaluate import with_alerts
+from txnrisk.operators.profile import MAX_GROUPS
 from txnrisk.operators.quantiles import kth_smallest
 
 LABEL = "isFraud"
@@ -27,10 +28,19 @@ def _hash(key: str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11).cast("double")
 
 
+def class_counts(df: DataFrame, label: str = LABEL) -> dict[int, int]:
+    """Rows per class; a label with very many values is refused."""
+    found = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
+    if len(found) > MAX_GROUPS:
+        raise ValueError(f"{label} has more than {MAX_GROUPS} classes")
+    return {r[label]: r["n"] for r in found}
+
+
 def test_sizes(counts: Mapping[int, int], share: float) -> dict[int, int]:
     """Rows per class for the test part: proportional, largest remainders rounded up."""
-    wanted = math.ceil(sum(counts.values()) * share)
-    exact = {c: wanted * n / sum(counts.values()) for c, n in counts.items()}
+    total = sum(counts.values())
+    wanted = math.ceil(total * share)
+    exact = {c: wanted * n / total for c, n in counts.items()}
     sizes = {c: math.floor(x) for c, x in exact.items()}
     by_rest = sorted(counts, key=lambda c: (sizes[c] - exact[c], c))
     for c in by_rest[:wanted - sum(sizes.values())]:
@@ -46,12 +56,12 @@ def stratified_split(df: DataFrame, label: str = LABEL, test: float = 0.2, seed:
     k-th smallest hash. The cut is found by counting, so no class is sorted in one task,
     and membership depends on the key alone: the split is the same on every run.
     """
-    counts = {r[label]: r["n"] for r in
-              df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = class_counts(df, label)
     sizes = {c: k for c, k in test_sizes(counts, test).items() if k > 0}
     h = _hash(key, seed)
     streams = {str(c): F.when(F.col(label) == F.lit(c), h) for c in sizes}
-    cuts = kth_smallest(df, streams, {str(c): (k, counts[c]) for c, k in sizes.items()})
+    ranks = {str(c): (k, counts[c]) for c, k in sizes.items()}
+    cuts = kth_smallest(df, streams, ranks) if ranks else {}
     chosen = F.lit(False)
     for c in sizes:
         chosen = chosen | ((F.col(label) == F.lit(c)) & (h <= F.lit(cuts[str(c)])))
@@ -68,8 +78,7 @@ def split_summary(train: DataFrame, test: DataFrame, label: str = LABEL) -> Data
 
 def class_weights(df: DataFrame, label: str = LABEL) -> dict[int, float]:
     """Balanced weights rows / (classes x rows of the class)."""
-    counts = {r[label]: r["n"] for r in
-              df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = class_counts(df, label)
     return {c: sum(counts.values()) / (len(counts) * n) for c, n in counts.items()}
 
 
@@ -87,9 +96,11 @@ def training_frame(train: DataFrame, features: Sequence[str] = tuple(C.MODEL_FEA
 def fit_logistic(frame: DataFrame, features: Sequence[str] = tuple(C.MODEL_FEATURES),
                  c: float = 0.1, max_iter: int = 1000) -> PipelineModel:
     """Scaled logistic regression. Balanced weights add up to the rows, so a penalty of
-    1/C on the summed loss is 1/(C x rows) on MLlib's mean loss.
+    1/C on the summed loss is 1/(C x rows) on MLlib's mean loss. The factor (n-1)/n makes
+    up for scaling by the sample rather than the population deviation.
     """
-    penalty = 1.0 / (c * frame.count())
+    n = frame.count()
+    penalty = (n - 1) / n / (c * n)
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="raw_features"),
         StandardScaler(withMean=True, withStd=True, inputCol="raw_features", outputCol="features"),

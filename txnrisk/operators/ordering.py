@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from txnrisk.session import stage
+
 # A group up to this many rows is fine for one task; the sort spills.
 GROUP_ROWS = 4_000_000
 MAX_RANGES = 4096
@@ -111,16 +113,20 @@ def global_rank(df: DataFrame, column: str, ascending: bool = True, tie: str = "
     total, marks = range_marks(df, column)
     per_value = running_totals(df, column, {"n": F.count(F.lit(1)), "d": F.max(F.lit(1))},
                                ascending, marks)
-    tie_marks = range_marks(df, tie)[1] if total > group_rows else []
-    rows = with_range(df, tie, tie_marks, "_cell")
-    if tie_marks:
-        cells = rows.groupBy(column, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    heavy = heavy_keys(df, column, group_rows, total)
+    if heavy is None:
+        rows = df.withColumn("_cell", F.lit(0))
+        per_cell = per_value.withColumns({"_cell": F.lit(0), "_shift": F.lit(0)})
+    else:
+        marked = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
+        ranged = with_range(df, tie, range_marks(df, tie)[1], "_tie_range").join(marked, column, "left")
+        rows = ranged.withColumn("_cell", F.when(F.col("_heavy"), F.col("_tie_range")).otherwise(0))
+        cells = rows.where("_heavy").groupBy(column, "_cell").agg(F.count(F.lit(1)).alias("_c"))
         earlier = (Window.partitionBy(column).orderBy("_cell")
                    .rowsBetween(Window.unboundedPreceding, -1))
-        shifted = cells.withColumn("_shift", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
-        per_cell = shifted.drop("_c").join(per_value, column)
-    else:
-        per_cell = per_value.withColumns({"_cell": F.lit(0), "_shift": F.lit(0)})
+        shifted = cells.select(column, F.col("_cell").alias("_of"), F.sum("_c").over(earlier).alias("_by"))
+        per_cell = per_value.join(shifted, column, "left").withColumns({
+            "_cell": F.coalesce("_of", F.lit(0)), "_shift": F.coalesce("_by", F.lit(0))})
     inside = Window.partitionBy(column, "_cell").orderBy(tie)
     joined = rows.join(per_cell, [column, "_cell"]).withColumn("_pos", F.row_number().over(inside))
     number = F.col("n_before") + F.col("_shift") + F.col("_pos")
@@ -136,15 +142,17 @@ def global_rank(df: DataFrame, column: str, ascending: bool = True, tie: str = "
     )
 
 
-def heavy_keys(df: DataFrame, key: str, group_rows: int = GROUP_ROWS) -> DataFrame | None:
+def heavy_keys(df: DataFrame, key: str, group_rows: int = GROUP_ROWS,
+               total: int | None = None) -> DataFrame | None:
     """Keys with more than ``group_rows`` rows, None when there are none.
 
-    At most rows / group_rows keys qualify, so the result is safe to broadcast.
+    At most rows / group_rows keys qualify, so the result is safe to broadcast. It is
+    stored, so that the counting is done once.
     """
-    if df.count() <= group_rows:
+    if (df.count() if total is None else total) <= group_rows:
         return None
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = counts.where(F.col("_n") > group_rows).select(key)
+    heavy = stage(counts.where(F.col("_n") > group_rows).select(key), "heavy-keys")
     return None if heavy.isEmpty() else heavy
 
 

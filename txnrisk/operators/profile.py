@@ -106,8 +106,6 @@ def histogram(df: DataFrame, value: Column, bins: int, by: str | None = None) ->
     ranges = {r["_g"]: r for r in data.groupBy("_g").agg(
         F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
     groups = [g for g in groups if g in ranges]
-    if not groups:
-        raise ValueError("no values to count")
     spans = []
     for g in groups:
         lo, hi = ranges[g]["lo"], ranges[g]["hi"]
@@ -121,11 +119,12 @@ def histogram(df: DataFrame, value: Column, bins: int, by: str | None = None) ->
     counts = data.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("count"))
     dense = over_domain(counts, "_slot", list(range(bins * len(groups))), {"count": 0})
 
+    kind = data.schema["_g"].dataType.simpleString()
     cells = F.array(*[
         F.struct(F.lit(g).alias("g"), F.lit(lo).alias("lo"), F.lit((hi - lo) / bins).alias("width"),
                  F.lit(ranges[g]["n"]).alias("n"))
         for g, (lo, hi) in zip(groups, spans)
-    ])
+    ]).cast(f"array<struct<g:{kind},lo:double,width:double,n:bigint>>")
     placed = dense.select(
         "count", (F.col("_slot") % bins).alias("bin"),
         F.element_at(cells, (F.floor(F.col("_slot") / bins) + 1).cast("int")).alias("c"))
@@ -215,7 +214,10 @@ def box_stats(df: DataFrame, value: Column, by: str = "isFraud") -> DataFrame:
             (s["n"] - s["kept"]).alias("outliers"),
         ))
     if not rows:
-        raise ValueError("no values to describe")
+        kind = df.schema[by].dataType.simpleString()
+        return df.sparkSession.createDataFrame([], (
+            f"{by} {kind}, count long, q1 double, median double, q3 double, "
+            "whisker_low double, whisker_high double, outliers long"))
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
@@ -341,21 +343,25 @@ def type_hour_rates(df: DataFrame) -> DataFrame:
     return rates.select("type", *[F.col(str(h)).alias(f"h{h}") for h in hours]).orderBy("type")
 
 
-def decile_edges(df: DataFrame, column: str = "amount", q: int = 10) -> list[float]:
-    """Inner edges of q equal-frequency buckets over all rows; equal edges raise."""
+def decile_edges(df: DataFrame, column: str = "amount", q: int = 10, strict: bool = True) -> list[float]:
+    """Inner edges of q equal-frequency buckets over all rows; strict mode refuses equal edges."""
     edges = exact_quantiles(df, {column: F.col(column)}, [i / q for i in range(q + 1)])[column]
-    if any(a is not None and a == b for a, b in zip(edges, edges[1:])):
+    if strict and any(a is not None and a == b for a, b in zip(edges, edges[1:])):
         raise ValueError(f"{column} has too many equal values for {q} buckets")
     return edges[1:-1]
 
 
-def decile_loss(df: DataFrame, column: str = "amount", q: int = 10) -> DataFrame:
-    """(decile, fraud_count, fraud_loss_millions): fraud amount per amount decile of all rows."""
-    edges = decile_edges(df, column, q)
+def decile_loss(df: DataFrame, column: str = "amount", q: int = 10, strict: bool = True) -> DataFrame:
+    """(decile, fraud_count, fraud_loss_millions): fraud amount per amount decile of all rows.
+
+    One value that spans a whole decile makes two edges equal. Strict mode raises then;
+    otherwise the value counts in the lowest decile that reaches it and the others are empty.
+    """
+    edges = decile_edges(df, column, q, strict)
     labels = [f"D{i + 1}" for i in range(q)]
     bucket = F.lit(labels[-1])
     for edge, label in reversed(list(zip(edges, labels))):
-        bucket = F.when(F.col(column) <= F.lit(edge), label).otherwise(bucket)
+        bucket = F.when(F.col(column) <= F.lit(edge).cast("double"), label).otherwise(bucket)
     losses = df.where(_fraud()).groupBy(bucket.alias("decile")).agg(
         F.count(F.lit(1)).alias("fraud_count"),
         rnd(F.sum("amount") / 1e6, 6).alias("fraud_loss_millions"),
@@ -407,8 +413,9 @@ def tier_position(column: Column) -> Column:
     return position(column, C.RISK_TIERS)
 
 
-def account_history(txns: DataFrame, account: str) -> DataFrame:
+def account_history(txns: DataFrame, account: str | Column) -> DataFrame:
     """Every warehouse row where the account sends or receives, in time order."""
+    account = F.lit(account)
     involved = (F.col("name_orig") == account) | (F.col("name_dest") == account)
     role = F.when(F.col("name_orig") == account, "sender").otherwise("receiver")
     return txns.where(involved).withColumn("role", role).orderBy("step", "id")

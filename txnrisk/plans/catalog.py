@@ -151,9 +151,9 @@ def investigation_view(spark, sf_dir):
 def busiest_account(spark, sf_dir):
     """Full history of the account with most fraud as a sender."""
     table = txns(spark, sf_dir)
-    worst = table.where("is_fraud = 1").groupBy("name_orig").agg(F.count(F.lit(1)).alias("n"))
-    account = worst.orderBy(F.desc("n"), "name_orig").first()["name_orig"]
-    return P.account_history(table, account).select(
+    senders = table.groupBy("name_orig").agg(F.sum("is_fraud").alias("n"))
+    worst = senders.orderBy(F.desc("n"), "name_orig").limit(1).select("name_orig").scalar()
+    return P.account_history(table, worst).select(
         "id", "step", "type", rnd(F.col("amount"), 2).alias("amount"), "name_orig", "name_dest", "role")
 
 
@@ -310,7 +310,7 @@ QUERIES: dict[str, Query] = {
     "top_label_correlations": _over(feat, P.top_label_correlations),
     "class_amount_density": _over(feat, P.class_amount_density),
     "type_hour_rates": _over(feat, P.type_hour_rates),
-    "decile_loss": _over(feat, P.decile_loss),
+    "decile_loss": _over(feat, P.decile_loss, strict=False),
     "business_metrics": _over(feat, P.business_metrics),
     "insight_summary": _over(feat, P.insight_summary),
     "tier_lift": _over(feat, P.lift_by, "risk_tier"),
