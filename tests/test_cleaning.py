@@ -112,3 +112,17 @@ def test_csv_tokens(spark, tmp_path):
     bad = files.malformed_cells(spark, str(path)).collect()
     assert [r[:] for r in bad] == [("oldbalanceOrg", 1)]
     assert files.scan_diagnostics(got).first()["rows"] == 2
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("isFraud,amount,note,type,step,nameOrig,nameDest,oldbalanceOrg,newbalanceOrig,"
+                    "oldbalanceDest,newbalanceDest,isFlaggedFraud\n1,9.5,x,DEBIT,3,C1,M2,1,2,3,4,0\n")
+    row = files.read_csv(spark, str(path)).first()
+    assert (row["step"], row["amount"], row["isFraud"], row["nameDest"]) == (3, 9.5, 1, "M2")
+
+
+def test_csv_without_rows(spark, sf, tmp_path):
+    path = str(tmp_path / "none")
+    files.write_csv(dirty(spark, sf).where("amount < 0"), path)
+    assert files.read_csv(spark, path).count() == 0

@@ -8,10 +8,6 @@ from txnrisk.functions import constants as C
 from txnrisk.sources import schema as S
 
 
-def _text_schema(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-
-
 def _present(name: str) -> Column:
     """The cell's text, or NULL for a missing-value token."""
     text = F.col(name)
@@ -27,7 +23,9 @@ def _typed(name: str, kind: T.DataType) -> Column:
 
 
 def scan_text(spark: SparkSession, path: str, schema: T.StructType = S.RAW) -> DataFrame:
-    return spark.read.schema(_text_schema(schema)).csv(path, header=True, nullValue="")
+    """The declared columns as text, found by header name. Files that disagree on the header raise."""
+    text = spark.read.csv(path, header=True, nullValue="", enforceSchema=False)
+    return text.select(*schema.names)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = S.RAW) -> DataFrame:

@@ -68,8 +68,14 @@ def cluster_for_reports(df: DataFrame, files: int | None = None) -> DataFrame:
 
 
 def write_warehouse(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Store the table as Parquet, one folder per type, clustered inside."""
-    cluster_for_reports(df, files).write.mode("overwrite").partitionBy("type").parquet(path)
+    """Store the table as Parquet, one folder per type, clustered inside.
+
+    Bloom filters on the account columns let an account's history skip row groups.
+    """
+    writer = cluster_for_reports(df, files).write.mode("overwrite").partitionBy("type")
+    for column in ("name_orig", "name_dest"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
 
 
 def read_warehouse(spark: SparkSession, path: str) -> DataFrame:
