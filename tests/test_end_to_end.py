@@ -3,7 +3,7 @@
 from txnrisk.operators import investigate, kpi
 from txnrisk.plans import cleaning_run, reporting_run, training_run
 from txnrisk.plans.catalog import dirty
-from txnrisk.sources import files, warehouse
+from txnrisk.sources import files, schema as S, warehouse
 
 
 def test_whole_way(spark, sf, tmp_path):
@@ -30,6 +30,11 @@ def test_whole_way(spark, sf, tmp_path):
     assert profiles["business_metrics"].first()["total_transactions"] == 1498
     assert all(table.count() > 0 for table in profiles.values())
 
+    files.write_csv(cleaned, str(tmp_path / "cleaned-csv"))
+    reread = files.read_csv(spark, str(tmp_path / "cleaned-csv"), S.CLEANED)
+    assert reread.schema == cleaned.schema
+    assert cleaned.exceptAll(reread).isEmpty() and reread.exceptAll(cleaned).isEmpty()
+
     keyed = warehouse.with_sequence(cleaned)
     trained, comparison, alerts = training_run.run(keyed, str(tmp_path / "models"))
     assert comparison.count() == len(trained.models) == 3

@@ -82,3 +82,16 @@ def test_running_totals_end_at_the_total(skewed):
     rows = ordering.running_totals(skewed, "v", {"n": F.count(F.lit(1))}).orderBy("v").collect()
     assert rows[0]["n_before"] == 0
     assert rows[-1]["n_before"] + rows[-1]["n"] == rows[-1]["n_total"] == 3000
+
+
+def test_missing_values_are_refused_not_lost(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, None)], "id long, v double")
+    with pytest.raises(ValueError, match="missing in 1"):
+        ordering.global_rank(df, "v")
+
+
+def test_missing_order_keeps_the_row(skewed):
+    gaps = skewed.withColumn("step", F.when(F.col("id") % 11 != 0, F.col("step")))
+    w = Window.partitionBy("key").orderBy("step", "id")
+    got = ordering.with_neighbour(gaps, "key", "step", ["id"], group_rows=50)
+    assert same(got, gaps.withColumn("prev_id", F.lag("id").over(w)).select(*got.columns))

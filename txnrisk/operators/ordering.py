@@ -19,9 +19,9 @@ from txnrisk.session import stage
 
 # A group up to this many rows is fine for one task; the sort spills.
 GROUP_ROWS = 4_000_000
-MAX_RANGES = 4096
+MAX_RANGES = 16384
 # Rows looked at per range to place the boundaries.
-SAMPLE_PER_RANGE = 200
+SAMPLE_PER_RANGE = 100
 
 
 def _range_count(df: DataFrame) -> int:
@@ -29,14 +29,17 @@ def _range_count(df: DataFrame) -> int:
     return max(16, min(wanted, MAX_RANGES))
 
 
-def range_marks(df: DataFrame, column: str, ranges: int | None = None) -> tuple[int, list[float]]:
+def range_marks(df: DataFrame, column: str, ranges: int | None = None,
+                strict: bool = False) -> tuple[int, list[float]]:
     """(non-null rows, increasing boundaries) with about equal rows between boundaries.
 
-    Boundaries come from a sample of bounded size, as in a range repartitioning: they
+    ``column`` is numeric; strict mode refuses NULLs in it. Boundaries come from a sample of bounded size, as in a range repartitioning: they
     decide only how even the ranges are. Every row takes part in the counts that follow.
     """
     ranges = ranges or _range_count(df)
-    total = df.agg(F.count(column)).first()[0]
+    total, rows = df.agg(F.count(column), F.count(F.lit(1))).first()
+    if strict and rows != total:
+        raise ValueError(f"{column} is missing in {rows - total} rows; fill it before ranking")
     wanted = SAMPLE_PER_RANGE * ranges
     looked = df if total <= wanted else df.sample(wanted / total, seed=1)
     points = [i / ranges for i in range(1, ranges)]
@@ -108,9 +111,9 @@ def global_rank(df: DataFrame, column: str, ascending: bool = True, tie: str = "
 
     Equal values share rank; ``tie`` (unique) orders them for row_number. A value with
     more rows than ``group_rows`` is cut by ranges of ``tie`` so its rows spread out.
-    ``column`` must not be NULL.
+    Both columns are numeric; NULLs in ``column`` are refused.
     """
-    total, marks = range_marks(df, column)
+    total, marks = range_marks(df, column, strict=True)
     per_value = running_totals(df, column, {"n": F.count(F.lit(1)), "d": F.max(F.lit(1))},
                                ascending, marks)
     heavy = heavy_keys(df, column, group_rows, total)
@@ -190,7 +193,10 @@ def with_neighbour(df: DataFrame, key: str, order: str, columns: Sequence[str],
     edges = cells.withColumn("_edge", step_to("_edge").over(across))
     inside = Window.partitionBy(key, order, "_cell").orderBy(tie)
     looked = rows.withColumn("_near", step_to(packed).over(inside))
-    joined = looked.join(edges, [key, order, "_cell"])
+    own = edges.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col("_cell").alias("_c"), "_edge")
+    same_cell = ((F.col(key) == F.col("_k")) & F.col(order).eqNullSafe(F.col("_o"))
+                 & (F.col("_cell") == F.col("_c")))
+    joined = looked.join(own, same_cell)
     near = F.coalesce(F.col("_near"), F.col("_edge"))
     dense = joined.select(*df.columns, *[near[c].alias(f"{prefix}_{c}") for c in columns])
     return light.unionByName(dense)

@@ -11,15 +11,7 @@ from txnrisk.functions import constants as C
 from txnrisk.functions.features import add_features
 from txnrisk.operators import cleaning, quality
 from txnrisk.session import stage
-from txnrisk.sources import files
-
-CLEANED_COLUMNS = [
-    *C.RAW_COLUMNS, "amount_capped", "is_extreme_amount", "hour_of_day", "day_of_week",
-    "is_weekend", "balance_diff_orig", "balance_diff_dest", "zero_balance_after",
-    "amount_to_balance", "balance_mismatch", "dest_type", "risk_score", "risk_tier",
-    "type_encoded",
-]
-
+from txnrisk.sources import files, schema as S
 
 @dataclass(frozen=True)
 class Learned:
@@ -85,11 +77,11 @@ def clean(raw: DataFrame, learned: Learned | None = None, strict: bool = False)
     """The 25-column cleaned table. Unknown types are left out unless ``strict`` raises."""
     if learned is None:
         return clean_prepared(prepare(raw), strict)
-    return finish(valid_rows(raw, learned.fills), learned.cap, strict).select(*CLEANED_COLUMNS)
+    return finish(valid_rows(raw, learned.fills), learned.cap, strict).select(*S.CLEANED.names)
 
 
 def clean_prepared(prepared: Prepared, strict: bool = False) -> DataFrame:
-    return finish(prepared.valid, prepared.learned.cap, strict).select(*CLEANED_COLUMNS)
+    return finish(prepared.valid, prepared.learned.cap, strict).select(*S.CLEANED.names)
 
 
 def step_audit(raw: DataFrame, prepared: Prepared | None = None) -> DataFrame:
@@ -143,7 +135,7 @@ def run(spark: SparkSession, raw_path: str, clean_path: str, as_csv: bool = Fals
     cleaned = clean_prepared(prepared, strict)
     if as_csv:
         files.write_csv(cleaned, clean_path)
-        stored = spark.read.schema(cleaned.schema).csv(clean_path, header=True)
+        stored = files.read_csv(spark, clean_path, S.CLEANED)
     else:
         files.write_parquet(cleaned, clean_path)
         stored = spark.read.parquet(clean_path)

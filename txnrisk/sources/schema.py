@@ -20,6 +20,24 @@ RAW = T.StructType([
     T.StructField("isFlaggedFraud", T.IntegerType()),
 ])
 
+CLEANED = T.StructType([
+    *RAW.fields,
+    T.StructField("amount_capped", T.DoubleType()),
+    T.StructField("is_extreme_amount", T.IntegerType()),
+    T.StructField("hour_of_day", T.IntegerType()),
+    T.StructField("day_of_week", T.IntegerType()),
+    T.StructField("is_weekend", T.IntegerType()),
+    T.StructField("balance_diff_orig", T.DoubleType()),
+    T.StructField("balance_diff_dest", T.DoubleType()),
+    T.StructField("zero_balance_after", T.IntegerType()),
+    T.StructField("amount_to_balance", T.DoubleType()),
+    T.StructField("balance_mismatch", T.IntegerType()),
+    T.StructField("dest_type", T.StringType()),
+    T.StructField("risk_score", T.DoubleType()),
+    T.StructField("risk_tier", T.StringType()),
+    T.StructField("type_encoded", T.IntegerType()),
+])
+
 WAREHOUSE = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("step", T.IntegerType()),
