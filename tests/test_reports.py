@@ -165,3 +165,13 @@ def test_introspection(spark, sf):
     plan = I.explain_sql(
         spark, "SELECT type, count(*) AS n FROM transactions WHERE is_fraud = 1 GROUP BY type").first()
     assert "HashAggregate" in plan["plan"]
+
+
+def test_catalog_table_answers_sql(spark, sf, tmp_path):
+    base = txns(spark, sf)
+    table = warehouse.save_table(base, "stored_transactions", str(tmp_path / "t"))
+    assert table.dtypes == base.dtypes
+    row = spark.sql("SELECT count(*) AS n, sum(is_fraud) AS f FROM stored_transactions WHERE type = 'TRANSFER'").first()
+    want = base.where("type = 'TRANSFER'").agg(F.count("*"), F.sum("is_fraud")).first()
+    assert row[:] == want[:]
+    spark.sql("DROP TABLE stored_transactions")

@@ -83,6 +83,12 @@ def read_warehouse(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.WAREHOUSE).parquet(path).select(*names)
 
 
+def save_table(df: DataFrame, name: str, path: str) -> DataFrame:
+    """The table in the session's catalog, stored under ``path``, for SQL users."""
+    cluster_for_reports(df).write.mode("overwrite").partitionBy("type").option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name).select(*df.columns)
+
+
 def register_view(df: DataFrame, name: str) -> DataFrame:
     df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)
