@@ -426,6 +426,10 @@ SELECT v."check", v.violations, v.violations = 0 AS passed FROM (
   UNION ALL SELECT 'types_encoded', (SELECT count(*) FROM cleaned WHERE type_encoded IS NULL)
   UNION ALL SELECT 'no_duplicate_rows',
        (SELECT count(*) FROM cleaned) - (SELECT count(*) FROM (SELECT DISTINCT * FROM cleaned))) v""",
+    "cleaned_summary": f"""{CLEANED}
+SELECT {N} AS rows, 25 AS columns, CAST(sum("isFraud") {BIG} AS fraud_rows,
+       {pct('sum("isFraud")', N, 4)} AS fraud_rate_pct, {r('min(amount)', 2)} AS min_amount,
+       {r('max(amount)', 2)} AS max_amount FROM cleaned""",
     "step_audit": _step_audit(),
     "unknown_types": f"{RAW}\nSELECT id, 'debit card' AS type, amount FROM raw WHERE type = 'DEBIT'",
 

@@ -128,6 +128,10 @@ def test_explanations(spark, trained):
     tree = trained.models["Decision Tree"]
     rules = learn.tree_rules(tree, spark).collect()
     assert len(rules) == (tree.stages[-1].numNodes + 1) // 2
+    shapes = {r["model"]: r for r in learn.model_shapes(trained.models, spark).collect()}
+    assert set(shapes) == {"Decision Tree", "Random Forest"}
+    assert (shapes["Decision Tree"]["leaves"], shapes["Random Forest"]["trees"]) == (len(rules), 100)
+    assert shapes["Decision Tree"]["depth"] <= 6 and shapes["Random Forest"]["depth"] <= 8
 
 
 def test_rules_predict_like_the_tree(spark, trained):

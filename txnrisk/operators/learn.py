@@ -182,6 +182,18 @@ def tree_rules(model: PipelineModel, spark: SparkSession,
     return spark.createDataFrame(rules, "rule string, prediction int")
 
 
+def model_shapes(models: Mapping[str, PipelineModel], spark: SparkSession) -> DataFrame:
+    """(model, trees, depth, leaves) of the tree models."""
+    rows = []
+    for name, model in models.items():
+        last = model.stages[-1]
+        trees = getattr(last, "trees", [last] if hasattr(last, "depth") else [])
+        if trees:
+            rows.append((name, len(trees), max(t.depth for t in trees),
+                         sum((t.numNodes + 1) // 2 for t in trees)))
+    return spark.createDataFrame(rows, "model string, trees int, depth int, leaves int")
+
+
 def save_models(models: Mapping[str, PipelineModel], folder: str) -> None:
     """One folder per model; the scaler is part of the logistic one."""
     for name, model in models.items():

@@ -33,8 +33,9 @@ def range_marks(df: DataFrame, column: str, ranges: int | None = None,
                 strict: bool = False) -> tuple[int, list[float]]:
     """(non-null rows, increasing boundaries) with about equal rows between boundaries.
 
-    ``column`` is numeric; strict mode refuses NULLs in it. Boundaries come from a sample of bounded size, as in a range repartitioning: they
-    decide only how even the ranges are. Every row takes part in the counts that follow.
+    ``column`` is numeric; strict mode refuses NULLs in it. Boundaries come from a sample of
+    bounded size, as in a range repartitioning: they decide only how even the ranges are.
+    Every row takes part in the counts that follow.
     """
     ranges = ranges or _range_count(df)
     total, rows = df.agg(F.count(column), F.count(F.lit(1))).first()

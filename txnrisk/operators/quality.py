@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from txnrisk.functions import constants as C
-from txnrisk.functions.scalars import percent
+from txnrisk.functions.scalars import percent, rnd
 from txnrisk.operators.quantiles import exact_quantiles
 
 
@@ -94,6 +94,18 @@ def audit(raw: DataFrame) -> DataFrame:
     return scalars.unionByName(copies).unionByName(types)
 
 
+def cleaned_summary(clean: DataFrame) -> DataFrame:
+    """One row: size, fraud share and amount range of a cleaned table."""
+    return clean.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.lit(len(clean.columns)).alias("columns"),
+        F.sum("isFraud").cast("long").alias("fraud_rows"),
+        percent(F.sum("isFraud"), F.count("isFraud"), 4).alias("fraud_rate_pct"),
+        rnd(F.min("amount"), 2).alias("min_amount"),
+        rnd(F.max("amount"), 2).alias("max_amount"),
+    )
+
+
 def validate(clean: DataFrame, strict: bool = False, key: Sequence[str] | None = None) -> DataFrame:
     """(check, violations, passed) of the post-cleaning conditions.
 

@@ -42,6 +42,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", F.col("isFraud").alias("label"), (F.col("risk_score") / 100).alias("score"))
 
 
+def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, stored, for evaluations that pass over the scores several times."""
+    return stage(scored(spark, sf_dir).select("label", "score"), "scores")
+
+
 def _over(source: Callable[[SparkSession, str], DataFrame], op: Callable[..., DataFrame],
           *args, **options) -> Query:
     return lambda spark, sf_dir: op(source(spark, sf_dir), *args, **options)
@@ -85,6 +90,10 @@ def validation_report(spark, sf_dir):
     return quality.validate(cleaned, key=C.RAW_COLUMNS)
 
 
+def cleaned_summary(spark, sf_dir):
+    return quality.cleaned_summary(cleaning_run.clean(dirty(spark, sf_dir)))
+
+
 def fill_report(spark, sf_dir):
     """Missing cells per column after filling: what the fills leave over (nothing)."""
     soiled = dirty(spark, sf_dir)
@@ -206,6 +215,10 @@ def tree_rules(spark, sf_dir):
     return learn.tree_rules(trained(spark, sf_dir).models["Decision Tree"], spark)
 
 
+def model_shapes(spark, sf_dir):
+    return learn.model_shapes(trained(spark, sf_dir).models, spark)
+
+
 def forest_roc(spark, sf_dir):
     return evaluate.curve_points(training_run.test_scores(trained(spark, sf_dir), "Random Forest"), "roc")
 
@@ -287,6 +300,7 @@ QUERIES: dict[str, Query] = {
     "learned_fills": learned_fills,
     "cleaned_table": cleaned_table,
     "validation_report": validation_report,
+    "cleaned_summary": cleaned_summary,
     "step_audit": _over(dirty, cleaning_run.step_audit),
     "unknown_types": unknown_types,
     # profiling
@@ -319,11 +333,11 @@ QUERIES: dict[str, Query] = {
     "dashboard_measures": _over(txns, P.dashboard_measures),
     # evaluation
     "threshold_metrics": _over(scored, evaluate.threshold_metrics),
-    "model_metrics": _over(scored, evaluate.model_metrics, digits=6),
+    "model_metrics": _over(stored_scores, evaluate.model_metrics, digits=6),
     "confusion_matrix": _over(scored, evaluate.confusion_matrix),
     "classification_report": _over(scored, evaluate.classification_report),
-    "roc_curve": _over(scored, evaluate.curve_points, "roc"),
-    "pr_curve": _over(scored, evaluate.curve_points, "pr"),
+    "roc_curve": _over(stored_scores, evaluate.curve_points, "roc"),
+    "pr_curve": _over(stored_scores, evaluate.curve_points, "pr"),
     "alert_table": alert_table,
     "priority_counts": lambda s, d: evaluate.priority_counts(alert_table(s, d)),
     "priority_hit_rate": lambda s, d: evaluate.priority_hit_rate(alert_table(s, d)),
@@ -335,6 +349,7 @@ QUERIES: dict[str, Query] = {
     "forest_importance": forest_importance,
     "logistic_strength": logistic_strength,
     "tree_rules": tree_rules,
+    "model_shapes": model_shapes,
     "forest_roc": forest_roc,
     "stored_model_scores": stored_model_scores,
     # stream
