@@ -16,6 +16,8 @@ from txnrisk.session import stage
 BUCKETS = 1 << 14
 #: Labelled documents, on average, that train the text model, and the least of a language.
 TRAINING_DOCS, LEAST_DOCS = 8_000, 5
+#: Share of a language's model that is spread evenly, so that unseen trigrams favour no language.
+EVEN = 0.02
 #: Trigrams of a text count as at most this many independent ones.
 INDEPENDENT = 200
 #: Documents that a parent's prior counts as, and strength of the uniform share of marks.
@@ -76,10 +78,11 @@ def train(labelled: DataFrame, sample: int = TRAINING_DOCS) -> TextModel:
     enough = counted.where((F.col("bucket") == BUCKETS) & (F.col("n") >= LEAST_DOCS)).select("lang")
     rows = counted.where(F.col("bucket") < BUCKETS).join(enough, "lang", "left_semi").collect()
     languages = sorted({r["lang"] for r in rows})
-    counts = np.full((BUCKETS, len(languages)), 0.5)
+    counts = np.zeros((BUCKETS, len(languages)))
     for r in rows:
         counts[r["bucket"], languages.index(r["lang"])] += r["n"]
-    return TextModel(languages, np.log(counts / counts.sum(0)).astype(np.float32))
+    share = (1 - EVEN) * counts / counts.sum(0) + EVEN / BUCKETS
+    return TextModel(languages, np.log(share).astype(np.float32))
 
 
 def score_texts(rows: DataFrame, model: TextModel, column: str = "text", prepare=None) -> DataFrame:

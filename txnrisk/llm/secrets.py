@@ -36,7 +36,7 @@ def _spans(text: Column, pattern: str, wanted) -> Column:
     parts = F.transform(F.arrays_zip(F.transform(between, lambda x: F.length(x)).alias("gap"), hits.alias("hit"), values.alias("value")),
                         lambda x: F.struct(F.coalesce(x["gap"], F.lit(0)).alias("gap"),
                                            F.coalesce(F.length(x["hit"]), F.lit(0)).alias("n"),
-                                           F.coalesce(wanted(x["hit"], x["value"]), F.lit(False)).alias("ok")))
+                                           (x["hit"].isNotNull() & F.coalesce(wanted(x["hit"], x["value"]), F.lit(False))).alias("ok")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
 
     def step(seen: Column, x: Column) -> Column:
