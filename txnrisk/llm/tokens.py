@@ -11,8 +11,8 @@ import numpy as np
 
 #: Vocabulary used where the caller names none; a path may be given instead.
 VOCABULARY = "word_bpe_49k.json"
-#: Words remembered by a worker; the memory starts anew when it is full.
-REMEMBERED = 400_000
+#: Words remembered by a worker. When so many are held, those not used since the last time go.
+REMEMBERED = 300_000
 #: Characters of text handled at a time.
 AT_ONCE = 1_000_000
 ID = np.dtype("<u4")
@@ -44,8 +44,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
+        # each a recent memory and the one before it; what is found in the older one moves over
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         parts = json.loads(self.tokenizer.to_str())
         model, cut, norm = parts["model"], parts.get("pre_tokenizer") or {}, parts.get("normalizer") or {}
         steps = [x["type"] for x in norm.get("normalizers", [])]
@@ -82,16 +85,14 @@ class Encoder:
 
     def _joined(self, held: list[list[str]]) -> list[bytes]:
         if len(self.words) > self.remembered:
-            self.words.clear()
+            self.older_words, self.words = self.words, {}
         if len(self.pieces) > self.remembered:
-            self.pieces.clear()
+            self.older_pieces, self.pieces = self.pieces, {}
         known = self.words
-        new = set()
-        for words in held:
-            new.update(set(words).difference(known))
-        if new:
-            self._learn(new)
-        return [b"".join([known[w] for w in words]) for words in held]
+        new = set().union(*held).difference(known)
+        self._learn(_moved(new, self.older_words, known))
+        found = known.__getitem__
+        return [b"".join(map(found, words)) for words in held]
 
     def _learn(self, new: set[str]) -> None:
         odd, cut = [], {}
@@ -100,7 +101,7 @@ class Encoder:
                 cut[word] = self.cut(word.lower())
             else:
                 odd.append(word)
-        pieces = list({p for ps in cut.values() for p in ps}.difference(self.pieces))
+        pieces = list(_moved({p for ps in cut.values() for p in ps}.difference(self.pieces), self.older_pieces, self.pieces))
         for i in range(0, len(pieces), 512):
             self._learn_pieces(pieces[i:i + 512])
         for word, ps in cut.items():
@@ -122,6 +123,15 @@ class Encoder:
             start = end
 
 
+def _moved(wanted: set[str], older: dict[str, bytes], newer: dict[str, bytes]) -> set[str]:
+    """Move what ``older`` has of ``wanted`` to ``newer``; the rest."""
+    if not older:
+        return wanted
+    for word in wanted & older.keys():
+        newer[word] = older[word]
+    return wanted.difference(older)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and vocabulary."""
