@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
 from txnrisk.session import stage
@@ -20,7 +21,7 @@ ENTRIES, ROWS, BUCKETS = 96, 2, 24
 #: SIMILAR, less 4.5 deviations.
 LEAST_EQUAL = 40
 #: Rounds in which every row of a bucket meets one other, before rows still apart meet in blocks.
-ROUNDS, BLOCK = 3, 1024
+ROUNDS, BLOCK = 3, 512
 _SEED = 77
 
 
@@ -83,7 +84,7 @@ def sketch(x: np.ndarray, at_once: int = 4096) -> np.ndarray:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """doc_id (as text), key, size (k-mers), entries (binary) and buckets of (doc_id, text)."""
+    """doc_id (as text), key, raw, size (k-mers), entries (binary) and buckets of (doc_id, key, raw, norm)."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         which = np.arange(BUCKETS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
@@ -102,9 +103,9 @@ def sketches(texts: DataFrame) -> DataFrame:
                 for k in range(ROWS):
                     held = _mixed(held ^ _mixed(rows[:, k] + np.uint64(k + 1)))
                 buckets.append(held.view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "size": sizes, "entries": entries, "buckets": buckets})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "raw": batch["raw"], "size": sizes, "entries": entries, "buckets": buckets})
 
-    return texts.mapInPandas(work, "doc_id string, key binary, size long, entries binary, buckets array<long>")
+    return texts.mapInPandas(work, "doc_id string, key binary, raw long, size long, entries binary, buckets array<long>")
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> int:
@@ -136,7 +137,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return n >= SIMILAR * (len(a) + len(b) - n) - 1e-9
 
 
-def _verified(pairs: DataFrame, unique: DataFrame, texts: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, unique: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, norm) of the texts of ``keys``, once each; stored.
+
+    Rows are found by a hash of the text as it stands, so only those found are normalised.
+    """
+    wanted = unique.select("key", "raw").join(keys, "key", "left_semi")
+    found = (docs.select(F.col("text").cast("string").alias("text")).withColumn("raw", F.xxhash64("text")).join(wanted, "raw")
+             .select("key", normal(F.col("text")).alias("norm")).where(F.unhex(F.md5("norm")) == F.col("key")))
+    return stage(found.groupBy("key").agg(F.min("norm").alias("norm")), "near-texts")
+
+
+def _verified(pairs: DataFrame, unique: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys that are similar; stored.
 
     First the sketches, a few hundred bytes each, rule out most pairs; the texts of the others
@@ -153,7 +165,7 @@ def _verified(pairs: DataFrame, unique: DataFrame, texts: DataFrame) -> DataFram
 
     likely = stage(drawn.where(close("ea", "eb")).select("a", "b"), "near-pairs")
     needed = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
-    wanted = stage(texts.join(needed, "key", "left_semi").groupBy("key").agg(F.min("norm").alias("norm")), "near-texts")
+    wanted = _texts(docs, unique, needed)
     both = likely.join(wanted.toDF("a", "ta"), "a").join(wanted.toDF("b", "tb"), "b")
 
     @F.pandas_udf("boolean")
@@ -194,10 +206,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
-    """Pairs of keys that share a bucket, are not in one class yet, and whose sketches agree enough.
+    """Pairs of keys that share a bucket, are not in one class yet, and share enough k-mers.
 
-    ``rows`` is (bucket, key, label, entries, n). A bucket's rows are cut into blocks; every two blocks of
-    one bucket meet in a task of their own, which compares sketches in memory.
+    ``rows`` is (bucket, key, label, n, grams). A bucket's rows are cut into blocks; every two blocks of
+    one bucket meet in a task of their own. There the shared k-mers are counted in memory,
+    and only pairs that have enough of them to be similar come out.
     """
     cut = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
         "own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
@@ -205,24 +218,40 @@ def _blocked(rows: DataFrame) -> DataFrame:
     cut = cut.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [], []
-        entries = np.frombuffer(b"".join(group["entries"]), "<u4").reshape(len(group), ENTRIES)
+        sets = [np.frombuffer(x, "<u4") for x in group["grams"]]
+        sizes = np.array([len(x) for x in sets])
+        ends = np.cumsum(sizes)
+        grams = np.unique(np.concatenate(sets), return_inverse=True)[1]
         labels = pd.factorize(group["label"])[0]
         keys, own = group["key"].to_numpy(), group["own"].to_numpy()
         apart = group["i"].iloc[0] != group["j"].iloc[0]
+        mark = np.zeros(int(grams.max()) + 1, bool)
+        out_a, out_b = [], []
         for k in range(len(group) - 1):
-            rest = slice(k + 1, None)
-            open_ = np.flatnonzero((labels[rest] != labels[k]) & ((own[rest] != own[k]) if apart else True)) + k + 1
-            if not len(open_):
+            open_ = labels[k + 1:] != labels[k]
+            if apart:
+                open_ &= own[k + 1:] != own[k]
+            if not open_.any():
                 continue
-            hits = open_[(entries[open_] == entries[k]).sum(1) >= LEAST_EQUAL]
-            out_a += [min(keys[k], keys[h]) for h in hits]
-            out_b += [max(keys[k], keys[h]) for h in hits]
+            mine = grams[ends[k] - sizes[k]:ends[k]]
+            mark[mine] = True
+            shared = np.add.reduceat(mark[grams[ends[k]:]], ends[k:-1] - ends[k], dtype=np.int64)
+            mark[mine] = False
+            least = SIMILAR / (1 + SIMILAR) * (sizes[k] + sizes[k + 1:]) - 1e-6
+            for h in np.flatnonzero(open_ & (shared >= least)) + k + 1:
+                out_a.append(min(keys[k], keys[h]))
+                out_b.append(max(keys[k], keys[h]))
         return pd.DataFrame({"a": out_a, "b": out_b})
 
     return cut.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
+@F.pandas_udf(BinaryType())
+def _grams(texts: pd.Series) -> pd.Series:
+    """The k-mers of each normal text as 32-bit numbers, for counting only."""
+    return pd.Series([(kmers(x) >> np.uint64(32)).astype("<u4").tobytes() for x in texts])
+
+
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(bucket, key) rows with the label of their key; a key without links is its own label."""
     if labels is None:
@@ -242,16 +271,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Equal texts count once from here on. Every text is in BUCKETS buckets by its sketch; a pair
     at SIMILAR shares none with a chance of three in a million. Inside a bucket every text
     meets one text, then, as far as classes still differ, another, ROUNDS times; that takes
-    rows in proportion to the bucket. What is still apart then meets in blocks, so no pair of
-    a bucket is left out. Only buckets that go on holding several classes get that far.
+    rows in proportion to the bucket. What is still apart then meets in blocks, where shared
+    k-mers are counted, so no pair of a bucket is left out. Only buckets that go on holding several classes get that far.
     """
-    base = docs.select(F.col("doc_id"), normal(F.col("text")).alias("norm")).withColumn("key", F.unhex(F.md5("norm")))
+    base = docs.select(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("raw"),
+                       normal(F.col("text")).alias("norm")).withColumn("key", F.unhex(F.md5("norm")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     all_rows = stage(sketches(base.withColumn("doc_id", F.col("doc_id").cast("string"))), "near-sketches")
     members = all_rows.select(F.col("doc_id").cast(kind).alias("doc_id"), "key", "size")
     unique = stage(all_rows.where("size > 0").groupBy("key").agg(
-        F.first("size").alias("size"), F.first("entries").alias("entries"), F.first("buckets").alias("buckets")), "near-unique")
-    texts = base.select("key", "norm").where(F.col("norm") != "")
+        F.first("raw").alias("raw"), F.first("entries").alias("entries"), F.first("buckets").alias("buckets")), "near-unique")
     placed = unique.select("key", F.explode("buckets").alias("bucket"))
     several = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = stage(placed.join(several, "bucket"), "near-rows")
@@ -265,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("centre_label")), "near-centres")
         pairs = (open_.join(centre, "bucket").where("label <> centre_label")
                  .select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct())
-        found = _verified(pairs, unique, texts)
+        found = _verified(pairs, unique, docs)
         links = found if links is None else links.union(found)
         labels = components(links)
     open_ = _labelled(rows, labels)
@@ -273,8 +302,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # with few rows all pairs have met by now
     mixed = stage(mixed.where(f"low <> high and n >= {ROUNDS + 2}").select("bucket"), "near-mixed")
     if mixed.head(1):
-        apart = open_.join(mixed, "bucket").join(unique.select("key", "entries"), "key")
-        links = links.union(_verified(_blocked(apart), unique, texts))
+        still = stage(open_.join(mixed, "bucket"), "near-open")
+        grams = _texts(docs, unique, still.select("key").distinct()).select("key", _grams("norm").alias("grams"))
+        apart = still.join(stage(grams, "near-grams"), "key")
+        links = links.union(_verified(_blocked(apart), unique, docs))
         labels = components(links)
     classed = members.join(labels.toDF("key", "_l"), "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l")
     least = classed.where("size > 0").groupBy("label").agg(F.min("doc_id").alias("class_id"))
