@@ -126,3 +126,52 @@ def test_csv_without_rows(spark, sf, tmp_path):
     path = str(tmp_path / "none")
     files.write_csv(dirty(spark, sf).where("amount < 0"), path)
     assert files.read_csv(spark, path).count() == 0
+
+
+def test_missing_labels_are_refused(spark):
+    from txnrisk.operators import learn
+
+    df = spark.range(100).selectExpr("id", "CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(id % 2 AS int) END AS isFraud")
+    with pytest.raises(ValueError, match="10 rows"):
+        learn.stratified_split(df)
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(float("nan"), 1.0, 2.0), (5.0, None, float("nan")), (-1.0, 1.0, 1.0)],
+                               "amount double, oldbalanceDest double, newbalanceDest double")
+    found = {r["column"]: r["count"] for r in quality.missing_report(df).collect()}
+    assert found == {"amount": 1, "oldbalanceDest": 1, "newbalanceDest": 1}
+    assert cleaning.drop_invalid_amounts(df).count() == 1
+    assert cleaning.gaps(cleaning.fill_zero_balances(df)) == ["amount"]
+
+
+def test_fractions_do_not_fit_whole_numbers(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    (tmp_path / "a.csv").write_text("step,amount\n1.7,2.5\n2.0,1\n3,x\n")
+    kinds = T.StructType([T.StructField("step", T.IntegerType()), T.StructField("amount", T.DoubleType())])
+    rows = files.read_csv(spark, str(tmp_path / "a.csv"), kinds).collect()
+    assert [r["step"] for r in rows] == [None, 2, 3]
+    bad = {r["column"]: r["malformed"] for r in files.malformed_cells(spark, str(tmp_path / "a.csv"), kinds).collect()}
+    assert bad == {"step": 1, "amount": 1}
+
+
+def test_learned_fills_cover_new_gaps(spark, sf):
+    from txnrisk.functions import constants as C
+    from txnrisk.plans import catalog, cleaning_run
+
+    raw = catalog.raw(spark, sf).select(*C.RAW_COLUMNS)
+    learned = cleaning_run.prepare(raw).learned
+    holes = raw.selectExpr(*[f"IF(step % 2 = 0, NULL, {c}) AS {c}" if c in ("oldbalanceOrg", "nameDest") else c for c in raw.columns])
+    assert holes.where("oldbalanceOrg IS NULL").count() > 0
+    done = cleaning_run.clean(holes, learned)
+    assert done.where("oldbalanceOrg IS NULL OR nameDest IS NULL OR risk_tier IS NULL").count() == 0
+
+
+def test_missing_heavy_key(spark):
+    from txnrisk.operators import ordering
+
+    df = spark.range(300).selectExpr("id", "IF(id % 3 = 0, NULL, concat('k', id % 7)) AS k", "CAST(id % 5 AS int) AS step", "id AS v")
+    plain = ordering.with_neighbour(df, "k", "step", ["v"]).orderBy("id").collect()
+    cut = ordering.with_neighbour(df, "k", "step", ["v"], group_rows=50).select(*df.columns, "prev_v").orderBy("id").collect()
+    assert [r["prev_v"] for r in plain] == [r["prev_v"] for r in cut]

@@ -34,7 +34,6 @@ ALERT_EDGES = [0.3, 0.6, 0.85, 1.0]
 QUEUE_TIERS = ["High", "Critical"]
 
 DAY_NAMES = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
-DECILE_LABELS = ["D1", "D2", "D3", "D4", "D5", "D6", "D7", "D8", "D9", "D10"]
 
 # Columns described, correlated and learned from.
 DESCRIBED_COLUMNS = [

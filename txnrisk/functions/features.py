@@ -17,7 +17,8 @@ def risk_score() -> Column:
 
     A ratio that could not be computed (opening balance of exactly -1) counts as full.
     """
-    used = clip(F.coalesce(F.col("amount_to_balance"), F.lit(1.0)), 0.0, 1.0)
+    # Never NULL, so the plain functions do, and the ratio is mentioned once.
+    used = F.least(F.greatest(F.coalesce(F.col("amount_to_balance"), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
     total = (
         F.col("zero_balance_after") * float(C.WEIGHT_DRAINED)
         + used * float(C.WEIGHT_RATIO)
@@ -34,9 +35,8 @@ def risk_tier(score: Column) -> Column:
     One expression of the score rather than a chain of comparisons: a filter on the
     tier is pushed below the projection, and a chain would work the score out four times.
     """
-    place = F.greatest(F.ceil(score / C.RISK_TIER_WIDTH), F.lit(1)).cast("int")
-    labels = F.array(*[F.lit(t) for t in C.RISK_TIERS])
-    return F.when(score.isNotNull(), F.try_element_at(labels, place))
+    labels = F.array(*[F.lit(t) for t in (C.RISK_TIERS[0], *C.RISK_TIERS)])  # 0 is in the lowest tier
+    return F.get(labels, F.ceil(score / C.RISK_TIER_WIDTH).cast("int"))
 
 
 def add_features(df: DataFrame) -> DataFrame:

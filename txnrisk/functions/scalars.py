@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def rnd(x: Column, digits: int) -> Column:
@@ -25,6 +25,13 @@ def percent(num: Column, den: Column, digits: int) -> Column:
     return rnd(ratio(num, den) * F.lit(100.0), digits)
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN as NULL: a missing value, as in a frame that has no NULLs for numbers."""
+    kinds = (T.DoubleType, T.FloatType)
+    names = [f.name for f in df.schema if isinstance(f.dataType, kinds)]
+    return df.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names}) if names else df
+
+
 def flag(condition: Column) -> Column:
     """0/1 integer. Flags are summed and multiplied, so they are not booleans."""
     return F.when(condition, 1).otherwise(0)

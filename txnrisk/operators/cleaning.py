@@ -8,27 +8,35 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from txnrisk.functions import constants as C
 from txnrisk.functions.features import is_extreme_amount, type_code
+from txnrisk.functions.scalars import without_nan
 from txnrisk.operators.quantiles import exact_quantiles, most_common
 
 
 def fill_zero_balances(df: DataFrame) -> DataFrame:
-    """Missing destination balances mean a new account: 0."""
-    return df.na.fill(0.0, subset=C.ZERO_FILL_COLUMNS)
+    """Missing destination balances mean a new account: 0. NaN counts as missing, here and after."""
+    return without_nan(df).na.fill(0.0, subset=C.ZERO_FILL_COLUMNS)
 
 
-def fill_values(df: DataFrame) -> dict[str, object]:
+def gaps(df: DataFrame) -> list[str]:
+    """Columns with missing cells."""
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
+    return [c for c in df.columns if counts[c] > 0]
+
+
+def fill_values(df: DataFrame, every: bool = False) -> dict[str, object]:
     """Value per column that still has missing cells: the median, or the mode of text.
 
     Looks at the frame after ``fill_zero_balances``. A column without any value is left out.
+    ``every`` takes complete columns too, for rows to come that have other gaps.
     """
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
-    gaps = [f for f in df.schema if counts[f.name] > 0]
-    numeric = [f.name for f in gaps if isinstance(f.dataType, T.NumericType)]
+    wanted = df.columns if every else gaps(df)
+    fields = [f for f in df.schema if f.name in wanted]
+    numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
     values: dict[str, object] = {}
     if numeric:
         medians = exact_quantiles(df, {c: F.col(c) for c in numeric}, [0.5])
         values.update({c: m[0] for c, m in medians.items() if m[0] is not None})
-    for field in gaps:
+    for field in fields:
         if isinstance(field.dataType, T.StringType):
             mode = most_common(df, field.name)
             if mode is not None:
@@ -56,7 +64,7 @@ def drop_duplicates(df: DataFrame) -> DataFrame:
 
 
 def drop_invalid_amounts(df: DataFrame) -> DataFrame:
-    return df.where(F.col("amount") > 0)
+    return df.where((F.col("amount") > 0) & ~F.isnan("amount"))
 
 
 def cap_value(df: DataFrame, q: float = C.CAP_QUANTILE) -> float | None:

@@ -54,9 +54,12 @@ def stratified_split(df: DataFrame, label: str = LABEL, test: float = 0.2, seed:
 
     A row is in the test part when the hash of its key is at most its class's cut, the
     k-th smallest hash. The cut is found by counting, so no class is sorted in one task,
-    and membership depends on the key alone: the split is the same on every run.
+    and membership depends on the key alone: the split is the same on every run. Rows without a
+    label belong to neither part, so they raise, with their number.
     """
     counts = class_counts(df, label)
+    if None in counts:
+        raise ValueError(f"{label} is missing in {counts[None]} rows; fill or leave them out before the split")
     sizes = {c: k for c, k in test_sizes(counts, test).items() if k > 0}
     h = _hash(key, seed)
     streams = {str(c): F.when(F.col(label) == F.lit(c), h) for c in sizes}

@@ -183,10 +183,14 @@ def with_neighbour(df: DataFrame, key: str, order: str, columns: Sequence[str],
         return plain(df)
 
     # Heavy keys leave before any shuffle by key.
-    light = plain(df.join(F.broadcast(heavy), key, "left_anti"))
+    def of(keys: DataFrame) -> tuple[DataFrame, Column]:
+        """For joins that match missing keys too."""
+        return F.broadcast(keys.select(F.col(key).alias("_heavy"))), F.col(key).eqNullSafe(F.col("_heavy"))
+
+    light = plain(df.join(*of(heavy), "left_anti"))
     wanted = heavy if only is None else heavy.join(only, key, "left_semi")
     _, marks = range_marks(df, tie)
-    rows = with_range(df.join(F.broadcast(wanted), key, "left_semi"), tie, marks, "_cell")
+    rows = with_range(df.join(*of(wanted), "left_semi"), tie, marks, "_cell")
     packed = F.struct(*columns)
     edge = F.min_by(packed, F.col(tie)) if following else F.max_by(packed, F.col(tie))
     cells = rows.groupBy(key, order, "_cell").agg(edge.alias("_edge"))
@@ -195,7 +199,7 @@ def with_neighbour(df: DataFrame, key: str, order: str, columns: Sequence[str],
     inside = Window.partitionBy(key, order, "_cell").orderBy(tie)
     looked = rows.withColumn("_near", step_to(packed).over(inside))
     own = edges.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col("_cell").alias("_c"), "_edge")
-    same_cell = ((F.col(key) == F.col("_k")) & F.col(order).eqNullSafe(F.col("_o"))
+    same_cell = (F.col(key).eqNullSafe(F.col("_k")) & F.col(order).eqNullSafe(F.col("_o"))
                  & (F.col("_cell") == F.col("_c")))
     joined = looked.join(own, same_cell)
     near = F.coalesce(F.col("_near"), F.col("_edge"))

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from txnrisk.functions import constants as C
-from txnrisk.functions.scalars import percent, rnd
+from txnrisk.functions.scalars import percent, rnd, without_nan
 from txnrisk.operators.quantiles import exact_quantiles
 
 
 def missing_report(df: DataFrame) -> DataFrame:
     """(column, count, pct) for the columns that have missing values."""
+    df = without_nan(df)
     names = df.columns
     counted = df.agg(
         F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in names])

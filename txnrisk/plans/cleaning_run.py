@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txnrisk.functions import constants as C
 from txnrisk.functions.features import add_features
+from txnrisk.functions.scalars import without_nan
 from txnrisk.operators import cleaning, quality
 from txnrisk.session import stage
 from txnrisk.sources import files, schema as S
 
 @dataclass(frozen=True)
 class Learned:
-    """Values taken from the data: enough to clean new rows the same way."""
+    """Values taken from the data, for every column: enough to clean new rows the same way,
+    also where they have gaps that the data did not have."""
 
     fills: Mapping[str, object]
     cap: float | None
@@ -61,12 +63,17 @@ def prepare(raw: DataFrame) -> Prepared:
     """De-duplication shuffles whole rows and several passes follow, so its result is
     written once to the shared folder. The cap is learned from its valid rows.
     """
-    fills = learn_fills(raw)
-    distinct = stage(distinct_rows(raw, fills), "distinct-rows")
+    fills = cleaning.fill_values(cleaning.fill_zero_balances(raw), every=True)
+    distinct = stage(distinct_rows(raw, needed(raw, fills)), "distinct-rows")
     cap = cleaning.cap_value(cleaning.drop_invalid_amounts(distinct))
     return Prepared(distinct, Learned(fills, cap))
 
 
+def needed(raw: DataFrame, fills: Mapping[str, object]) -> dict[str, object]:
+    """The fills of columns with gaps: a fractional median would change the type of the others."""
+    return {c: fills[c] for c in cleaning.gaps(cleaning.fill_zero_balances(raw)) if c in fills}
+
+
 def finish(valid: DataFrame, cap: float | None, strict: bool = False) -> DataFrame:
     """Cap, derive and encode: per-row steps only, fit for streams."""
     capped = cleaning.cap_amounts(valid, cap)
@@ -77,7 +84,7 @@ def clean(raw: DataFrame, learned: Learned | None = None, strict: bool = False)
     """The 25-column cleaned table. Unknown types are left out unless ``strict`` raises."""
     if learned is None:
         return clean_prepared(prepare(raw), strict)
-    return finish(valid_rows(raw, learned.fills), learned.cap, strict).select(*S.CLEANED.names)
+    return finish(valid_rows(raw, needed(raw, learned.fills)), learned.cap, strict).select(*S.CLEANED.names)
 
 
 def clean_prepared(prepared: Prepared, strict: bool = False) -> DataFrame:
@@ -93,7 +100,7 @@ def step_audit(raw: DataFrame, prepared: Prepared | None = None) -> DataFrame:
     prepared = prepared or prepare(raw)
     fills, cap = prepared.learned.fills, prepared.learned.cap
     unfilled = [c for c in raw.columns if c in C.ZERO_FILL_COLUMNS or c in fills]
-    before = raw.agg(
+    before = without_nan(raw).agg(
         F.count(F.lit(1)).alias("raw"),
         *[F.count_if(F.col(c).isNull()).alias(c) for c in unfilled],
     ).first()
@@ -107,7 +114,7 @@ def step_audit(raw: DataFrame, prepared: Prepared | None = None) -> DataFrame:
     ).first()
     rows = before["raw"]
     steps = []
-    for name in unfilled:
+    for name in (c for c in unfilled if c in C.ZERO_FILL_COLUMNS or before[c]):
         value = 0.0 if name in C.ZERO_FILL_COLUMNS else fills[name]
         steps.append((f"fill {name}", rows, rows, f"{before[name]} missing filled with {value}"))
     steps += [
@@ -129,13 +136,13 @@ def run(spark: SparkSession, raw_path: str, clean_path: str, as_csv: bool = Fals
 
     Strict mode raises on an unknown type or a failed check.
     """
-    raw = files.read_csv(spark, raw_path)
+    raw = without_nan(files.read_csv(spark, raw_path))
     audit = quality.audit(raw)
     prepared = prepare(raw)
     cleaned = clean_prepared(prepared, strict)
     if as_csv:
         files.write_csv(cleaned, clean_path)
-        stored = files.read_csv(spark, clean_path, S.CLEANED)
+        stored = files.read_csv(spark, clean_path, cleaned.schema)
     else:
         files.write_parquet(cleaned, clean_path)
         stored = spark.read.parquet(clean_path)

@@ -17,8 +17,9 @@ def _present(name: str) -> Column:
 def _typed(name: str, kind: T.DataType) -> Column:
     cell = _present(name)
     if isinstance(kind, T.IntegerType):
-        # "1.0" is a whole number in a file that once held a missing value.
-        return F.coalesce(cell.try_cast("int"), cell.try_cast("double").try_cast("int"))
+        # "1.0" is a whole number in a file that once held a missing value; "1.7" does not fit.
+        number = cell.try_cast("double")
+        return F.coalesce(F.when(number == F.floor(number), number.try_cast("int")), F.when(number.isNull(), cell.try_cast("int")))
     return cell if isinstance(kind, T.StringType) else cell.try_cast(kind)
 
 
