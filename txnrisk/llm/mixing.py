@@ -135,7 +135,8 @@ def take_documents(docs: DataFrame, block: int = BLOCK, repeats: int = REPEATS,
     laid = (known.withColumn("_end", running).join(per_part, ["rank", "_part"])
             .withColumn("_end", F.col("_end") + F.col("_before"))
             .withColumn("_start", F.col("_end") - F.col("size")).drop("_part", "_before"))
-    counted = draw_slots(sources).groupBy("rank", "block").agg(F.count("*").alias("_times"))
+    # a row per block: the few sources that it is made from would have it taken for small and broadcast
+    counted = draw_slots(sources).groupBy("rank", "block").agg(F.count("*").alias("_times")).hint("merge")
     inside = laid.where("size > 0").withColumn(
         "block", F.explode(F.expr(f"sequence(_start div {block}, (_end - 1) div {block})")))
     overlap = (F.least("_end", (F.col("block") + 1) * block) - F.greatest("_start", F.col("block") * block))
