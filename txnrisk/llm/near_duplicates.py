@@ -141,6 +141,7 @@ def _texts(docs: DataFrame, unique: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, norm) of the texts of ``keys``, once each; stored.
 
     Rows are found by a hash of the text as it stands, so only those found are normalised.
+    All of ``docs`` is dealt out for it, so this is done once, for every text that any round needs.
     """
     wanted = unique.select("key", "raw").join(keys, "key", "left_semi")
     found = (docs.select(F.col("text").cast("string").alias("text")).withColumn("raw", F.xxhash64("text")).join(wanted, "raw")
@@ -148,7 +149,7 @@ def _texts(docs: DataFrame, unique: DataFrame, keys: DataFrame) -> DataFrame:
     return stage(found.groupBy("key").agg(F.min("norm").alias("norm")), "near-texts")
 
 
-def _verified(pairs: DataFrame, unique: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, unique: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys that are similar; stored.
 
     First the sketches, a few hundred bytes each, rule out most pairs; the texts of the others
@@ -164,9 +165,7 @@ def _verified(pairs: DataFrame, unique: DataFrame, docs: DataFrame) -> DataFrame
         return pd.Series((x == y).sum(1) >= LEAST_EQUAL)
 
     likely = stage(drawn.where(close("ea", "eb")).select("a", "b"), "near-pairs")
-    needed = likely.select(F.col("a").alias("key")).union(likely.select(F.col("b").alias("key"))).distinct()
-    wanted = _texts(docs, unique, needed)
-    both = likely.join(wanted.toDF("a", "ta"), "a").join(wanted.toDF("b", "tb"), "b")
+    both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     @F.pandas_udf("boolean")
     def match(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -284,6 +283,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = unique.select("key", F.explode("buckets").alias("bucket"))
     several = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = stage(placed.join(several, "bucket"), "near-rows")
+    # a text that shares no bucket is compared with none
+    texts = _texts(docs, unique, rows.select("key").distinct())
     links, labels = None, None
     for turn in range(ROUNDS):
         open_ = _labelled(rows, labels)
@@ -294,7 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("centre_label")), "near-centres")
         pairs = (open_.join(centre, "bucket").where("label <> centre_label")
                  .select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct())
-        found = _verified(pairs, unique, docs)
+        found = _verified(pairs, unique, texts)
         links = found if links is None else links.union(found)
         labels = components(links)
     open_ = _labelled(rows, labels)
@@ -303,9 +304,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = stage(mixed.where(f"low <> high and n >= {ROUNDS + 2}").select("bucket"), "near-mixed")
     if mixed.head(1):
         still = stage(open_.join(mixed, "bucket"), "near-open")
-        grams = _texts(docs, unique, still.select("key").distinct()).select("key", _grams("norm").alias("grams"))
+        grams = texts.join(still.select("key").distinct(), "key", "left_semi").select("key", _grams("norm").alias("grams"))
         apart = still.join(stage(grams, "near-grams"), "key")
-        links = links.union(_verified(_blocked(apart), unique, docs))
+        links = links.union(_verified(_blocked(apart), unique, texts))
         labels = components(links)
     classed = members.join(labels.toDF("key", "_l"), "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l")
     least = classed.where("size > 0").groupBy("label").agg(F.min("doc_id").alias("class_id"))
