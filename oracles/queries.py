@@ -327,9 +327,10 @@ FROM txn WHERE is_fraud = 1 GROUP BY type"""),
        {FRAUDS} AS fraud_count, {RATE} AS fraud_rate_pct, {mean(F_AMT)} AS avg_fraud_amount,
        {LOSS} AS total_fraud_loss FROM txn GROUP BY is_weekend"""),
     "flag_outcomes": _txn(f"""SELECT is_fraud, is_flagged_fraud, {N} AS count,
-       CASE is_fraud * 2 + is_flagged_fraud WHEN 0 THEN 'True Negative (Correct)'
-            WHEN 1 THEN 'False Positive (False Alarm)' WHEN 2 THEN 'False Negative (MISSED!)'
-            ELSE 'True Positive (Caught!)' END AS outcome
+       CASE WHEN is_fraud = 1 AND is_flagged_fraud = 1 THEN 'True Positive (Caught!)'
+            WHEN is_fraud = 1 THEN 'False Negative (MISSED!)'
+            WHEN is_flagged_fraud = 1 THEN 'False Positive (False Alarm)'
+            ELSE 'True Negative (Correct)' END AS outcome
        FROM txn GROUP BY is_fraud, is_flagged_fraud"""),
     "flag_precision_recall": _txn(f"""SELECT {_count('is_fraud = 1 AND is_flagged_fraud = 1')} AS true_positives,
        {_count('is_fraud = 0 AND is_flagged_fraud = 1')} AS false_positives,

@@ -95,3 +95,18 @@ def test_missing_order_keeps_the_row(skewed):
     w = Window.partitionBy("key").orderBy("step", "id")
     got = ordering.with_neighbour(gaps, "key", "step", ["id"], group_rows=50)
     assert same(got, gaps.withColumn("prev_id", F.lag("id").over(w)).select(*got.columns))
+
+
+def test_ranges_follow_rows():
+    assert ordering.range_count(0, 8) == 16
+    assert ordering.range_count(1_000_000, 200) == 200
+    for rows in (10**9, 10**10, 6 * 10**10):
+        assert rows / ordering.range_count(rows, 200) <= ordering.GROUP_ROWS
+    assert ordering.range_count(10**13, 200) == ordering.MAX_RANGES
+
+
+def test_ranks_with_few_rows_per_range(skewed, monkeypatch):
+    monkeypatch.setattr(ordering, "GROUP_ROWS", 50)
+    found = ordering.global_rank(skewed, "v")
+    want = {r["id"]: r["rank"] for r in plain_ranks(skewed).collect()}
+    assert {r["id"]: r["rank"] for r in found.select("id", "rank").collect()} == want

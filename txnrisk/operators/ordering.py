@@ -24,9 +24,12 @@ MAX_RANGES = 16384
 SAMPLE_PER_RANGE = 100
 
 
-def _range_count(df: DataFrame) -> int:
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, min(wanted, MAX_RANGES))
+def range_count(rows: int, partitions: int) -> int:
+    """Ranges for so many rows: about GROUP_ROWS in each, and one for every shuffle partition at least.
+
+    From MAX_RANGES on, which keeps the boundaries a bounded list, ranges hold more rows.
+    """
+    return max(16, min(max(partitions, -(-rows // GROUP_ROWS)), MAX_RANGES))
 
 
 def range_marks(df: DataFrame, column: str, ranges: int | None = None,
@@ -37,10 +40,10 @@ def range_marks(df: DataFrame, column: str, ranges: int | None = None,
     bounded size, as in a range repartitioning: they decide only how even the ranges are.
     Every row takes part in the counts that follow.
     """
-    ranges = ranges or _range_count(df)
     total, rows = df.agg(F.count(column), F.count(F.lit(1))).first()
     if strict and rows != total:
         raise ValueError(f"{column} is missing in {rows - total} rows; fill it before ranking")
+    ranges = ranges or range_count(total, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     wanted = SAMPLE_PER_RANGE * ranges
     looked = df if total <= wanted else df.sample(wanted / total, seed=1)
     points = [i / ranges for i in range(1, ranges)]
