@@ -12,6 +12,8 @@ from txnrisk.functions.scalars import percent, ratio, rnd
 from txnrisk.operators.quantiles import exact_quantiles
 
 MAX_GROUPS = 64
+# Wide enough for capped amounts, which need not be whole cents.
+MONEY = "decimal(28,8)"
 
 
 def _fraud() -> Column:
@@ -351,6 +353,15 @@ def decile_edges(df: DataFrame, column: str = "amount", q: int = 10, strict: boo
     return edges[1:-1]
 
 
+def _total(amount: Column) -> Column:
+    """Decimal sum, the same whatever the task order."""
+    return F.sum(amount.cast(MONEY))
+
+
+def _mean(amount: Column) -> Column:
+    return ratio(_total(amount), F.count(amount))
+
+
 def decile_loss(df: DataFrame, column: str = "amount", q: int = 10, strict: bool = True) -> DataFrame:
     """(decile, fraud_count, fraud_loss_millions): fraud amount per amount decile of all rows.
 
@@ -364,7 +375,7 @@ def decile_loss(df: DataFrame, column: str = "amount", q: int = 10, strict: bool
         bucket = F.when(F.col(column) <= F.lit(edge).cast("double"), label).otherwise(bucket)
     losses = df.where(_fraud()).groupBy(bucket.alias("decile")).agg(
         F.count(F.lit(1)).alias("fraud_count"),
-        rnd(F.sum("amount") / 1e6, 6).alias("fraud_loss_millions"),
+        rnd(_total(F.col("amount")).cast("double") / 1e6, 6).alias("fraud_loss_millions"),
     )
     return over_domain(losses, "decile", labels, {"fraud_count": 0, "fraud_loss_millions": 0.0})
 
@@ -375,10 +386,10 @@ def business_metrics(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.sum("isFraud").cast("long").alias("fraud_transactions"),
-        rnd(F.sum(fraud_amount), 2).alias("total_fraud_loss"),
-        rnd(F.avg(fraud_amount), 2).alias("avg_fraud_amount"),
-        rnd(F.avg(legit_amount), 2).alias("avg_legit_amount"),
-        rnd(ratio(F.avg(fraud_amount), F.avg(legit_amount)), 4).alias("fraud_to_legit_ratio"),
+        rnd(_total(fraud_amount), 2).alias("total_fraud_loss"),
+        rnd(_mean(fraud_amount), 2).alias("avg_fraud_amount"),
+        rnd(_mean(legit_amount), 2).alias("avg_legit_amount"),
+        rnd(ratio(_mean(fraud_amount), _mean(legit_amount)), 4).alias("fraud_to_legit_ratio"),
     )
 
 
@@ -403,8 +414,8 @@ def insight_summary(df: DataFrame) -> DataFrame:
         share(F.col("type") == "CASH_OUT").alias("cash_out_share_pct"),
         percent(F.count_if(_fraud() & F.col("type").isin(C.FRAUD_TYPES)), F.sum("isFraud"), 4)
         .alias("fraud_in_eligible_types_pct"),
-        rnd(F.avg(fraud_amount), 2).alias("avg_fraud_amount"),
-        rnd(F.avg(F.when(~_fraud(), F.col("amount"))), 2).alias("avg_legit_amount"),
+        rnd(_mean(fraud_amount), 2).alias("avg_fraud_amount"),
+        rnd(_mean(F.when(~_fraud(), F.col("amount"))), 2).alias("avg_legit_amount"),
         *tiers,
     )
 
