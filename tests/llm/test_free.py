@@ -218,13 +218,28 @@ def test_components(spark):
     rng = random.Random(2)
     edges = [(f"{rng.randrange(300):03d}", f"{rng.randrange(300):03d}") for _ in range(200)] + [(f"x{i:03d}", f"x{i + 1:03d}") for i in range(40)]
     got = {r["vertex"]: r["label"] for r in near.components(spark.createDataFrame(edges, "a string, b string")).collect()}
-    label = {v: v for e in edges for v in e}
+    label = {v: v for e in edges if e[0] != e[1] for v in e}
     for _ in range(400):
         for a, b in edges:
-            label[a] = label[b] = min(label[a], label[b])
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
     assert got == label
 
 
+def test_components_in_two_parts(spark):
+    """Links that come after contraction began join classes by any of their vertices."""
+    frame = lambda edges: spark.createDataFrame(edges, "a string, b string")
+    rng = random.Random(3)
+    first = [(f"{i:03d}", f"{i + 1:03d}") for i in range(60) if i % 20 != 19]
+    second = [(f"{rng.randrange(80):03d}", f"{rng.randrange(80):03d}") for _ in range(12)] + [("019", "020")]
+    edges, labels = near._contracted(frame(first), None)
+    lifted = near._lifted(frame(second), labels)
+    got = {r["vertex"]: r["label"] for r in near.components(edges.union(lifted), labels).collect()}
+    want = {r["vertex"]: r["label"] for r in near.components(frame(first + second)).collect()}
+    assert got == want
+    assert near.components(frame([])).count() == 0
+
+
 def test_near_duplicates_awkward_rows(spark):
     wide = awkward(spark)
     got = near.near_duplicates(wide)

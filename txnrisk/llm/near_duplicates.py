@@ -183,25 +183,46 @@ def _verified(pairs: DataFrame, unique: DataFrame, texts: DataFrame) -> DataFram
     return stage(both.where(match("ta", "tb")).select("a", "b"), "near-links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """vertex, label: the least vertex reachable over ``links`` (a, b), for every vertex in a link.
+def _lifted(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``links`` (a, b) of keys as edges between their labels; a key without a label is its own."""
+    if labels is not None:
+        for end in ("a", "b"):
+            links = links.join(labels.toDF(end, "_l"), end, "left").withColumn(end, F.coalesce("_l", end)).drop("_l")
+    return links.select("a", "b")
 
-    Every round a vertex takes the least label around it, then its label's label. Rounds are
-    stored, and counted as done when no label changes.
+
+def _contracted(edges: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """One step of contraction: ``edges`` (a, b) between new labels, and ``labels`` (vertex, label) moved to them.
+
+    Every label takes the least one within two edges of it, and its edges go along, so what was
+    connected stays so. Labels are hashes: a chain of n is down to one in about log n steps.
+    Without edges the same ``labels`` come back.
+    """
+    edges = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-edges")
+    if not edges.head(1):
+        return edges, labels
+    both = edges.union(edges.select("b", "a"))
+    one = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("b"), F.least("a", "b").alias("low"))
+    # the least label around a neighbour is at most the vertex itself
+    two = stage(both.join(one, "b").groupBy(F.col("a").alias("vertex")).agg(F.min("low").alias("low")), "near-steps")
+    moved = edges.join(two.toDF("a", "x"), "a").join(two.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if labels is None:
+        return moved, two.toDF("vertex", "label")
+    old = labels.join(two.toDF("label", "low"), "label", "left").select("vertex", F.coalesce("low", "label").alias("label"))
+    fresh = two.join(labels, "vertex", "left_anti").toDF("vertex", "label")
+    return moved, stage(old.union(fresh), "near-labels")
+
+
+def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """vertex, label: the least vertex reachable over ``edges`` (a, b), for every vertex that has an edge to another.
+
+    ``labels`` are those that the edges are between, from contractions before.
     """
-    both = stage(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-both")
-    labels = stage(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "near-labels")
     while True:
-        around = (both.join(labels.toDF("b", "other"), "b").groupBy(F.col("a").alias("vertex"))
-                  .agg(F.min("other").alias("other")))
-        met = labels.join(around, "vertex").select("vertex", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        met = stage(met, "near-met")
-        jump = met.select(F.col("vertex").alias("label"), F.col("label").alias("next"))
-        new = stage(met.join(jump, "label", "left").select(
-            "vertex", "old", F.least("label", "next").alias("label")), "near-labels")
-        labels = new.select("vertex", "label")
-        if not new.where(F.col("old") != F.col("label")).head(1):
-            return labels
+        edges, after = _contracted(edges, labels)
+        if after is labels:
+            return edges.toDF("vertex", "label") if labels is None else labels
+        labels = after
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
@@ -285,7 +306,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stage(placed.join(several, "bucket"), "near-rows")
     # a text that shares no bucket is compared with none
     texts = _texts(docs, unique, rows.select("key").distinct())
-    links, labels = None, None
+    edges, labels = None, None
     for turn in range(ROUNDS):
         open_ = _labelled(rows, labels)
         salt = F.xxhash64("key", F.lit(turn))
@@ -296,8 +317,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = (open_.join(centre, "bucket").where("label <> centre_label")
                  .select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct())
         found = _verified(pairs, unique, texts)
-        links = found if links is None else links.union(found)
-        labels = components(links)
+        # one step between rounds; labels that differ inside a class only cost some pairs
+        lifted = _lifted(found, labels)
+        edges, labels = _contracted(lifted if edges is None else edges.union(lifted), labels)
+    labels = components(edges, labels)
     open_ = _labelled(rows, labels)
     mixed = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("n").alias("n"))
     # with few rows all pairs have met by now
@@ -306,8 +329,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         still = stage(open_.join(mixed, "bucket"), "near-open")
         grams = texts.join(still.select("key").distinct(), "key", "left_semi").select("key", _grams("norm").alias("grams"))
         apart = still.join(stage(grams, "near-grams"), "key")
-        links = links.union(_verified(_blocked(apart), unique, texts))
-        labels = components(links)
+        labels = components(_lifted(_verified(_blocked(apart), unique, texts), labels), labels)
     classed = members.join(labels.toDF("key", "_l"), "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l")
     least = classed.where("size > 0").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     out = classed.join(least, "label", "left")
