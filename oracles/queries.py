@@ -286,6 +286,14 @@ def _report_lines() -> str:
     return _scored(CM + "\n" + "\nUNION ALL ".join(rows))
 
 
+# Rows of the test part by class: proportional, largest remainders rounded up.
+SPLIT = """, n AS (SELECT "isFraud" AS label, count(*) AS n, sum(count(*)) OVER () AS all_n
+       FROM feat GROUP BY 1),
+  s AS (SELECT *, ceil(all_n * 0.2) AS want, ceil(all_n * 0.2) * n / all_n AS x FROM n),
+  k AS (SELECT *, CAST(floor(x) AS BIGINT) + CAST(row_number() OVER (ORDER BY x - floor(x) DESC, label)
+          <= want - sum(floor(x)) OVER () AS BIGINT) AS t FROM s)
+"""
+
 ORACLES: dict[str, str] = {
     "raw_transactions": f"{RAW}\nSELECT * FROM raw",
     "feature_table": _feat(f"SELECT *, {TYPE_CODE} AS type_encoded, {r('ln(1 + amount)', 8)} AS log_amount FROM feat"),
@@ -516,12 +524,10 @@ FROM (VALUES ('Low'), ('Medium'), ('High'), ('Critical')) AS v(t) LEFT JOIN aler
     "priority_hit_rate": _scored(f"""{ALERTS} SELECT {N} AS urgent_rows, {_count('actual_fraud = 1')} AS urgent_fraud,
        {r(div(_count('actual_fraud = 1'), N) + ' * 100', 1)} AS urgent_fraud_pct
 FROM alerts WHERE alert_priority IN ('High', 'Critical')"""),
-    "split_rows": _feat(f""", n AS (SELECT "isFraud" AS label, count(*) AS n, sum(count(*)) OVER () AS all_n
-       FROM feat GROUP BY 1),
-  s AS (SELECT *, ceil(all_n * 0.2) AS want, ceil(all_n * 0.2) * n / all_n AS x FROM n),
-  k AS (SELECT *, CAST(floor(x) AS BIGINT) + CAST(row_number() OVER (ORDER BY x - floor(x) DESC, label)
-          <= want - sum(floor(x)) OVER () AS BIGINT) AS t FROM s)
-SELECT 'test' AS part, label, t AS rows FROM k UNION ALL SELECT 'train', label, n - t FROM k"""),
+    "split_rows": _feat(f"""{SPLIT}SELECT 'test' AS part, label, t AS rows FROM k UNION ALL SELECT 'train', label, n - t FROM k"""),
+    "split_membership": _feat(f"""{SPLIT}SELECT id, CASE WHEN r <= t THEN 'test' ELSE 'train' END AS part
+FROM k JOIN (SELECT id, "isFraud" AS label, row_number() OVER (
+  PARTITION BY "isFraud" ORDER BY CAST('0x' || substr(md5(id || ':42'), 1, 13) AS BIGINT)) AS r FROM feat) USING (label)"""),
     "live_hourly": _feat(f"""SELECT step AS simulation_hour, {N} AS transactions, CAST(sum("isFraud") {BIG} AS fraud_count,
        CAST(sum(CASE "isFraud" WHEN 1 THEN CAST(amount AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS fraud_loss
 FROM feat GROUP BY step"""),

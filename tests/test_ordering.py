@@ -73,6 +73,25 @@ def test_neighbour_equals_plain_window(skewed, following, group_rows):
     assert same(got.select(*want.columns), want)
 
 
+@pytest.mark.parametrize("following", [False, True])
+def test_neighbour_by_a_fine_order(skewed, following):
+    """A heavy key with an order value of its own in nearly every row is still cut into few cells."""
+    fine = skewed.withColumn("step", F.when(F.col("id") % 7 == 0, F.lit(500.5)).when(F.col("id") % 50 != 3, F.pmod(F.hash("id"), F.lit(10**6)) / 8))
+    fine = fine.withColumn("key", F.when(F.col("key") != "hot", F.col("key")))
+    step_to = F.lead if following else F.lag
+    want = fine.withColumn("near", step_to("id").over(Window.partitionBy("key").orderBy("step", "id")))
+    got = ordering.with_neighbour(fine, "key", "step", ["id"], following=following, group_rows=50)
+    assert same(got.toDF(*want.columns), want)
+
+
+def test_only_some_keys(skewed):
+    only = skewed.select("key").where("key in ('hot', 'k3')").distinct()
+    w = Window.partitionBy("key").orderBy("step", "id")
+    want = skewed.withColumn("prev_x", F.lag("x").over(w)).where("key in ('hot', 'k3')")
+    got = ordering.with_neighbour(skewed, "key", "step", ["x"], only=only, group_rows=200)
+    assert same(got.select(*want.columns), want)
+
+
 def test_heavy_keys_found(skewed):
     assert [r["key"] for r in ordering.heavy_keys(skewed, "key", 500).collect()] == ["hot"]
     assert ordering.heavy_keys(skewed, "key", 2000) is None

@@ -175,3 +175,13 @@ def test_catalog_table_answers_sql(spark, sf, tmp_path):
     want = base.where("type = 'TRANSFER'").agg(F.count("*"), F.sum("is_fraud")).first()
     assert row[:] == want[:]
     spark.sql("DROP TABLE stored_transactions")
+
+
+def test_more_groups_than_one_pass_takes(spark, monkeypatch):
+    df = spark.range(2000).selectExpr("id % 20 AS g", "CAST(hash(id) % 50 AS DOUBLE) AS v")
+    tables = (lambda: P.histogram(df, F.col("v"), 4, by="g"), lambda: P.box_stats(df, F.col("v"), "g"),
+              lambda: P.kernel_density(df, "v", "g", points=3))
+    one = [sorted(make().collect()) for make in tables]
+    monkeypatch.setattr(P, "MAX_GROUPS", 9)
+    assert [sorted(make().collect()) for make in tables] == one
+    assert {r["g"] for r in one[0]} == set(range(20)) and sum(r["count"] for r in one[0]) == 2000

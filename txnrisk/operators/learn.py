@@ -24,8 +24,8 @@ MAX_BINS = 128
 
 
 def _hash(key: str, seed: int) -> Column:
-    """53 bits of the key's hash: exact as a double."""
-    return F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11).cast("double")
+    """52 bits of the md5 of key and seed: exact as a double, and other engines have it too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("double")
 
 
 def class_counts(df: DataFrame, label: str = LABEL) -> dict[int, int]:
@@ -71,6 +71,12 @@ def stratified_split(df: DataFrame, label: str = LABEL, test: float = 0.2, seed:
     return df.where(~chosen), df.where(chosen)
 
 
+def split_membership(train: DataFrame, test: DataFrame, key: str = "id") -> DataFrame:
+    """(key, part) of every row of a split."""
+    return (train.select(key, F.lit("train").alias("part"))
+            .unionByName(test.select(key, F.lit("test").alias("part"))))
+
+
 def split_summary(train: DataFrame, test: DataFrame, label: str = LABEL) -> DataFrame:
     """(part, label, rows) of a split."""
     parts = [p.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("rows"))

@@ -168,10 +168,11 @@ def with_neighbour(df: DataFrame, key: str, order: str, columns: Sequence[str],
                    group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add ``prev_<c>`` (or ``next_<c>``): the values of the neighbouring row of the same key.
 
-    Rows are ordered by (order, tie). ``only`` keeps the keys of a one-column frame.
-    Keys of ordinary size use one window. A heavy key is cut into cells of one ``order``
-    value and one range of ``tie``; rows look inside their cell, and a cell's edge row
-    takes the edge of the neighbouring cell.
+    Rows are ordered by (order, tie), both numeric or times. ``only`` keeps the keys of a
+    one-column frame. Keys of ordinary size use one window. A heavy key is cut into cells by
+    ranges of ``order``. A value that a range starts with may hold any number of rows, as may
+    a missing one, so these are cut by ranges of ``tie``. Rows look inside their cell, and a
+    cell's edge row takes the edge of the neighbouring cell.
     """
     prefix = "next" if following else "prev"
     step_to = F.lead if following else F.lag
@@ -181,7 +182,8 @@ def with_neighbour(df: DataFrame, key: str, order: str, columns: Sequence[str],
         w = Window.partitionBy(key).orderBy(order, tie)
         return kept.withColumns({f"{prefix}_{c}": step_to(c).over(w) for c in columns})
 
-    heavy = heavy_keys(df, key, group_rows)
+    counted = df.select(key)
+    heavy = heavy_keys(counted if only is None else counted.join(only, key, "left_semi"), key, group_rows)
     if heavy is None:
         return plain(df)
 
@@ -191,20 +193,29 @@ def with_neighbour(df: DataFrame, key: str, order: str, columns: Sequence[str],
         return F.broadcast(keys.select(F.col(key).alias("_heavy"))), F.col(key).eqNullSafe(F.col("_heavy"))
 
     light = plain(df.join(*of(heavy), "left_anti"))
-    wanted = heavy if only is None else heavy.join(only, key, "left_semi")
-    _, marks = range_marks(df, tie)
-    rows = with_range(df.join(*of(wanted), "left_semi"), tie, marks, "_cell")
-    packed = F.struct(*columns)
-    edge = F.min_by(packed, F.col(tie)) if following else F.max_by(packed, F.col(tie))
-    cells = rows.groupBy(key, order, "_cell").agg(edge.alias("_edge"))
-    across = Window.partitionBy(key).orderBy(order, "_cell")
-    edges = cells.withColumn("_edge", step_to("_edge").over(across))
-    inside = Window.partitionBy(key, order, "_cell").orderBy(tie)
+    dense = df.join(*of(heavy), "left_semi")
+    _, starts = range_marks(dense, order)
+    _, marks = range_marks(dense, tie)
+    ranged = with_range(with_range(dense, order, starts, "_range"), tie, marks, "_tie_range")
+    missing = F.col(order).isNull()
+    at_start = missing | F.coalesce(F.col(order).cast("double").isin(starts), F.lit(False))
+    rows = ranged.withColumns({
+        "_range": F.when(missing, -1).otherwise(F.col("_range")),
+        "_inner": F.when(at_start, 0).otherwise(1),
+        "_value": F.when(at_start, F.col(order)),
+        "_cell": F.when(at_start, F.col("_tie_range")).otherwise(0),
+    })
+    place = ["_range", "_inner", "_value", "_cell"]
+    packed, at = F.struct(*columns), F.struct(order, tie)
+    edge = F.min_by(packed, at) if following else F.max_by(packed, at)
+    cells = rows.groupBy(key, *place).agg(edge.alias("_edge"))
+    edges = cells.withColumn("_edge", step_to("_edge").over(Window.partitionBy(key).orderBy(*place)))
+    inside = Window.partitionBy(key, *place).orderBy(order, tie)
     looked = rows.withColumn("_near", step_to(packed).over(inside))
-    own = edges.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col("_cell").alias("_c"), "_edge")
-    same_cell = (F.col(key).eqNullSafe(F.col("_k")) & F.col(order).eqNullSafe(F.col("_o"))
-                 & (F.col("_cell") == F.col("_c")))
+    own = edges.select(F.col(key).alias("_k"), *[F.col(c).alias(f"{c}_of") for c in place], "_edge")
+    same_cell = F.col(key).eqNullSafe(F.col("_k"))
+    for c in place:
+        same_cell = same_cell & F.col(c).eqNullSafe(F.col(f"{c}_of"))
     joined = looked.join(own, same_cell)
     near = F.coalesce(F.col("_near"), F.col("_edge"))
-    dense = joined.select(*df.columns, *[near[c].alias(f"{prefix}_{c}") for c in columns])
-    return light.unionByName(dense)
+    return light.unionByName(joined.select(*df.columns, *[near[c].alias(f"{prefix}_{c}") for c in columns]))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,6 +12,7 @@ from txnrisk.functions import constants as C
 from txnrisk.functions.scalars import percent, ratio, rnd
 from txnrisk.operators.quantiles import exact_quantiles
 
+# Groups that one pass takes on, each as columns of its own; more groups take more passes.
 MAX_GROUPS = 64
 # Wide enough for capped amounts, which need not be whole cents.
 MONEY = "decimal(28,8)"
@@ -25,11 +27,17 @@ def _rate(digits: int = 4) -> Column:
 
 
 def _groups(df: DataFrame, by: str) -> list:
-    """Sorted values of a grouping column that is meant to have few."""
-    found = df.select(by).where(F.col(by).isNotNull()).distinct().limit(MAX_GROUPS + 1).collect()
-    if len(found) > MAX_GROUPS:
-        raise ValueError(f"{by} has more than {MAX_GROUPS} groups")
-    return sorted(r[0] for r in found)
+    """Sorted values of a grouping column."""
+    return sorted(r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().collect())
+
+
+def _in_passes(df: DataFrame, by: str, groups: list, one_pass: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """``one_pass`` over MAX_GROUPS groups at a time, put together; None if one pass does for all."""
+    if len(groups) <= MAX_GROUPS:
+        return None
+    cuts = [groups[i:i + MAX_GROUPS] for i in range(0, len(groups), MAX_GROUPS)]
+    parts = [one_pass(df.where(F.col(by).isin(some))) for some in cuts]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def over_domain(df: DataFrame, key: str, domain: Sequence, fill: dict[str, object]) -> DataFrame:
@@ -103,6 +111,8 @@ def histogram(df: DataFrame, value: Column, bins: int, by: str | None = None) ->
     (by, bin, bin_start, bin_end, count, density); density has area 1 per group.
     """
     groups = _groups(df, by) if by else [0]
+    if (all_of := _in_passes(df, by, groups, lambda part: histogram(part, value, bins, by))) is not None:
+        return all_of
     data = df.select((F.col(by) if by else F.lit(0)).alias("_g"), value.cast("double").alias("_x"))
     data = data.where(F.col("_g").isNotNull() & F.col("_x").isNotNull())
     ranges = {r["_g"]: r for r in data.groupBy("_g").agg(
@@ -194,6 +204,8 @@ def lift_by(df: DataFrame, key: str) -> DataFrame:
 def box_stats(df: DataFrame, value: Column, by: str = "isFraud") -> DataFrame:
     """Quartiles, whiskers (last datum within 1.5 IQR) and outlier count per group."""
     groups = _groups(df, by)
+    if (all_of := _in_passes(df, by, groups, lambda part: box_stats(part, value, by))) is not None:
+        return all_of
     x = value.cast("double")
     own = {str(g): F.when(F.col(by) == F.lit(g), x) for g in groups}
     quartiles = exact_quantiles(df, own, [0.25, 0.5, 0.75]) if groups else {}
@@ -232,6 +244,8 @@ def kernel_density(df: DataFrame, column: str, by: str = "isFraud", points: int
     (by, point, x, density, median)
     """
     groups = _groups(df, by)
+    if (all_of := _in_passes(df, by, groups, lambda part: kernel_density(part, column, by, points))) is not None:
+        return all_of
     data = df.where(F.col(by).isNotNull() & F.col(column).isNotNull())
     stats = {r[by]: r for r in data.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"),

@@ -190,6 +190,10 @@ def split_rows(spark, sf_dir):
     return learn.split_summary(*learn.stratified_split(feat(spark, sf_dir).select("id", "isFraud")))
 
 
+def split_membership(spark, sf_dir):
+    return learn.split_membership(*learn.stratified_split(feat(spark, sf_dir).select("id", "isFraud")))
+
+
 def model_comparison(spark, sf_dir):
     return training_run.compare_models(trained(spark, sf_dir)).drop("place")
 
@@ -343,6 +347,7 @@ QUERIES: dict[str, Query] = {
     "priority_hit_rate": lambda s, d: evaluate.priority_hit_rate(alert_table(s, d)),
     # models
     "split_rows": split_rows,
+    "split_membership": split_membership,
     "model_comparison": model_comparison,
     "best_models": best_models,
     "scored_transactions": scored_transactions,

@@ -38,21 +38,27 @@ def key_collisions(df: DataFrame, key: str = "id") -> DataFrame:
     return per_key.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("colliding_rows"))
 
 
+def sequence_buckets(rows: int) -> int:
+    """Buckets of about a million rows; from 2^20 buckets on, which keeps their sums broadcastable, larger ones."""
+    return max(256, min(-(-rows // 1_000_000), 1 << 20))
+
+
 def with_sequence(df: DataFrame, columns: Sequence[str] = tuple(C.RAW_COLUMNS),
-                  buckets: int = 16384) -> DataFrame:
+                  buckets: int | None = None) -> DataFrame:
     """Dense ids 1..n without a global sort.
 
     Rows are spread over hash buckets, numbered inside each, and shifted by the
     rows of the buckets before. Rows must be distinct over ``columns`` (as they are
     after de-duplication), which makes the numbering repeatable and the buckets even.
     """
+    buckets = buckets or sequence_buckets(df.count())
     bucketed = df.withColumn("_b", F.pmod(F.xxhash64(*columns), F.lit(buckets)))
     sizes = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy("_b").orderBy(*columns)
     numbered = bucketed.withColumn("_r", F.row_number().over(inside))
-    # At most `buckets` rows are broadcast, however large the table.
+    # At most `buckets` rows of two numbers are broadcast.
     joined = numbered.join(F.broadcast(shifts), "_b")
     return joined.select((F.col("_shift") + F.col("_r")).alias("id"), *df.columns)
 
