@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from txnrisk.functions.features import type_code
 from txnrisk.operators import cleaning
 from txnrisk.plans.cleaning_run import Learned, finish
 from txnrisk.session import shared_folder
@@ -14,8 +15,6 @@ from txnrisk.sources import schema as S
 
 # Time of step 1; the data only counts hours.
 EPOCH = "2000-01-03 00:00:00"
-# As long as the data's whole month, so a row is never too late to count.
-LATENESS = "31 days"
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType = S.RAW) -> DataFrame:
@@ -23,16 +22,36 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType = S.RAW)
     return spark.readStream.schema(schema).parquet(folder)
 
 
+def _filled(rows: DataFrame, learned: Learned) -> DataFrame:
+    return cleaning.fill_missing(cleaning.fill_zero_balances(rows), learned.fills)
+
+
 def score_stream(rows: DataFrame, learned: Learned) -> DataFrame:
-    """Fill, drop invalid amounts, derive and encode with values learned on past data."""
-    filled = cleaning.fill_missing(cleaning.fill_zero_balances(rows), learned.fills)
-    return finish(cleaning.drop_invalid_amounts(filled), learned.cap)
+    """Fill, drop invalid amounts, derive and encode with values learned on past data.
+
+    What is left out, for its amount or an unknown type, is what ``rejected`` returns.
+    """
+    return finish(cleaning.drop_invalid_amounts(_filled(rows, learned)), learned.cap)
 
 
-def hourly_figures(scored: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """(window_start, transactions, fraud_count, fraud_loss) per hour of event time."""
+def rejected(rows: DataFrame, learned: Learned) -> DataFrame:
+    """The rows that ``score_stream`` leaves out, as filled, and the ``reason``: amount or type."""
+    amount = F.col("amount")
+    invalid = ~F.coalesce((amount > 0) & ~F.isnan(amount), F.lit(False))
+    reason = F.when(invalid, "amount").when(type_code().isNull(), "type")
+    return _filled(rows, learned).withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
+def hourly_figures(scored: DataFrame, lateness: str | None = None) -> DataFrame:
+    """(window_start, transactions, fraud_count, fraud_loss) per hour of event time.
+
+    Every row counts, however late: the state kept is one row per hour. With ``lateness``
+    Spark forgets older hours, and rows that come later than that are lost.
+    """
     at = F.timestamp_add("HOUR", F.col("step") - 1, F.lit(EPOCH).cast("timestamp"))
-    timed = scored.withColumn("event_time", at).withWatermark("event_time", lateness)
+    timed = scored.withColumn("event_time", at)
+    if lateness is not None:
+        timed = timed.withWatermark("event_time", lateness)
     return timed.groupBy(F.window("event_time", "1 hour")).agg(
         F.count(F.lit(1)).alias("transactions"),
         F.sum("isFraud").cast("long").alias("fraud_count"),
