@@ -1,0 +1,43 @@
+"""Cases in which an operator once did less than the whole job."""
+
+import random
+from itertools import combinations
+
+from common import docs
+from txnrisk.llm import near_duplicates as near
+
+
+def families(seeds):
+    """Three or four texts of one origin each, with a few words changed."""
+    texts = []
+    for seed in seeds:
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+        origin = [word() for _ in range(150)]
+        for _ in range(3 + seed % 2):
+            copy = list(origin)
+            for _ in range(2):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_every_pair_of_a_small_bucket_meets(spark, monkeypatch):
+    monkeypatch.setattr(near, "BUCKETS", 1)  # so that another bucket does not make up for it
+    rows = docs(spark, list(enumerate(families(range(60)))))
+    base = rows.selectExpr("cast(doc_id as string) doc_id", "unhex(md5(text)) key", "xxhash64(text) raw", "text norm")
+    buckets = {}
+    for r in near.sketches(base).collect():
+        for bucket in r["buckets"]:
+            buckets.setdefault(bucket, set()).add(bytes(r["key"]))
+    want = {p for keys in buckets.values() for p in combinations(sorted(keys), 2)}
+    assert {3, 4} <= {len(keys) for keys in buckets.values()}
+    met = set()
+
+    def none(pairs, *_):
+        met.update((bytes(r["a"]), bytes(r["b"])) for r in pairs.collect())
+        return pairs.where("1 = 0")
+
+    monkeypatch.setattr(near, "_verified", none)  # no links, so no two texts are in one class before they meet
+    near.near_duplicates(rows).collect()
+    assert met == want

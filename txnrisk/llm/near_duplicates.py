@@ -290,9 +290,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal texts count once from here on. Every text is in BUCKETS buckets by its sketch; a pair
     at SIMILAR shares none with a chance of three in a million. Inside a bucket every text
-    meets one text, then, as far as classes still differ, another, ROUNDS times; that takes
-    rows in proportion to the bucket. What is still apart then meets in blocks, where shared
-    k-mers are counted, so no pair of a bucket is left out. Only buckets that go on holding several classes get that far.
+    meets one text, which then leaves it, and, as far as classes still differ, another, ROUNDS
+    times; that takes rows in proportion to the bucket. What is still apart then meets in blocks,
+    where shared k-mers are counted, so no pair of a bucket is left out: up to ROUNDS + 1 texts
+    have all met in the rounds. Only buckets that go on holding several classes get that far.
     """
     base = docs.select(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("raw"),
                        normal(F.col("text")).alias("norm")).withColumn("key", F.unhex(F.md5("norm")))
@@ -307,24 +308,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a text that shares no bucket is compared with none
     texts = _texts(docs, unique, rows.select("key").distinct())
     edges, labels = None, None
-    for turn in range(ROUNDS):
+    for _ in range(ROUNDS):
         open_ = _labelled(rows, labels)
-        salt = F.xxhash64("key", F.lit(turn))
-        centre = stage(open_.groupBy("bucket").agg(
-            F.min(F.struct(salt.alias("s"), "key", "label")).alias("c"),
+        centre = (open_.groupBy("bucket").agg(
+            F.min(F.struct(F.xxhash64("key").alias("s"), "key", "label")).alias("c"),
             F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-            .select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("centre_label")), "near-centres")
-        pairs = (open_.join(centre, "bucket").where("label <> centre_label")
+            .select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("centre_label")))
+        met = stage(open_.join(stage(centre, "near-centres"), "bucket"), "near-met")
+        pairs = (met.where("label <> centre_label")
                  .select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct())
+        # the centre has met every text of its bucket, so the next round's centre is another
+        rows = met.where("key <> centre").select("bucket", "key", "n")
         found = _verified(pairs, unique, texts)
         # one step between rounds; labels that differ inside a class only cost some pairs
         lifted = _lifted(found, labels)
         edges, labels = _contracted(lifted if edges is None else edges.union(lifted), labels)
     labels = components(edges, labels)
     open_ = _labelled(rows, labels)
-    mixed = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("n").alias("n"))
-    # with few rows all pairs have met by now
-    mixed = stage(mixed.where(f"low <> high and n >= {ROUNDS + 2}").select("bucket"), "near-mixed")
+    mixed = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = stage(mixed.where("low <> high").select("bucket"), "near-mixed")
     if mixed.head(1):
         still = stage(open_.join(mixed, "bucket"), "near-open")
         grams = texts.join(still.select("key").distinct(), "key", "left_semi").select("key", _grams("norm").alias("grams"))
