@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 from common import docs
-from txnrisk.llm import near_duplicates as near
+from txnrisk.llm import language, near_duplicates as near
 
 
 def families(seeds):
@@ -41,3 +41,22 @@ def test_every_pair_of_a_small_bucket_meets(spark, monkeypatch):
     monkeypatch.setattr(near, "_verified", none)  # no links, so no two texts are in one class before they meet
     near.near_duplicates(rows).collect()
     assert met == want
+
+
+def test_a_language_stays_in_the_model_as_the_table_grows(spark):
+    many = [(i, f"the words of text {i} and the rest", "en") for i in range(6000)]
+    few = [(10_000 + i, f"слова текста {i} на языке", "ru") for i in range(40)] + [(20_000 + i, f"λέξεις {i} κειμένου", "el") for i in range(5)]
+    rows = docs(spark, many + few + [(30_000 + i, f"tekst {i}", "pl") for i in range(4)])
+    model = language.train(rows, sample=60)
+    assert model.languages == ["el", "en", "ru"]  # four documents are too few, at any size of the sample
+    kept = language.keep_identified(rows, model).where("doc_id >= 10000 and doc_id < 30000")
+    assert kept.count() == 45
+    got = language.identify_documents(rows, model).where("doc_id >= 10000 and doc_id < 30000").collect()
+    assert all(r["language"] == ("ru" if r["doc_id"] < 20_000 else "el") for r in got)
+
+
+def test_equal_shares():
+    assert language._equal_share([], 8000) >= 0
+    assert language._equal_share([10, 20], 8000) >= 20
+    assert language._equal_share([1000, 100_000, 100_000], 8000) == 3500
+    assert language._equal_share([10_000] * 1000, 8000) == language.LEAST_SAMPLE

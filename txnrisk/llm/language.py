@@ -14,8 +14,10 @@ from txnrisk.session import stage
 
 #: Hash buckets of letter trigrams.
 BUCKETS = 1 << 14
-#: Labelled documents, on average, that train the text model, and the least of a language.
+#: Labelled documents, on average, that train the text model, and the least that a language must have.
 TRAINING_DOCS, LEAST_DOCS = 8_000, 5
+#: Documents, on average, of a language that has more, however many languages there are.
+LEAST_SAMPLE = 100
 #: Share of a language's model that is spread evenly, so that unseen trigrams favour no language.
 EVEN = 0.02
 #: Trigrams of a text count as at most this many independent ones.
@@ -24,6 +26,7 @@ INDEPENDENT = 200
 PRIOR_DOCS, MARK_DOCS = 20.0, 5.0
 #: Least posterior of an accepted language.
 CERTAIN = 0.5
+_HASHES = 1 << 40
 _LETTER: np.ndarray | None = None
 
 
@@ -49,38 +52,54 @@ def trigrams(text: str | None) -> np.ndarray:
     return (codes[:-2] * 31 * 31 * 31 + codes[1:-1] * 8191 + codes[2:] * 131) % 2147483647 % BUCKETS
 
 
+def _equal_share(counts: list[int], sample: int) -> float:
+    """Rows of each language so that ``sample`` come together, where some have fewer."""
+    left, share = float(sample), 0.0
+    for i, n in enumerate(sorted(counts)):
+        share = left / (len(counts) - i)
+        if n > share:
+            break
+        left -= n
+    return max(share, LEAST_SAMPLE)
+
+
 def train(labelled: DataFrame, sample: int = TRAINING_DOCS) -> TextModel:
     """A trigram model of each language from ``labelled`` (doc_id, text, lang).
 
-    Uses whole texts of about ``sample`` rows, chosen by a hash of doc_id and text. Languages
-    with fewer than ``LEAST_DOCS`` rows there are left out, so the driver gets at most BUCKETS
-    counts for each of a bounded number of languages. Rows without a label are not used.
+    Languages with fewer than ``LEAST_DOCS`` labelled rows are left out, counted over all of them.
+    Uses whole texts of about ``sample`` rows, chosen by a hash of doc_id and text: an equal
+    number of each language, all rows of those that have fewer, and at least one. With many
+    languages it is LEAST_SAMPLE rows of each. The driver gets a count and at most BUCKETS
+    trigram counts for each language, so their number bounds what it holds. Rows without a label are not used.
     """
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = known.count()
-    chance = min(1.0, sample / max(total, 1))
-    cut = int(chance * (1 << 20)) + (chance >= 1)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < cut).select("text", F.col("lang").cast("string"))
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "text", F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(_HASHES)).alias("_hash"))
+    found = (known.groupBy("lang").agg(F.count("*").alias("n"), F.min("_hash").alias("least"))
+             .where(F.col("n") >= LEAST_DOCS).collect())
+    share = _equal_share([r["n"] for r in found], sample)
+    cuts = known.sparkSession.createDataFrame(
+        [(r["lang"], _HASHES if r["n"] <= share else max(int(share / r["n"] * _HASHES), r["least"] + 1)) for r in found],
+        "lang string, _cut long")
+    chosen = known.join(F.broadcast(cuts), "lang").where("_hash < _cut").select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch["text"], batch["lang"]):
-                counts = held.setdefault(lang, np.zeros(BUCKETS + 1))
-                counts[:BUCKETS] += np.bincount(trigrams(text), minlength=BUCKETS)
-                counts[BUCKETS] += 1
+                counts = held.setdefault(lang, np.zeros(BUCKETS))
+                counts += np.bincount(trigrams(text), minlength=BUCKETS)
         for lang, counts in held.items():
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": counts[at]})
 
     counted = stage(chosen.mapInPandas(count, "lang string, bucket int, n double")
                     .groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    enough = counted.where((F.col("bucket") == BUCKETS) & (F.col("n") >= LEAST_DOCS)).select("lang")
-    rows = counted.where(F.col("bucket") < BUCKETS).join(enough, "lang", "left_semi").collect()
+    rows = counted.collect()
     languages = sorted({r["lang"] for r in rows})
+    place = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((BUCKETS, len(languages)))
     for r in rows:
-        counts[r["bucket"], languages.index(r["lang"])] += r["n"]
+        counts[r["bucket"], place[r["lang"]]] += r["n"]
     share = (1 - EVEN) * counts / counts.sum(0) + EVEN / BUCKETS
     return TextModel(languages, np.log(share).astype(np.float32))
 
