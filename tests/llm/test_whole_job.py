@@ -3,8 +3,10 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from common import docs
-from txnrisk.llm import language, near_duplicates as near
+from txnrisk.llm import extraction, language, near_duplicates as near
 
 
 def families(seeds):
@@ -60,3 +62,31 @@ def test_equal_shares():
     assert language._equal_share([10, 20], 8000) >= 20
     assert language._equal_share([1000, 100_000, 100_000], 8000) == 3500
     assert language._equal_share([10_000] * 1000, 8000) == language.LEAST_SAMPLE
+
+
+LONG = "The first paragraph of the article is long enough, with commas, to score well. "
+SIDE = f"<div id=sidebar><p>{LONG}</p></div>"
+TALK = f"<div class='comments'><p>{LONG * 4}</p><p>{LONG * 4}</p></div>"
+
+
+@pytest.mark.parametrize("inner, want", [
+    (f"<div id=content class='with-sidebar'><p>{LONG}</p><p>{LONG}</p></div>{SIDE}", LONG * 2),
+    (f"<div class='site no-sidebar'><p>{LONG}</p><p>{LONG}</p></div>", LONG * 2),
+    (f"<div class='post has-comments'><h1>T</h1><p>{LONG}</p></div>{TALK}", f"T {LONG}"),
+    (f"<section class='legal-text'><h2>T</h2><p>{LONG}</p><p>{LONG}</p></section>", f"T {LONG * 2}"),
+    (f"<div class='legal'><p>{LONG * 4}</p></div><div class='legal'><p>{LONG * 4}</p></div><div class='widget'><p>{LONG}</p></div>", LONG * 8),
+    (f"<div class='right-sidebar'><div id=social><article><p>{LONG}</p></article></div>{SIDE}</div>", LONG),
+    (f"<div id=top><h1>Site</h1></div><div class='search-page'><p>{LONG}</p>{TALK}</div>", LONG),
+    # these are still cut
+    (f"<article><h1>T</h1><p>{LONG}</p></article>{SIDE}{TALK}", f"T {LONG}"),
+    (f"<article><p>Short.</p></article><div class=ad><p>{LONG * 3}</p></div>", "Short."),
+    (f"<article><p>Short. <div class=ad>{LONG}</div></p></article>", "Short."),
+    (f"<div class=post><p>{LONG}</p></div><div class='left-sidebar'><p>{LONG}</p></div>{TALK}", LONG),
+])
+def test_class_words_do_not_cut_the_bulk_of_a_page(inner, want):
+    assert extraction.main_text(f"<html><body>{inner}</body></html>") == want.strip()
+
+
+def test_many_nested_wrappers():
+    deep = "<div class=widget>" * 3000 + f"<p>{LONG}</p>" + "<div class=ad>x</div>" * 3000
+    assert extraction.main_text(deep) == LONG.strip()

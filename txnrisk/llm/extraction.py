@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from html import unescape
 
 import pandas as pd
@@ -30,19 +31,30 @@ ASIDE_WORDS = frozenset(
     "alert popup modal overlay newsletter subscribe signup comment comments commentlist disqus discussion reply replies respond "
     "share sharing social related recommended recommendations pagination pager toolbar search login skip legal copyright".split())
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: Words that make what follows in a class name a remark on the page's layout, as in no-sidebar.
+LAYOUT = frozenset("has with without no".split())
+#: Words of elements that are no article while there is any other text of an article.
+STRICT = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr "
+    "comment comments commentlist disqus discussion reply replies respond".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd section div article main body".split())
 HOLDERS = ("article", "main")
 #: A paragraph scores one point, one a comma, and one per 100 characters up to three.
 SHORTEST, PER_POINT, MOST_POINTS = 25, 100, 3
 #: Share of the best score from which a sibling is kept, and the least score for it.
 SIBLING_SHARE, SIBLING_LEAST = 0.2, 10
+#: How often an element with a word of ASIDE_WORDS must hold the points of the rest of the page to be
+#: kept: usually, with the page's headline inside, and with a headline or article elsewhere; and the
+#: least points that an article elsewhere counts as.
+BULK, HEADLINE, ELSEWHERE, LEAST_PAGE = 2, 0.5, 4, 3
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "aside", "score", "chars", "linked", "own", "commas")
+    __slots__ = ("name", "parent", "parts", "aside", "words", "score", "chars", "linked", "own", "commas")
 
-    def __init__(self, name: str, parent: Node | None, aside: bool):
-        self.name, self.parent, self.aside = name, parent, aside
+    def __init__(self, name: str, parent: Node | None, aside: bool, words: frozenset[str] = frozenset()):
+        # words: those of ASIDE_WORDS in its class and id, for which alone it is aside
+        self.name, self.parent, self.aside, self.words = name, parent, aside or bool(words), words
         self.parts: list[str | Node] = []
         self.score = 0.0
         self.chars = self.linked = self.own = self.commas = 0
@@ -63,11 +75,26 @@ def _is_aside(name: str, attrs: str, parent: Node) -> bool:
             return True
         if key == "role" and value.lower() in ROLES:
             return True
-        if key in ("class", "id") and not ASIDE_WORDS.isdisjoint(x.lower() for x in _SPLIT.split(value)):
-            return True
     return False
 
 
+def _aside_words(name: str, attrs: str) -> frozenset[str]:
+    """Those of ASIDE_WORDS in class and id, but for what follows a word of LAYOUT in a name."""
+    found: set[str] = set()
+    if not attrs or name in ("html", "body", "article", "main"):
+        return frozenset()
+    for key, value in _ATTR.findall(attrs):
+        if key.lower() in ("class", "id"):
+            for each in value.strip("\"'").split():
+                for word in _SPLIT.split(each):
+                    word = word.lower()
+                    if word in LAYOUT:
+                        break
+                    if word in ASIDE_WORDS:
+                        found.add(word)
+    return frozenset(found)
+
+
 def _inside(node: Node | None, names: tuple[str, ...]) -> bool:
     while node is not None:
         if node.name in names:
@@ -114,7 +141,8 @@ def parse(html: str) -> Node:
             here = _closed(here, {"p"}, {"td", "th", "li", "button", "article", "section", "div", "blockquote", "body"})
         if name in _ENDS:
             here = _closed(here, *_ENDS[name])
-        node = Node(name, here, _is_aside(name, attrs, here))
+        aside = _is_aside(name, attrs, here)
+        node = Node(name, here, aside, frozenset() if aside else _aside_words(name, attrs))
         here.parts.append(node)
         if name not in VOID and not (attrs.endswith("/") and name in INLINE):
             here = node
@@ -135,6 +163,7 @@ def _measure(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         order.append(node)
+        node.chars = node.linked = node.own = node.commas = 0
         todo += [x for x in node.parts if isinstance(x, Node) and not x.aside]
     for node in reversed(order):
         for part in node.parts:
@@ -158,14 +187,99 @@ def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
+def _points(node: Node) -> float:
+    """Points of a measured element as a paragraph; 0 if it is none."""
+    if node.name not in PARAGRAPHS or node.own < SHORTEST or _density(node) > 0.5:
+        return 0.0
+    return 1 + node.commas + min(node.own / PER_POINT, MOST_POINTS)
+
+
+def _named(root: Node) -> list[Node]:
+    """The elements that are aside by their class words alone, but for those in others cut for good."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.words:
+            found.append(node)
+        todo += [x for x in node.parts if isinstance(x, Node) and (x.words or not x.aside)]
+    return found
+
+
+def _keep_bulk(root: Node) -> None:
+    """Take back the cut of elements that are aside by their class words alone but are the bulk of the page.
+
+    The paragraph points in such an element are weighed against the points of the page outside of
+    all of them. One that outweighs the page clearly is kept, the heaviest first, and its page then
+    counts; its siblings of the same words are kept with it, and what is inside of it is weighed in turn.
+    It has to outweigh more where the page has a headline or article elsewhere, less where it holds
+    them. Adverts and reader comments are kept only if the page has nothing else.
+    """
+    named = _named(root)
+    if not named:
+        return
+    for node in named:
+        node.aside = False
+    order = _measure(root)
+    worth = {id(x): _points(x) for x in order}
+    # of what is not in a named element further down: points, headlines, article parts; any text
+    page = {id(x): [worth[id(x)], 0, 0] for x in order}
+    plain = {id(x): any(isinstance(p, str) and p.strip() for p in x.parts) for x in order}
+    marks = {id(x): [0, 0] for x in order}
+    for node in reversed(order):  # children first
+        for i, is_mark in enumerate((node.name == "h1", node.name in HOLDERS)):
+            marks[id(node)][i] += is_mark and node.chars > 0
+            page[id(node)][i + 1] += is_mark and plain[id(node)]
+        up = id(node.parent)
+        if node is root:
+            continue
+        worth[up] += worth[id(node)]
+        marks[up] = [x + y for x, y in zip(marks[up], marks[id(node)])]
+        if not node.words:
+            plain[up] |= plain[id(node)]
+            page[up] = [x + y for x, y in zip(page[up], page[id(node)])]
+    below: dict[int, list[tuple[float, int, Node]]] = {}
+    above, around = {id(root): id(root)}, {id(root): 0}
+    for k, node in enumerate(order):  # parents first
+        if node is not root:
+            up = node.parent
+            above[id(node)] = id(up) if up.words else above[id(up)]
+            around[id(node)] = around[id(up)] + (up.name in HOLDERS and plain[id(up)])
+            if node.words:
+                below.setdefault(above[id(node)], []).append((-worth[id(node)] * (1 - _density(node)), k, node))
+    for node in named:
+        node.aside = True
+    points, headlines, holders = page[id(root)]
+    heap, least = below.get(id(root), []), {}
+    heapify(heap)
+    while heap and heap[0][0] < 0:
+        value, _, node = heappop(heap)
+        value, elsewhere, alike = -value, holders - around[id(node)], (id(node.parent), node.words)
+        if node.words & STRICT:
+            keep = not points and not holders
+        elif elsewhere:
+            keep = not headlines and value > ELSEWHERE * max(points, LEAST_PAGE)
+        elif headlines:
+            keep = value > ELSEWHERE * points
+        else:
+            keep = value > points * (HEADLINE if marks[id(node)][0] else 1 if marks[id(node)][1] else BULK)
+        if keep:
+            least.setdefault(alike, SIBLING_SHARE * value)
+        elif value < least.get(alike, value + 1):
+            continue
+        node.aside = False
+        points, headlines, holders = (x + y for x, y in zip((points, headlines, holders), page[id(node)]))
+        for x in below.get(id(node), []):
+            heappush(heap, x)
+
+
 def _best(root: Node) -> list[Node]:
     """The elements whose text is the article, in page order."""
     order = _measure(root)
     scored: set[Node] = set()
     for node in order:
-        if node.name not in PARAGRAPHS or node.own < SHORTEST or _density(node) > 0.5:
+        points = _points(node)
+        if not points:
             continue
-        points = 1 + node.commas + min(node.own / PER_POINT, MOST_POINTS)
         up, share = (node.parent if node.name not in ("div", "section", "article", "main", "body") else node), 1.0
         level = 0
         while up is not None and level < 5:
@@ -230,7 +344,9 @@ def main_text(html: str | None) -> str:
     """The article of a page; empty for a null or empty page or one without any text."""
     if not html:
         return ""
-    return _text(_best(parse(html)))
+    root = parse(html)
+    _keep_bulk(root)
+    return _text(_best(root))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -239,7 +355,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Paragraphs give points for length and commas to the elements around them, less the further
     away, discounted by the share of linked text; the best element and its worthy siblings are
     kept whole, without menus, headers, footers, sidebars, notices, adverts, forms and reader
-    comments. Every row is worked on by itself, so repeated rows give repeated results.
+    comments. A class or id that names one of these does not cut what is the bulk of the page. Every row is worked on by itself, so repeated rows give repeated results.
     """
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
