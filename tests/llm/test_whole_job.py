@@ -90,3 +90,16 @@ def test_class_words_do_not_cut_the_bulk_of_a_page(inner, want):
 def test_many_nested_wrappers():
     deep = "<div class=widget>" * 3000 + f"<p>{LONG}</p>" + "<div class=ad>x</div>" * 3000
     assert extraction.main_text(deep) == LONG.strip()
+
+
+def test_sketches_of_short_texts_rule_nothing_out(spark):
+    rng = random.Random(8)
+    few = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(9)) for _ in range(40)]
+    long = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(90)) for _ in range(4)]
+    base = docs(spark, list(enumerate(few + long))).selectExpr(
+        "cast(doc_id as string) doc_id", "unhex(md5(text)) key", "xxhash64(text) raw", "text norm")
+    unique = near.sketches(base)
+    of = {r["doc_id"]: r["key"] for r in unique.collect()}
+    pairs = [(of[str(i)], of[str(i + 1)]) for i in range(0, 44, 2)]
+    frame = spark.createDataFrame(pairs, "a binary, b binary")
+    assert near._likely(frame, unique).count() == 20  # unlike long texts are ruled out

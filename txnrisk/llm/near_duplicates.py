@@ -18,8 +18,8 @@ WORDS, SIMILAR = 5, 0.8
 #: A sketch has so many entries, each of two least k-mers; a bucket's key is ROWS entries in a row.
 ENTRIES, ROWS, BUCKETS = 96, 2, 24
 #: Equal entries below which no pair as similar as SIMILAR is expected: the mean of a pair at
-#: SIMILAR, less 4.5 deviations.
-LEAST_EQUAL = 40
+#: SIMILAR, less 4.5 deviations. With few k-mers the mean is lower, so below FEW nothing is ruled out.
+LEAST_EQUAL, FEW = 40, 50
 #: Rounds in which every row of a bucket meets one other, before rows still apart meet in blocks.
 ROUNDS, BLOCK = 3, 512
 _SEED = 77
@@ -149,14 +149,10 @@ def _texts(docs: DataFrame, unique: DataFrame, keys: DataFrame) -> DataFrame:
     return stage(found.groupBy("key").agg(F.min("norm").alias("norm")), "near-texts")
 
 
-def _verified(pairs: DataFrame, unique: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys that are similar; stored.
-
-    First the sketches, a few hundred bytes each, rule out most pairs; the texts of the others
-    are aligned.
-    """
-    slim = unique.select("key", "entries")
-    drawn = (pairs.join(slim.toDF("a", "ea"), "a").join(slim.toDF("b", "eb"), "b"))
+def _likely(pairs: DataFrame, unique: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys that their sketches, a few hundred bytes each, do not rule out."""
+    slim = unique.select("key", "entries", "size")
+    drawn = (pairs.join(slim.toDF("a", "ea", "na"), "a").join(slim.toDF("b", "eb", "nb"), "b"))
 
     @F.pandas_udf("boolean")
     def close(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -164,7 +160,12 @@ def _verified(pairs: DataFrame, unique: DataFrame, texts: DataFrame) -> DataFram
         y = np.frombuffer(b"".join(right), "<u4").reshape(len(right), ENTRIES)
         return pd.Series((x == y).sum(1) >= LEAST_EQUAL)
 
-    likely = stage(drawn.where(close("ea", "eb")).select("a", "b"), "near-pairs")
+    return drawn.where((F.least("na", "nb") < FEW) | close("ea", "eb")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are similar when aligned; stored."""
+    likely = stage(pairs, "near-pairs")
     both = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     @F.pandas_udf("boolean")
@@ -289,7 +290,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one class. Other columns are not read.
 
     Equal texts count once from here on. Every text is in BUCKETS buckets by its sketch; a pair
-    at SIMILAR shares none with a chance of three in a million. Inside a bucket every text
+    at SIMILAR shares none with a chance of three in a million, two in 100,000 with few k-mers. Inside a bucket every text
     meets one text, which then leaves it, and, as far as classes still differ, another, ROUNDS
     times; that takes rows in proportion to the bucket. What is still apart then meets in blocks,
     where shared k-mers are counted, so no pair of a bucket is left out: up to ROUNDS + 1 texts
@@ -301,7 +302,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all_rows = stage(sketches(base.withColumn("doc_id", F.col("doc_id").cast("string"))), "near-sketches")
     members = all_rows.select(F.col("doc_id").cast(kind).alias("doc_id"), "key", "size")
     unique = stage(all_rows.where("size > 0").groupBy("key").agg(
-        F.first("raw").alias("raw"), F.first("entries").alias("entries"), F.first("buckets").alias("buckets")), "near-unique")
+        F.first("raw").alias("raw"), F.first("size").alias("size"), F.first("entries").alias("entries"), F.first("buckets").alias("buckets")), "near-unique")
     placed = unique.select("key", F.explode("buckets").alias("bucket"))
     several = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = stage(placed.join(several, "bucket"), "near-rows")
@@ -319,7 +320,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                  .select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct())
         # the centre has met every text of its bucket, so the next round's centre is another
         rows = met.where("key <> centre").select("bucket", "key", "n")
-        found = _verified(pairs, unique, texts)
+        found = _verified(_likely(pairs, unique), texts)
         # one step between rounds; labels that differ inside a class only cost some pairs
         lifted = _lifted(found, labels)
         edges, labels = _contracted(lifted if edges is None else edges.union(lifted), labels)
@@ -331,7 +332,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         still = stage(open_.join(mixed, "bucket"), "near-open")
         grams = texts.join(still.select("key").distinct(), "key", "left_semi").select("key", _grams("norm").alias("grams"))
         apart = still.join(stage(grams, "near-grams"), "key")
-        labels = components(_lifted(_verified(_blocked(apart), unique, texts), labels), labels)
+        labels = components(_lifted(_verified(_blocked(apart), texts), labels), labels)
     classed = members.join(labels.toDF("key", "_l"), "key", "left").withColumn("label", F.coalesce("_l", "key")).drop("_l")
     least = classed.where("size > 0").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     out = classed.join(least, "label", "left")
