@@ -29,10 +29,8 @@ def _hash(key: str, seed: int) -> Column:
 
 
 def class_counts(df: DataFrame, label: str = LABEL) -> dict[int, int]:
-    """Rows per class; a label with very many values is refused."""
-    found = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_GROUPS + 1).collect()
-    if len(found) > MAX_GROUPS:
-        raise ValueError(f"{label} has more than {MAX_GROUPS} classes")
+    """Rows per class. The driver holds one number per class, however many there are."""
+    found = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     return {r[label]: r["n"] for r in found}
 
 
@@ -54,20 +52,23 @@ def stratified_split(df: DataFrame, label: str = LABEL, test: float = 0.2, seed:
 
     A row is in the test part when the hash of its key is at most its class's cut, the
     k-th smallest hash. The cut is found by counting, so no class is sorted in one task,
-    and membership depends on the key alone: the split is the same on every run. Rows without a
-    label belong to neither part, so they raise, with their number.
+    and membership depends on the key alone: the split is the same on every run. Cuts are found
+    for MAX_GROUPS classes a pass. Rows without a label belong to neither part, so they raise, with their number.
     """
     counts = class_counts(df, label)
     if None in counts:
         raise ValueError(f"{label} is missing in {counts[None]} rows; fill or leave them out before the split")
     sizes = {c: k for c, k in test_sizes(counts, test).items() if k > 0}
     h = _hash(key, seed)
-    streams = {str(c): F.when(F.col(label) == F.lit(c), h) for c in sizes}
-    ranks = {str(c): (k, counts[c]) for c, k in sizes.items()}
-    cuts = kth_smallest(df, streams, ranks) if ranks else {}
-    chosen = F.lit(False)
-    for c in sizes:
-        chosen = chosen | ((F.col(label) == F.lit(c)) & (h <= F.lit(cuts[str(c)])))
+    classes, cuts = list(sizes), {}
+    for i in range(0, len(classes), MAX_GROUPS):
+        some = classes[i:i + MAX_GROUPS]
+        streams = {str(c): F.when(F.col(label) == F.lit(c), h) for c in some}
+        cuts |= kth_smallest(df, streams, {str(c): (sizes[c], counts[c]) for c in some})
+    tests = [(F.col(label) == F.lit(c)) & (h <= F.lit(cuts[str(c)])) for c in classes] or [F.lit(False)]
+    while len(tests) > 1:  # in pairs, so that many classes make no deep expression
+        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    chosen = tests[0]
     return df.where(~chosen), df.where(chosen)
 
 
