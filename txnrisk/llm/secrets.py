@@ -118,7 +118,7 @@ def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = T
 
     start and end are code points of the text, end exclusive. The kinds assign, access and hex
     are the fixed patterns; random adds strings of 16 and more characters whose ratio reaches
-    ``threshold`` and that do not touch a fixed span. A null or empty text has no spans. All
+    ``threshold`` and that do not lie in a fixed span; they may overlap one. A null or empty text has no spans. All
     columns stay.
     """
     model = model if model is not None else train(docs)
@@ -127,7 +127,7 @@ def scan(docs: DataFrame, model: list[float] | None = None, threshold: float = T
     found = found.withColumn("_random", _spans(text, CANDIDATE, lambda hit, value: score(hit, model) >= threshold))
     fixed = F.concat("_assign", "_access", "_hex")
     found = found.withColumn("_fixed", fixed).withColumn("_random", F.filter("_random", lambda x: ~F.exists(
-        "_fixed", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))))
+        "_fixed", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]))))
 
     def ranked(kind: str) -> Column:
         rank = KINDS.index(kind)
