@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txnrisk.llm import (
-    extraction, fingerprints, language, mixing, near_duplicates, packing, secrets, sharding, token_files, vectors,
+    extraction, fingerprints, language, line_dedup, mixing, near_duplicates, packing, secrets, sharding, sql, token_files,
+    vectors,
 )
 from txnrisk.session import stage
 
@@ -68,6 +69,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_extendible_sharding": op2_extendible_sharding,
@@ -79,23 +85,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_files": op10_token_files,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     # rows of these tables differ in doc_id or text, so the bits of row numbers are not needed
-    "op2_extendible_sharding": """
-        WITH rows_ AS (
-            SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes,
-                   lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':'
-                        || md5(coalesce(text, ''))), 1, 15) AS BIGINT)), 60, '0') AS bits
-            FROM documents),
-        prefixes AS (
-            SELECT d, substr(bits, 1, d) AS shard, CAST(sum(bytes) AS BIGINT) AS shard_bytes, count(*) AS n
-            FROM rows_, range(0, 61) AS t(d) GROUP BY ALL),
-        leaves AS (
-            SELECT r.doc_id, r.bytes, r.bits, min(p.d) AS depth
-            FROM rows_ r JOIN prefixes p ON starts_with(r.bits, p.shard) AND length(p.shard) = p.d
-            WHERE p.shard_bytes <= 1048576 OR p.n = 1 GROUP BY ALL)
-        SELECT l.doc_id, l.bytes, p.shard, CAST(l.depth AS INTEGER) AS depth, p.shard_bytes
-        FROM leaves l JOIN prefixes p ON p.d = l.depth AND p.shard = substr(l.bits, 1, l.depth)""",
+    "op2_extendible_sharding": sql.SHARDING,
+    "op13_line_dedup": sql.LINE_DEDUP,
 }
