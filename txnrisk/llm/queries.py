@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txnrisk.llm import (
-    extraction, fingerprints, language, line_dedup, mixing, near_duplicates, packing, secrets, sharding, sql, token_files,
-    vectors,
+    extraction, fingerprints, language, line_dedup, mixing, near_duplicates, packing, prefix_trie, secrets, sharding, spelling,
+    sql, token_files, vectors,
 )
 from txnrisk.session import stage
 
@@ -69,6 +69,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -85,11 +93,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_files": op10_token_files,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     # rows of these tables differ in doc_id or text, so the bits of row numbers are not needed
     "op2_extendible_sharding": sql.SHARDING,
+    "op11_spelling_variants": sql.SPELLING_VARIANTS,
+    "op12_conversation_trie": sql.CONVERSATION_TRIE,
     "op13_line_dedup": sql.LINE_DEDUP,
 }

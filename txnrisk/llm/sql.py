@@ -27,9 +27,9 @@ _CRC32 = """
 
 def _crc32(blob: str) -> str:
     """crc32 of a blob expression, where ``remainders`` is in the FROM clause."""
-    codes = f"list_transform(range(0, octet_length({blob})), i -> CAST('0x' || substr(hex({blob}), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))"
+    codes = f"list_transform(range(0, octet_length({blob})), lambda i: CAST('0x' || substr(hex({blob}), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))"
     return (f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), "
-            "(c, b) -> xor(c >> 8, table_[CAST(xor(c, b) & 255 AS INTEGER) + 1])))")
+            "lambda c, b: xor(c >> 8, table_[CAST(xor(c, b) & 255 AS INTEGER) + 1])))")
 
 
 LINE_DEDUP = """
@@ -47,3 +47,65 @@ LINE_DEDUP = """
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256
     FROM decided GROUP BY doc_id"""
+
+CONVERSATION_TRIE = f"""
+    WITH RECURSIVE {_CRC32},
+    ordered AS (
+        SELECT conv_id, list(md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) ORDER BY turn NULLS FIRST) AS turns,
+               list(strlen(coalesce(text, '')) ORDER BY turn NULLS FIRST) AS sizes
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    drawn AS (
+        SELECT *, CAST({_crc32("encode(CAST(conv_id AS VARCHAR))")} % 9 AS BIGINT) AS h FROM ordered, remainders),
+    rebuilt AS (
+        SELECT c.conv_id, coalesce(b.turns[1:c.h], []) || c.turns[c.h + 1:] AS path,
+               coalesce(b.sizes[1:c.h], []) || c.sizes[c.h + 1:] AS sizes
+        FROM drawn c LEFT JOIN ordered b ON b.conv_id = c.conv_id - c.conv_id % 5),
+    members AS (
+        SELECT conv_id, path, sizes, unnest(range(0, len(path) + 1)) AS depth FROM rebuilt),
+    nodes AS (
+        SELECT path[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(sizes[depth]), 0) AS size,
+               coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = depth), '') AS ends
+        FROM members GROUP BY path[1:depth], depth),
+    kids AS (
+        SELECT node[1:depth - 1] AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+    weighed AS (
+        SELECT n.*, coalesce(k.n, 0) AS n_children, (n.n_convs - 1) * n.size AS saved FROM nodes n LEFT JOIN kids k ON k.node = n.node),
+    spread AS (
+        SELECT node, n_children, saved, unnest(range(0, depth + 1)) AS above FROM weighed),
+    subtrees AS (
+        SELECT node[1:above] AS node, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+        FROM spread GROUP BY 1)
+    SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, sha256(w.ends) AS ends_sha256
+    FROM weighed w JOIN subtrees s ON s.node = w.node LEFT JOIN weighed p ON w.depth > 0 AND p.node = w.node[1:w.depth - 1]"""
+
+SPELLING_VARIANTS = f"""
+    WITH RECURSIVE {_CRC32},
+    runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+    counted AS (
+        SELECT run, n, {_crc32("encode(concat(CAST(doc_id AS VARCHAR), ':', run))")} AS h
+        FROM (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run), remainders),
+    edited AS (
+        SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+                       ELSE run END AS word FROM counted),
+    words AS MATERIALIZED (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    skips AS (
+        SELECT word, n, substr(word, 1, i) AS head, substr(word, i + 2) AS tail
+        FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+    links AS (
+        SELECT a.word, b.word AS near, b.n FROM skips a JOIN skips b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+        UNION SELECT a.word, w.word, w.n FROM skips a JOIN words w ON w.word = a.head || a.tail
+        UNION SELECT w.word, a.word, a.n FROM skips a JOIN words w ON w.word = a.head || a.tail),
+    near AS (
+        SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS best, max(n) AS best_n FROM links GROUP BY word),
+    linked AS MATERIALIZED (
+        SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.best_n >= 2 * w.n THEN r.best END AS form,
+               CASE WHEN r.best_n >= 2 * w.n THEN r.best_n END AS form_n FROM words w LEFT JOIN near r USING (word)),
+    walk AS (
+        SELECT word, word AS at FROM linked
+        UNION ALL SELECT k.word, l.form FROM walk k JOIN linked l ON l.word = k.at WHERE l.form IS NOT NULL),
+    roots AS (
+        SELECT k.word, k.at AS root FROM walk k JOIN linked l ON l.word = k.at WHERE l.form IS NULL)
+    SELECT l.word, l.form, r.root, l.n, l.n_near, l.form_n FROM linked l JOIN roots r USING (word)"""
