@@ -179,27 +179,37 @@ SELECT 'D' || d AS decile, count(*) FILTER (WHERE f = 1) AS fraud_count,
 FROM (SELECT unnest(range(1, 11)) AS d) LEFT JOIN b USING (d) GROUP BY d""")
 
 
-def _box() -> str:
-    return _feat(f""", x AS (SELECT "isFraud", ln(1 + amount) AS x FROM feat),
-  q AS (SELECT "isFraud", quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2,
+def _box(by: str = '"isFraud"') -> str:
+    return _feat(f""", x AS (SELECT {by}, ln(1 + amount) AS x FROM feat),
+  q AS (SELECT {by}, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2,
                quantile_cont(x, 0.75) AS q3, count(*) AS n FROM x GROUP BY 1),
-  k AS (SELECT "isFraud", min(x) AS lo, max(x) AS hi, count(*) AS kept FROM x JOIN q USING ("isFraud")
+  k AS (SELECT {by}, min(x) AS lo, max(x) AS hi, count(*) AS kept FROM x JOIN q USING ({by})
         WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1)
-SELECT "isFraud", n AS count, {r('q1', 6)} AS q1, {r('q2', 6)} AS median, {r('q3', 6)} AS q3,
+SELECT {by}, n AS count, {r('q1', 6)} AS q1, {r('q2', 6)} AS median, {r('q3', 6)} AS q3,
        {r('least(lo, q1)', 6)} AS whisker_low, {r('greatest(hi, q3)', 6)} AS whisker_high,
-       n - kept AS outliers FROM q JOIN k USING ("isFraud")""")
+       n - kept AS outliers FROM q JOIN k USING ({by})""")
 
 
-def _density() -> str:
-    return _feat(f""", s AS (SELECT "isFraud", count(*) AS n, min(risk_score) AS lo, max(risk_score) AS hi,
-             stddev_samp(risk_score) * power(count(*), -0.2) AS h, median(risk_score) AS m
+def _density(by: str = '"isFraud"', points: int = 100) -> str:
+    return _feat(f""", s AS (SELECT {by}, count(*) AS n, min(risk_score) AS lo, max(risk_score) AS hi,
+             nullif(stddev_samp(risk_score), 0) * power(count(*), -0.2) AS h, median(risk_score) AS m
       FROM feat GROUP BY 1),
-  v AS (SELECT "isFraud", risk_score AS v, count(*) AS c FROM feat GROUP BY 1, 2),
-  g AS (SELECT *, lo + point * ((hi - lo) / 99) AS x FROM s, (SELECT unnest(range(100)) AS point))
-SELECT "isFraud", CAST(point AS INTEGER) AS point, {r('any_value(x)', 6)} AS x,
-       {r('sum(c * exp(-0.5 * power((x - v) / h, 2))) / any_value(n * h * sqrt(2 * pi()))', 8)} AS density,
+  v AS (SELECT {by}, risk_score AS v, count(*) AS c FROM feat GROUP BY 1, 2),
+  g AS (SELECT *, lo + point * ((hi - lo) / {points - 1}) AS x FROM s, (SELECT unnest(range({points})) AS point))
+SELECT {by}, CAST(point AS INTEGER) AS point, {r('any_value(x)', 6)} AS x,
+       {r('coalesce(sum(c * exp(-0.5 * power((x - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 1)', 8)} AS density,
        {r('any_value(m)', 4)} AS median
-FROM g JOIN v USING ("isFraud") GROUP BY "isFraud", point""")
+FROM g JOIN v USING ({by}) GROUP BY {by}, point""")
+
+
+def _by_account(bins: int) -> str:
+    return _feat(f""", e AS (SELECT "nameOrig", count(*) AS n, CASE WHEN min(amount) = max(amount) THEN min(amount) - 0.5::DOUBLE ELSE min(amount) END AS lo,
+              CASE WHEN min(amount) = max(amount) THEN 1::DOUBLE ELSE max(amount) - min(amount) END / {bins} AS w FROM feat GROUP BY 1),
+  c AS (SELECT "nameOrig", CAST(least(floor((amount - lo) / w), {bins - 1}) AS BIGINT) AS bin, count(*) AS k
+        FROM feat JOIN e USING ("nameOrig") GROUP BY 1, 2)
+SELECT "nameOrig", bin, {r('lo + bin * w', 6)} AS bin_start, {r('lo + (bin + 1) * w', 6)} AS bin_end,
+       coalesce(k, 0) AS count, {r('coalesce(k, 0) / (n * w)', 8)} AS density
+FROM e CROSS JOIN (SELECT unnest(range({bins})) AS bin) LEFT JOIN c USING ("nameOrig", bin)""")
 
 
 def _class_density() -> str:
@@ -294,6 +304,43 @@ SPLIT = """, n AS (SELECT "isFraud" AS label, count(*) AS n, sum(count(*)) OVER
           <= want - sum(floor(x)) OVER () AS BIGINT) AS t FROM s)
 """
 
+PARTS = f"""{SPLIT}, parts AS (SELECT id, CASE WHEN r <= t THEN 'test' ELSE 'train' END AS part
+  FROM k JOIN (SELECT id, "isFraud" AS label, row_number() OVER (
+    PARTITION BY "isFraud" ORDER BY CAST('0x' || substr(md5(id || ':42'), 1, 13) AS BIGINT)) AS r FROM feat) USING (label))"""
+
+# The model features, in their order.
+FEATURES = ["amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest", "balance_diff_orig",
+            "balance_diff_dest", "zero_balance_after", "amount_to_balance", "balance_mismatch", "is_extreme_amount",
+            "hour_of_day", "is_weekend", "type_encoded"]
+
+
+def _names(names: list[str]) -> str:
+    return ", ".join(f"('{n}')" for n in names)
+
+
+def _train(body: str) -> str:
+    return _feat(f"""{PARTS}, train AS (SELECT feat.*, {TYPE_CODE} AS type_encoded FROM feat JOIN parts USING (id) WHERE part = 'train')
+{body}""")
+
+
+def _scaler() -> str:
+    return _train("\nUNION ALL ".join(
+        f"""SELECT '{f}' AS feature, {r(f'avg("{f}")', 4)} AS mean, {r(f'stddev_samp("{f}")', 4)} AS deviation FROM train""" for f in FEATURES))
+
+
+APPENDED = f"""{RAW}, numbered AS (SELECT id AS source_id, if(step <= 372, 'early', 'late') AS batch,
+       row_number() OVER (PARTITION BY step <= 372 ORDER BY step, id)
+       + if(step <= 372, 0, (SELECT count(*) FROM raw WHERE step <= 372)) AS id FROM raw)"""
+
+# The warehouse columns and types as DESCRIBE shows them.
+DESCRIBED = [("id", "bigint"), ("step", "int"), ("type", "string"), ("amount", "decimal(18,2)"), ("name_orig", "string"),
+             ("old_balance_orig", "decimal(18,2)"), ("new_balance_orig", "decimal(18,2)"), ("name_dest", "string"),
+             ("old_balance_dest", "decimal(18,2)"), ("new_balance_dest", "decimal(18,2)"), ("is_fraud", "int"),
+             ("is_flagged_fraud", "int"), ("hour_of_day", "int"), ("day_of_week", "int"), ("is_weekend", "int"),
+             ("balance_diff_orig", "decimal(18,2)"), ("zero_balance_after", "int"), ("amount_to_balance", "double"),
+             ("balance_mismatch", "int"), ("dest_type", "string"), ("is_extreme_amount", "int"), ("risk_score", "double"),
+             ("risk_tier", "string")]
+
 ORACLES: dict[str, str] = {
     "raw_transactions": f"{RAW}\nSELECT * FROM raw",
     "feature_table": _feat(f"SELECT *, {TYPE_CODE} AS type_encoded, {r('ln(1 + amount)', 8)} AS log_amount FROM feat"),
@@ -309,6 +356,14 @@ SELECT unnest(range(1, (SELECT count(*) + 1 FROM (SELECT DISTINCT * FROM dirty))
     "clustered_layout": _txn(f"""SELECT type, {N} AS total_count, {FRAUDS} AS fraud_count
 FROM txn WHERE is_fraud = 1 GROUP BY type"""),
 
+    "appended_ids": f"{APPENDED}\nSELECT id, source_id, batch FROM numbered",
+    "appended_batches": f"""{APPENDED}
+SELECT batch, {N} AS rows, min(id) AS first_id, max(id) AS last_id, {N} AS stamped, {N} AS ids FROM numbered GROUP BY batch""",
+    "stamped_table": _txn("SELECT *, true AS stamped FROM txn"),
+    "described_table": f"SELECT * FROM (VALUES {', '.join(map(str, DESCRIBED))}) AS v(col_name, data_type)",
+    "explained_report": f"""SELECT * FROM (VALUES {_names(['AdaptiveSparkPlan', 'HashAggregate', 'Exchange', 'Filter', 'Project', 'Scan'])})
+AS v(operator)""",
+
     "kpi_summary": _txn(f"""SELECT {N} AS total_transactions, {FRAUDS} AS total_fraud_count,
        {RATE} AS fraud_rate_pct, {LOSS} AS total_fraud_loss, {mean(F_AMT)} AS avg_fraud_amount,
        {mean(L_AMT)} AS avg_legit_amount, CAST(sum(is_flagged_fraud) {BIG} AS system_flagged_count,
@@ -369,12 +424,17 @@ FROM s WINDOW w AS (ORDER BY total_fraud_loss DESC) ORDER BY total_fraud_loss DE
     "amount_percentiles_all": _percentiles("true"),
     "repeat_fraud": _repeat("LIMIT 10"),
     "repeat_fraud_all": _repeat(""),
+    "repeat_fraud_stored": _repeat("LIMIT 10"),
     "above_average_fraud": _above("LIMIT 20"),
     "above_average_fraud_all": _above(""),
     "fraud_report_critical": _report("risk_tier = 'Critical'"),
     "fraud_report_fraud": _report("is_fraud = 1"),
     "fraud_report_high_fraud": _report("risk_tier = 'High' AND is_fraud = 1"),
     "fraud_report_all": _report("true"),
+    "report_function_critical": _report("risk_tier = 'Critical'"),
+    "report_function_fraud": _report("is_fraud = 1"),
+    "report_function_high_fraud": _report("risk_tier = 'High' AND is_fraud = 1"),
+    "report_function_all": _report("true"),
     "investigation_view": _txn(f"""SELECT id AS case_id, step AS simulation_hour, type AS transaction_type,
        {r('amount', 2)} AS transaction_amount, name_orig AS sender_account, name_dest AS receiver_account,
        {r('old_balance_orig', 2)} AS sender_balance_before, {r('new_balance_orig', 2)} AS sender_balance_after,
@@ -466,6 +526,9 @@ FROM (VALUES ('Low'), ('Medium'), ('High'), ('Critical')) AS v(t) LEFT JOIN feat
 FROM (VALUES ('Low'), ('Medium'), ('High'), ('Critical')) AS v(t) LEFT JOIN feat ON risk_tier = t GROUP BY t"""),
     "amount_box_stats": _box(),
     "score_density": _density(),
+    "account_box_stats": _box('"nameOrig"'),
+    "account_amount_density": _by_account(8),
+    "account_score_density": _density('"nameDest"', 10),
     "correlation_pairs": _corr_pairs(),
     "top_label_correlations": _label_corr(),
     "class_amount_density": _class_density(),
@@ -528,7 +591,24 @@ FROM alerts WHERE alert_priority IN ('High', 'Critical')"""),
     "split_membership": _feat(f"""{SPLIT}SELECT id, CASE WHEN r <= t THEN 'test' ELSE 'train' END AS part
 FROM k JOIN (SELECT id, "isFraud" AS label, row_number() OVER (
   PARTITION BY "isFraud" ORDER BY CAST('0x' || substr(md5(id || ':42'), 1, 13) AS BIGINT)) AS r FROM feat) USING (label)"""),
+    "metric_agreement": f"""SELECT model, true AS roc_auc, true AS recall, true AS precision
+FROM (VALUES {_names(['Logistic Regression', 'Decision Tree', 'Random Forest'])}) AS v(model)""",
+    "training_matrix": _train(f"""SELECT {', '.join(f'{r(chr(34) + f + chr(34), 6)} AS {chr(34)}{f}{chr(34)}' for f in FEATURES)},
+       CAST("isFraud" AS DOUBLE) AS label,
+       {r('(SELECT count(*) FROM train) / CAST(2 * count(*) OVER (PARTITION BY "isFraud") AS DOUBLE)', 6)} AS weight FROM train"""),
+    "scaler_figures": _scaler(),
+    "importance_agreement": f"SELECT feature, true AS agrees FROM (VALUES {_names(FEATURES)}) AS v(feature)",
+    "logistic_certificate": f"SELECT feature, true AS optimal FROM (VALUES {_names([*FEATURES, 'intercept'])}) AS v(feature)",
+    "rule_decisions": _feat(f"{PARTS} SELECT id, 1 AS n_rules, true AS agrees FROM parts WHERE part = 'test'"),
+    "leaf_rows": "SELECT true AS agrees, CAST(0 AS BIGINT) AS lost",
+    "stored_model_agreement": _feat(f"{PARTS} SELECT id, true AS same FROM parts WHERE part = 'test'"),
+    "training_pipeline": _feat(f"""{PARTS} SELECT {_count("part = 'train'")} AS train_rows, {_count("part = 'test'")} AS test_rows,
+       CAST(3 AS BIGINT) AS models, CAST(3 AS BIGINT) AS stored_models, {_count("part = 'test'")} AS scored_rows,
+       CAST(sum("isFraud") FILTER (WHERE part = 'test') AS BIGINT) AS scored_fraud FROM parts JOIN feat USING (id)"""),
     "live_hourly": _feat(f"""SELECT step AS simulation_hour, {N} AS transactions, CAST(sum("isFraud") {BIG} AS fraud_count,
        CAST(sum(CASE "isFraud" WHEN 1 THEN CAST(amount AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS fraud_loss
 FROM feat GROUP BY step"""),
 }
+
+ORACLES["sender_ranking_stored"] = ORACLES["sender_ranking"]
+ORACLES["queue_view"] = ORACLES["investigation_view"]

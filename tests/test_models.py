@@ -1,10 +1,11 @@
 """Evaluation on hand-computed cases; models by quality bands."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from txnrisk.operators import evaluate, learn
+from txnrisk.operators import evaluate, learn, model_tables
 from txnrisk.plans import training_run
 from txnrisk.plans.catalog import feat
 
@@ -77,6 +78,13 @@ def test_split_is_exact_and_repeatable(spark, sf):
     assert train.select("id").intersect(test.select("id")).isEmpty()
 
 
+def test_split_of_more_than_64_classes(spark):
+    df = spark.range(1400).selectExpr("id", "cast(id % 70 as int) as isFraud")
+    train, test = learn.stratified_split(df)
+    assert {r["isFraud"]: r["count"] for r in test.groupBy("isFraud").count().collect()} == {c: 4 for c in range(70)}
+    assert train.count() == 1400 - 280 and train.join(test, "id").count() == 0
+
+
 @pytest.fixture(scope="module")
 def trained(spark):
     from txnrisk.session import stage
@@ -121,28 +129,101 @@ def test_scores_trace_back_to_rows(trained):
     assert scored.count() == trained.test.count()
 
 
-def test_explanations(spark, trained):
-    forest = learn.forest_importance(trained.models["Random Forest"], spark).collect()
-    assert sum(r["value"] for r in forest) == pytest.approx(1.0)
+@pytest.fixture(scope="module")
+def folder(trained, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("models"))
+    learn.save_models(trained.models, path)
+    return path
+
+
+def nodes(spark, folder, name):
+    return model_tables.node_table(spark, learn.model_path(folder, name))
+
+
+def test_importances_from_node_files_are_the_models_own(spark, trained, folder):
+    for name in ("Random Forest", "Decision Tree"):
+        got = {r["feature"]: r["value"] for r in model_tables.importances(nodes(spark, folder, name)).collect()}
+        want = trained.models[name].stages[-1].featureImportances.toArray()
+        assert [got[f] for f in model_tables.FEATURES] == pytest.approx(want, abs=1e-12)
+        assert sum(got.values()) == pytest.approx(1.0)
     assert len(learn.logistic_strength(trained.models["Logistic Regression"], spark).collect()) == 14
-    tree = trained.models["Decision Tree"]
-    rules = learn.tree_rules(tree, spark).collect()
-    assert len(rules) == (tree.stages[-1].numNodes + 1) // 2
-    shapes = {r["model"]: r for r in learn.model_shapes(trained.models, spark).collect()}
-    assert set(shapes) == {"Decision Tree", "Random Forest"}
-    assert (shapes["Decision Tree"]["leaves"], shapes["Random Forest"]["trees"]) == (len(rules), 100)
-    assert shapes["Decision Tree"]["depth"] <= 6 and shapes["Random Forest"]["depth"] <= 8
-
-
-def test_rules_predict_like_the_tree(spark, trained):
-    tree = trained.models["Decision Tree"]
-    rules = learn.tree_rules(tree, spark).collect()
-    scored = tree.transform(trained.test)
-    called = F.lit(None).cast("int")
-    for r in rules:
+
+
+def test_importances_in_duckdb(spark, folder):
+    """The same sums in SQL over the same files."""
+    con = duckdb.connect()
+    data = f"read_parquet('{learn.model_path(folder, 'Random Forest')}/stages/*Classifier*/data/*.parquet')"
+    want = dict(con.execute(f"""
+        WITH n AS (SELECT treeID AS tree, nodeData AS d FROM {data}),
+        g AS (SELECT tree, d.split.featureIndex AS feature, sum(d.gain * list_sum(d.impurityStats)) AS g FROM n WHERE d.leftChild >= 0 GROUP BY ALL),
+        s AS (SELECT feature, g / sum(g) OVER (PARTITION BY tree) AS s FROM g)
+        SELECT feature, sum(s) / (SELECT count(DISTINCT tree) FROM g) FROM s GROUP BY feature""").fetchall())
+    got = {r["feature"]: r["value"] for r in model_tables.importances(nodes(spark, folder, "Random Forest")).collect()}
+    assert [got[f] for f in model_tables.FEATURES] == pytest.approx([want.get(i, 0.0) for i in range(14)], abs=1e-12)
+
+
+def test_shapes_and_rules(spark, trained, folder):
+    tree, forest = trained.models["Decision Tree"].stages[-1], trained.models["Random Forest"].stages[-1]
+    rules = model_tables.rules(nodes(spark, folder, "Decision Tree")).collect()
+    assert len(rules) == (tree.numNodes + 1) // 2
+    assert model_tables.shapes(nodes(spark, folder, "Decision Tree")).first()[:] == (1, tree.depth, len(rules))
+    shape = model_tables.shapes(nodes(spark, folder, "Random Forest")).first()
+    assert shape[:] == (100, max(t.depth for t in forest.trees), sum((t.numNodes + 1) // 2 for t in forest.trees))
+    assert tree.depth <= 6 and shape["depth"] <= 8
+
+
+def test_rules_decide_like_the_tree(spark, trained, folder):
+    """Compiled rules, and their text as SQL: each row meets one rule, and it predicts as the model does."""
+    table = nodes(spark, folder, "Decision Tree")
+    scored = trained.models["Decision Tree"].transform(trained.test)
+    decided = model_tables.decide(scored, table)
+    assert decided.where("n_rules <> 1 OR rule_prediction <> prediction").isEmpty() and decided.count() == trained.test.count()
+    called, met = F.lit(None).cast("int"), F.lit(0)
+    for r in model_tables.rules(table).collect():
         called = F.when(F.expr(r["rule"]), r["prediction"]).otherwise(called)
-    wrong = scored.withColumn("called", called).where("called is null or called <> prediction")
-    assert wrong.count() == 0
+        met = met + F.when(F.expr(r["rule"]), 1).otherwise(0)
+    assert scored.where((called != F.col("prediction")) | (met != 1)).isEmpty()
+
+
+def test_a_tree_of_one_leaf(spark, tmp_path):
+    frame = spark.range(40).selectExpr(*[f"CAST(1 AS DOUBLE) AS {f}" for f in model_tables.FEATURES],
+                                       "CAST(id % 4 = 0 AS DOUBLE) AS label", "1.0D AS weight")
+    learn.save_models({"Decision Tree": learn.fit_tree(frame)}, str(tmp_path))
+    table = nodes(spark, str(tmp_path), "Decision Tree")
+    assert [r["rule"] for r in model_tables.rules(table).collect()] == ["always"]
+    assert model_tables.decide(frame, table).where("n_rules = 1 AND rule_prediction = 0").count() == 40
+    assert {r["value"] for r in model_tables.importances(table).collect()} == {0.0}
+    assert model_tables.shapes(table).first()[:] == (1, 0, 1)
+
+
+def test_gradient_certifies_the_optimum(spark, sf, tmp_path):
+    frame = learn.training_frame(feat(spark, sf)).persist()
+    model = learn.fit_logistic(frame)
+    assert learn.logistic_certificate(model, frame).where("NOT optimal").isEmpty()
+    scaler, fitted = model.stages[1], model.stages[-1]
+    off = [float(x) for x in fitted.coefficients]
+    off[0] += 0.05
+
+    def gradient(coefficients):
+        rows = model_tables.logistic_gradient(frame, [float(x) for x in scaler.mean], [float(x) for x in scaler.std],
+                                              coefficients, float(fitted.intercept), fitted.getRegParam())
+        return {r["feature"]: r["gradient"] for r in rows.collect()}
+
+    got = gradient(off)
+    assert abs(got["amount"]) > 1e-4  # beside the optimum it does not hold
+    frame.write.parquet(str(tmp_path / "frame"))
+    margin = " + ".join(f"(\"{f}\" - {m!r}) / {d!r} * {c!r}" for f, m, d, c in zip(
+        model_tables.FEATURES, map(float, scaler.mean), map(float, scaler.std), off))
+    for f, m, d, c in zip(model_tables.FEATURES, map(float, scaler.mean), map(float, scaler.std), off):
+        want = duckdb.sql(f"""SELECT sum(weight * (1 / (1 + exp(-({fitted.intercept!r} + {margin}))) - label) * (("{f}" - {m!r}) / {d!r}))
+                              / sum(weight) + {fitted.getRegParam() * c!r} FROM read_parquet('{tmp_path}/frame/*.parquet')""").fetchone()[0]
+        assert got[f] == pytest.approx(want, abs=1e-9)
+
+
+def test_many_classes_make_no_deep_expression(spark):
+    df = spark.range(3000).selectExpr("id", "CAST(id % 300 AS INT) AS isFraud", *[f"CAST(id AS DOUBLE) AS {f}" for f in model_tables.FEATURES])
+    frame = learn.training_frame(df)
+    assert frame.where("abs(weight - 1) > 1e-9 OR weight IS NULL").isEmpty()
 
 
 def test_stored_model_scores_the_same(spark, trained, tmp_path):

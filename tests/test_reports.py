@@ -1,11 +1,12 @@
 """Edge cases of the reports: empty input, no fraud, no flags, equal amounts."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rows import raw, raw_with_id
 from txnrisk.functions.features import add_features
-from txnrisk.operators import investigate as I, kpi, profile as P
+from txnrisk.operators import grouped, investigate as I, kpi, profile as P
 from txnrisk.plans.catalog import feat, txns
 from txnrisk.sources import warehouse
 
@@ -136,9 +137,18 @@ def test_lonely_group_has_point_density(spark):
     assert {(r["x"], r["density"]) for r in rows} == {(2.0, 1.0)}
 
 
-def test_too_many_groups_are_refused(spark):
-    with pytest.raises(ValueError, match="groups"):
-        P.box_stats(spark.range(100).selectExpr("id", "id as v"), F.col("v"), by="id")
+def test_a_hundred_groups(spark):
+    df = spark.range(5000).selectExpr("id % 100 AS g", "CAST(pmod(hash(id), 1000) AS DOUBLE) / 8 AS v")
+    got = {r["g"]: r for r in P.box_stats(df, F.col("v"), by="g").collect()}
+    values = {}
+    for r in df.collect():
+        values.setdefault(r["g"], []).append(r["v"])
+    assert got.keys() == values.keys() and len(got) == 100
+    for g, vs in values.items():
+        q1, q2, q3 = np.quantile(vs, [0.25, 0.5, 0.75])
+        inside = [v for v in vs if q1 - 1.5 * (q3 - q1) <= v <= q3 + 1.5 * (q3 - q1)]
+        want = (len(vs), q1, q2, q3, min(*inside, q1), max(*inside, q3), len(vs) - len(inside))
+        assert tuple(got[g])[1:] == pytest.approx(want, abs=1e-6)
 
 
 def test_layout_round_trip(spark, sf, tmp_path):
@@ -177,11 +187,31 @@ def test_catalog_table_answers_sql(spark, sf, tmp_path):
     spark.sql("DROP TABLE stored_transactions")
 
 
-def test_more_groups_than_one_pass_takes(spark, monkeypatch):
-    df = spark.range(2000).selectExpr("id % 20 AS g", "CAST(hash(id) % 50 AS DOUBLE) AS v")
-    tables = (lambda: P.histogram(df, F.col("v"), 4, by="g"), lambda: P.box_stats(df, F.col("v"), "g"),
-              lambda: P.kernel_density(df, "v", "g", points=3))
-    one = [sorted(make().collect()) for make in tables]
-    monkeypatch.setattr(P, "MAX_GROUPS", 9)
-    assert [sorted(make().collect()) for make in tables] == one
-    assert {r["g"] for r in one[0]} == set(range(20)) and sum(r["count"] for r in one[0]) == 2000
+def test_groups_of_every_kind(spark):
+    """A hot group, groups of one row, of one value, without values, and rows without a group."""
+    df = spark.range(3000).selectExpr("CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 = 7 THEN NULL ELSE concat('g', id % 400) END AS g",
+                                      "CASE WHEN id % 400 = 8 THEN NULL WHEN id % 400 = 9 THEN 2.5D ELSE CAST(id AS DOUBLE) END AS v")
+    boxes = {r["g"]: r for r in P.box_stats(df, F.col("v"), "g").collect()}
+    assert "g8" not in boxes and None not in boxes and boxes["hot"]["count"] == 2100
+    assert (boxes["g9"]["q1"], boxes["g9"]["whisker_high"], boxes["g9"]["outliers"]) == (2.5, 2.5, 0)
+    bins = P.histogram(df, F.col("v"), 4, by="g")
+    assert bins.count() == 4 * len(boxes) and bins.agg(F.sum("count")).first()[0] == df.where("g is not null and v is not null").count()
+    dense = P.kernel_density(df, "v", "g", points=3)
+    assert dense.count() == 3 * len(boxes) and dense.where("density is null or x is null").isEmpty()
+
+
+@pytest.mark.parametrize("bins", [3, 2048])
+def test_grouped_quantiles_need_no_more_passes_for_more_groups(spark, bins, monkeypatch):
+    passes = []
+    narrowed = grouped._narrowed
+    monkeypatch.setattr(grouped, "_narrowed", lambda *a: passes.append(1) or narrowed(*a))
+    probs, made = [0.0, 0.1, 0.5, 0.999, 1.0], []
+    for groups in (2, 60):
+        df = spark.range(groups * 30).selectExpr(f"id % {groups} AS g", f"pow(floor(id / {groups}) - 14.5, 3) AS v")
+        values = grouped.grouped_values(df, "g", F.col("v"))
+        passes.clear()
+        for r in grouped.grouped_quantiles(values, "g", probs, bins).collect():
+            assert r["n"] == 30 and r["q"] == pytest.approx(np.quantile([(i - 14.5) ** 3 for i in range(30)], probs))
+        made.append(len(passes))
+    assert made[0] == made[1]
+    assert grouped.grouped_quantiles(values.limit(0), "g", probs).count() == 0

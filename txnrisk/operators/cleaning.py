@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from txnrisk.functions import constants as C
 from txnrisk.functions.features import is_extreme_amount, type_code
 from txnrisk.functions.scalars import without_nan
-from txnrisk.operators.quantiles import exact_quantiles, most_common
+from txnrisk.operators.quantiles import exact_quantiles, most_common_each, quantile_and_above
 
 
 def fill_zero_balances(df: DataFrame) -> DataFrame:
@@ -17,31 +17,32 @@ def fill_zero_balances(df: DataFrame) -> DataFrame:
     return without_nan(df).na.fill(0.0, subset=C.ZERO_FILL_COLUMNS)
 
 
+def missing_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
+    """Rows, and missing cells per column, in one pass."""
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
+    return counts["_rows"], {c: counts[c] for c in df.columns}
+
+
 def gaps(df: DataFrame) -> list[str]:
     """Columns with missing cells."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
-    return [c for c in df.columns if counts[c] > 0]
+    return [c for c, n in missing_counts(df)[1].items() if n > 0]
 
 
-def fill_values(df: DataFrame, every: bool = False) -> dict[str, object]:
+def fill_values(df: DataFrame, every: bool = False, wanted: Sequence[str] | None = None) -> dict[str, object]:
     """Value per column that still has missing cells: the median, or the mode of text.
 
     Looks at the frame after ``fill_zero_balances``. A column without any value is left out.
-    ``every`` takes complete columns too, for rows to come that have other gaps.
+    ``every`` takes complete columns too, for rows to come that have other gaps; ``wanted`` names the columns.
     """
-    wanted = df.columns if every else gaps(df)
+    if wanted is None:
+        wanted = df.columns if every else gaps(df)
     fields = [f for f in df.schema if f.name in wanted]
     numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
     values: dict[str, object] = {}
     if numeric:
         medians = exact_quantiles(df, {c: F.col(c) for c in numeric}, [0.5])
         values.update({c: m[0] for c, m in medians.items() if m[0] is not None})
-    for field in fields:
-        if isinstance(field.dataType, T.StringType):
-            mode = most_common(df, field.name)
-            if mode is not None:
-                values[field.name] = mode
-    return values
+    return values | most_common_each(df, [f.name for f in fields if isinstance(f.dataType, T.StringType)])
 
 
 def fill_missing(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
@@ -67,9 +68,9 @@ def drop_invalid_amounts(df: DataFrame) -> DataFrame:
     return df.where((F.col("amount") > 0) & ~F.isnan("amount"))
 
 
-def cap_value(df: DataFrame, q: float = C.CAP_QUANTILE) -> float | None:
-    """The exact interpolated quantile of ``amount``."""
-    return exact_quantiles(df, {"amount": F.col("amount")}, [q])["amount"][0]
+def cap_value(df: DataFrame, q: float = C.CAP_QUANTILE) -> tuple[float | None, int]:
+    """The exact interpolated quantile of ``amount``, and the number of amounts above it."""
+    return quantile_and_above(df, "amount", q)
 
 
 def cap_amounts(df: DataFrame, cap: float | None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,11 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from txnrisk.functions import constants as C
 from txnrisk.operators.evaluate import with_alerts
-from txnrisk.operators.profile import MAX_GROUPS
+from txnrisk.operators.model_tables import logistic_gradient
 from txnrisk.operators.quantiles import kth_smallest
 
 LABEL = "isFraud"
 MAX_BINS = 128
+# Classes whose cuts one pass finds, each as a column of its own.
+MAX_CLASSES = 64
 
 
 def _hash(key: str, seed: int) -> Column:
@@ -53,7 +54,7 @@ def stratified_split(df: DataFrame, label: str = LABEL, test: float = 0.2, seed:
     A row is in the test part when the hash of its key is at most its class's cut, the
     k-th smallest hash. The cut is found by counting, so no class is sorted in one task,
     and membership depends on the key alone: the split is the same on every run. Cuts are found
-    for MAX_GROUPS classes a pass. Rows without a label belong to neither part, so they raise, with their number.
+    for MAX_CLASSES classes a pass. Rows without a label belong to neither part, so they raise, with their number.
     """
     counts = class_counts(df, label)
     if None in counts:
@@ -61,8 +62,8 @@ def stratified_split(df: DataFrame, label: str = LABEL, test: float = 0.2, seed:
     sizes = {c: k for c, k in test_sizes(counts, test).items() if k > 0}
     h = _hash(key, seed)
     classes, cuts = list(sizes), {}
-    for i in range(0, len(classes), MAX_GROUPS):
-        some = classes[i:i + MAX_GROUPS]
+    for i in range(0, len(classes), MAX_CLASSES):
+        some = classes[i:i + MAX_CLASSES]
         streams = {str(c): F.when(F.col(label) == F.lit(c), h) for c in some}
         cuts |= kth_smallest(df, streams, {str(c): (sizes[c], counts[c]) for c in some})
     tests = [(F.col(label) == F.lit(c)) & (h <= F.lit(cuts[str(c)])) for c in classes] or [F.lit(False)]
@@ -96,9 +97,8 @@ def training_frame(train: DataFrame, features: Sequence[str] = tuple(C.MODEL_FEA
                    label: str = LABEL) -> DataFrame:
     """Feature columns as doubles, the label and the balanced weight."""
     weights = class_weights(train, label)
-    weight = F.lit(None).cast("double")
-    for c, w in weights.items():
-        weight = F.when(F.col(label) == F.lit(c), F.lit(w)).otherwise(weight)
+    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])  # one expression, however many classes
+    weight = F.try_element_at(table, F.col(label)) if weights else F.lit(None).cast("double")
     return train.select(*[F.col(f).cast("double").alias(f) for f in features],
                         F.col(label).cast("double").alias("label"), weight.alias("weight"))
 
@@ -157,58 +157,33 @@ def score(model: PipelineModel, df: DataFrame, key: str = "id",
                          "alert_priority")
 
 
-def _ranked(spark: SparkSession, names: Sequence[str], values: Sequence[float]) -> DataFrame:
+def logistic_strength(model: PipelineModel, spark: SparkSession,
+                      features: Sequence[str] = tuple(C.MODEL_FEATURES)) -> DataFrame:
+    """(feature, value, above_mean): absolute coefficients of the scaled features."""
+    values = [abs(float(x)) for x in model.stages[-1].coefficients]
     mean = sum(values) / len(values)
-    rows = sorted(((n, float(v), bool(v > mean)) for n, v in zip(names, values)),
-                  key=lambda r: (-r[1], r[0]))
+    rows = sorted(((n, v, v > mean) for n, v in zip(features, values)), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(rows, "feature string, value double, above_mean boolean")
 
 
-def forest_importance(model: PipelineModel, spark: SparkSession,
-                      features: Sequence[str] = tuple(C.MODEL_FEATURES)) -> DataFrame:
-    return _ranked(spark, features, list(model.stages[-1].featureImportances.toArray()))
+def logistic_certificate(model: PipelineModel, frame: DataFrame, features: Sequence[str] = tuple(C.MODEL_FEATURES),
+                         tolerance: float = 1e-4) -> DataFrame:
+    """(feature, optimal): whether the gradient at the fitted coefficients is within ``tolerance`` of 0."""
+    scaler, fitted = model.stages[1], model.stages[-1]
+    gradient = logistic_gradient(frame, [float(x) for x in scaler.mean], [float(x) for x in scaler.std],
+                                 [float(x) for x in fitted.coefficients], float(fitted.intercept), fitted.getRegParam(), features)
+    return gradient.select("feature", (F.abs("gradient") < tolerance).alias("optimal"))
 
 
-def logistic_strength(model: PipelineModel, spark: SparkSession,
-                      features: Sequence[str] = tuple(C.MODEL_FEATURES)) -> DataFrame:
-    """Absolute coefficients of the scaled features."""
-    return _ranked(spark, features, [abs(x) for x in model.stages[-1].coefficients])
-
-
-def tree_rules(model: PipelineModel, spark: SparkSession,
-               features: Sequence[str] = tuple(C.MODEL_FEATURES)) -> DataFrame:
-    """(rule, prediction): one row per leaf of the decision tree, as readable conditions."""
-    path: list[str] = []
-    rules = []
-    for line in model.stages[-1].toDebugString.splitlines():
-        condition = re.search(r"(If|Else) \(feature (\d+) (.+)\)", line)
-        leaf = re.search(r"Predict: (\S+)", line)
-        if condition:
-            depth = (len(line) - len(line.lstrip())) - 2
-            del path[max(depth, 0):]
-            path.append(f"{features[int(condition[2])]} {condition[3]}")
-        elif leaf:
-            rules.append((" AND ".join(path) or "always", int(float(leaf[1]))))
-    return spark.createDataFrame(rules, "rule string, prediction int")
-
-
-def model_shapes(models: Mapping[str, PipelineModel], spark: SparkSession) -> DataFrame:
-    """(model, trees, depth, leaves) of the tree models."""
-    rows = []
-    for name, model in models.items():
-        last = model.stages[-1]
-        trees = getattr(last, "trees", [last] if hasattr(last, "depth") else [])
-        if trees:
-            rows.append((name, len(trees), max(t.depth for t in trees),
-                         sum((t.numNodes + 1) // 2 for t in trees)))
-    return spark.createDataFrame(rows, "model string, trees int, depth int, leaves int")
+def model_path(folder: str, name: str) -> str:
+    return f"{folder.rstrip('/')}/{name.lower().replace(' ', '_')}"
 
 
 def save_models(models: Mapping[str, PipelineModel], folder: str) -> None:
     """One folder per model; the scaler is part of the logistic one."""
     for name, model in models.items():
-        model.write().overwrite().save(f"{folder.rstrip('/')}/{name.lower().replace(' ', '_')}")
+        model.write().overwrite().save(model_path(folder, name))
 
 
 def load_model(folder: str, name: str) -> PipelineModel:
-    return PipelineModel.load(f"{folder.rstrip('/')}/{name.lower().replace(' ', '_')}")
+    return PipelineModel.load(model_path(folder, name))

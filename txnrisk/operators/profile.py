@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from txnrisk.functions import constants as C
 from txnrisk.functions.scalars import percent, ratio, rnd
+from txnrisk.operators.grouped import grouped_quantiles, grouped_values
 from txnrisk.operators.quantiles import exact_quantiles
+from txnrisk.session import stage
 
-# Groups that one pass takes on, each as columns of its own; more groups take more passes.
-MAX_GROUPS = 64
 # Wide enough for capped amounts, which need not be whole cents.
 MONEY = "decimal(28,8)"
 
@@ -26,20 +25,6 @@ def _rate(digits: int = 4) -> Column:
     return percent(F.sum("isFraud"), F.count("isFraud"), digits)
 
 
-def _groups(df: DataFrame, by: str) -> list:
-    """Sorted values of a grouping column."""
-    return sorted(r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().collect())
-
-
-def _in_passes(df: DataFrame, by: str, groups: list, one_pass: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """``one_pass`` over MAX_GROUPS groups at a time, put together; None if one pass does for all."""
-    if len(groups) <= MAX_GROUPS:
-        return None
-    cuts = [groups[i:i + MAX_GROUPS] for i in range(0, len(groups), MAX_GROUPS)]
-    parts = [one_pass(df.where(F.col(by).isin(some))) for some in cuts]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def over_domain(df: DataFrame, key: str, domain: Sequence, fill: dict[str, object]) -> DataFrame:
     """One row per value of a short fixed list, in its order, filled where ``df`` has none.
 
@@ -108,46 +93,29 @@ def tier_counts(df: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, value: Column, bins: int, by: str | None = None) -> DataFrame:
     """Equal-width bins over each group's own range, empty bins included, last bin closed.
 
-    (by, bin, bin_start, bin_end, count, density); density has area 1 per group.
+    (by, bin, bin_start, bin_end, count, density); density has area 1 per group. Ranges are a table joined
+    by group, so groups may be any number.
     """
-    groups = _groups(df, by) if by else [0]
-    if (all_of := _in_passes(df, by, groups, lambda part: histogram(part, value, bins, by))) is not None:
-        return all_of
-    data = df.select((F.col(by) if by else F.lit(0)).alias("_g"), value.cast("double").alias("_x"))
-    data = data.where(F.col("_g").isNotNull() & F.col("_x").isNotNull())
-    ranges = {r["_g"]: r for r in data.groupBy("_g").agg(
-        F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
-    groups = [g for g in groups if g in ranges]
-    spans = []
-    for g in groups:
-        lo, hi = ranges[g]["lo"], ranges[g]["hi"]
-        spans.append((lo - 0.5, hi + 0.5) if lo == hi else (lo, hi))
-    # One number per (group, bin); -1 for a group without values.
-    slot = F.lit(-1).cast("long")
-    for i, (g, (lo, hi)) in enumerate(zip(groups, spans)):
-        width = (hi - lo) / bins
-        inside = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
-        slot = F.when(F.col("_g") == F.lit(g), inside + i * bins).otherwise(slot)
-    counts = data.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("count"))
-    dense = over_domain(counts, "_slot", list(range(bins * len(groups))), {"count": 0})
-
-    kind = data.schema["_g"].dataType.simpleString()
-    cells = F.array(*[
-        F.struct(F.lit(g).alias("g"), F.lit(lo).alias("lo"), F.lit((hi - lo) / bins).alias("width"),
-                 F.lit(ranges[g]["n"]).alias("n"))
-        for g, (lo, hi) in zip(groups, spans)
-    ]).cast(f"array<struct<g:{kind},lo:double,width:double,n:bigint>>")
-    placed = dense.select(
-        "count", (F.col("_slot") % bins).alias("bin"),
-        F.element_at(cells, (F.floor(F.col("_slot") / bins) + 1).cast("int")).alias("c"))
-    lo, width = F.col("c.lo"), F.col("c.width")
+    group = by or "_g"
+    data = grouped_values(df if by else df.select("*", F.lit(0).alias("_g")), group, value)
+    x, lo, width = F.col("v"), F.col("lo"), F.col("width")
+    spans = data.groupBy(group).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.count(F.lit(1)).alias("n"))
+    flat = F.col("_lo") == F.col("_hi")
+    ranges = stage(spans.select(
+        group, "n", F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
+        (F.when(flat, F.lit(1.0)).otherwise(F.col("_hi") - F.col("_lo")) / bins).alias("width")), "ranges")
+    counts = (data.join(ranges, group)
+              .groupBy(group, F.least(F.floor((x - lo) / width), F.lit(bins - 1)).cast("long").alias("bin"))
+              .agg(F.count(F.lit(1)).alias("count")))
+    dense = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    placed = dense.join(counts, [group, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
     out = placed.select(
-        F.col("c.g").alias(by or "_g"), "bin",
+        group, "bin",
         rnd(lo + F.col("bin") * width, 6).alias("bin_start"),
         rnd(lo + (F.col("bin") + 1) * width, 6).alias("bin_end"),
         "count",
-        rnd(ratio(F.col("count"), F.col("c.n") * width), 8).alias("density"),
-    )
+        rnd(ratio(F.col("count"), F.col("n") * width), 8).alias("density"),
+    ).orderBy(group, "bin")
     return out if by else out.drop("_g")
 
 
@@ -202,37 +170,19 @@ def lift_by(df: DataFrame, key: str) -> DataFrame:
 
 
 def box_stats(df: DataFrame, value: Column, by: str = "isFraud") -> DataFrame:
-    """Quartiles, whiskers (last datum within 1.5 IQR) and outlier count per group."""
-    groups = _groups(df, by)
-    if (all_of := _in_passes(df, by, groups, lambda part: box_stats(part, value, by))) is not None:
-        return all_of
-    x = value.cast("double")
-    own = {str(g): F.when(F.col(by) == F.lit(g), x) for g in groups}
-    quartiles = exact_quantiles(df, own, [0.25, 0.5, 0.75]) if groups else {}
-    aggregates, rows = [], []
-    for i, g in enumerate(groups):
-        q1, q2, q3 = quartiles[str(g)]
-        if q1 is None:
-            continue
-        reach = 1.5 * (q3 - q1)
-        inside = F.when(own[str(g)].between(q1 - reach, q3 + reach), own[str(g)])
-        aggregates.append(F.struct(
-            F.count(own[str(g)]).alias("n"), F.min(inside).alias("lo"), F.max(inside).alias("hi"),
-            F.count(inside).alias("kept")).alias(f"g{i}"))
-        s = F.col(f"g{i}")
-        rows.append(F.struct(
-            F.lit(g).alias(by), s["n"].alias("count"),
-            rnd(F.lit(q1), 6).alias("q1"), rnd(F.lit(q2), 6).alias("median"), rnd(F.lit(q3), 6).alias("q3"),
-            rnd(F.least(s["lo"], F.lit(q1)), 6).alias("whisker_low"),
-            rnd(F.greatest(s["hi"], F.lit(q3)), 6).alias("whisker_high"),
-            (s["n"] - s["kept"]).alias("outliers"),
-        ))
-    if not rows:
-        kind = df.schema[by].dataType.simpleString()
-        return df.sparkSession.createDataFrame([], (
-            f"{by} {kind}, count long, q1 double, median double, q3 double, "
-            "whisker_low double, whisker_high double, outliers long"))
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    """Quartiles, whiskers (last datum within 1.5 IQR) and outlier count per group, for any number of groups."""
+    data = grouped_values(df, by, value)
+    q1, q2, q3 = (F.element_at("q", i) for i in (1, 2, 3))
+    boxes = stage(grouped_quantiles(data, by, [0.25, 0.5, 0.75]).select(by, "n", q1.alias("q1"), q2.alias("q2"), q3.alias("q3")), "boxes")
+    reach = (F.col("q3") - F.col("q1")) * 1.5
+    inside = F.when(F.col("v").between(F.col("q1") - reach, F.col("q3") + reach), F.col("v"))
+    kept = data.join(boxes, by).groupBy(by).agg(F.min(inside).alias("lo"), F.max(inside).alias("hi"), F.count(inside).alias("kept"))
+    return boxes.join(kept, by).select(
+        by, F.col("n").alias("count"),
+        rnd(F.col("q1"), 6).alias("q1"), rnd(F.col("q2"), 6).alias("median"), rnd(F.col("q3"), 6).alias("q3"),
+        rnd(F.least("lo", "q1"), 6).alias("whisker_low"), rnd(F.greatest("hi", "q3"), 6).alias("whisker_high"),
+        (F.col("n") - F.col("kept")).alias("outliers"),
+    ).orderBy(by)
 
 
 def kernel_density(df: DataFrame, column: str, by: str = "isFraud", points: int = 100) -> DataFrame:
@@ -240,46 +190,22 @@ def kernel_density(df: DataFrame, column: str, by: str = "isFraud", points: int
 
     Bandwidth is Scott's rule, n^(-1/5) sample deviations. Rows are first counted per
     distinct value, so the work is distinct values x grid points: for a two-decimal
-    score at most 10,001 x 100 per group, however many rows there are.
+    score at most 10,001 x 100 per group, however many rows there are. Groups may be any number.
     (by, point, x, density, median)
     """
-    groups = _groups(df, by)
-    if (all_of := _in_passes(df, by, groups, lambda part: kernel_density(part, column, by, points))) is not None:
-        return all_of
-    data = df.where(F.col(by).isNotNull() & F.col(column).isNotNull())
-    stats = {r[by]: r for r in data.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"),
-        F.stddev_samp(column).alias("std")).collect()}
-    own = {str(g): F.when(F.col(by) == F.lit(g), F.col(column)) for g in groups}
-    medians = exact_quantiles(data, own, [0.5]) if groups else {}
-
-    def per_group(pick) -> Column:
-        out = F.lit(None).cast("double")
-        for g in groups:
-            if g in stats:
-                out = F.when(F.col(by) == F.lit(g), F.lit(pick(g)).cast("double")).otherwise(out)
-        return out
-
-    def bandwidth(g):
-        std, n = stats[g]["std"], stats[g]["n"]
-        return std * n ** -0.2 if std else None
-
-    lo, hi = per_group(lambda g: stats[g]["lo"]), per_group(lambda g: stats[g]["hi"])
-    h = per_group(bandwidth)
-    n = per_group(lambda g: stats[g]["n"])
-    median = per_group(lambda g: medians[str(g)][0])
-    counted = data.groupBy(by, F.col(column).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    grid = counted.select(by, "_v", "_n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    x = lo + F.col("point") * ((hi - lo) / (points - 1))
-    z = (x - F.col("_v")) / h
-    summed = grid.withColumn("_k", F.col("_n") * F.exp(z * z * -0.5)).groupBy(by, "point").agg(
-        F.sum("_k").alias("_sum"))
+    data = grouped_values(df, by, F.col(column))
+    spread = data.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("std"))
+    medians = grouped_quantiles(data, by, [0.5]).select(by, "n", F.element_at("q", 1).alias("m"))
+    stats = stage(spread.join(medians, by).withColumn("h", F.nullif(F.col("std"), F.lit(0.0)) * F.pow("n", F.lit(-0.2))), "spreads")
+    counted = data.groupBy(by, "v").agg(F.count(F.lit(1)).alias("c"))
+    grid = counted.join(stats, by).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    x = F.col("lo") + F.col("point") * ((F.col("hi") - F.col("lo")) / (points - 1))
+    z = (x - F.col("v")) / F.col("h")
+    summed = grid.groupBy(by, "point").agg(F.sum(F.col("c") * F.exp(z * z * -0.5)).alias("_sum"))
     # A group with one distinct value has no spread: density 1 at that value.
-    density = F.coalesce(F.try_divide(F.col("_sum"), n * h * math.sqrt(2 * math.pi)), F.lit(1.0))
-    return summed.select(
-        by, "point", rnd(x, 6).alias("x"), rnd(density, 8).alias("density"),
-        rnd(median, 4).alias("median"),
+    density = F.coalesce(F.try_divide(F.col("_sum"), F.col("n") * F.col("h") * math.sqrt(2 * math.pi)), F.lit(1.0))
+    return summed.join(stats, by).select(
+        by, "point", rnd(x, 6).alias("x"), rnd(density, 8).alias("density"), rnd(F.col("m"), 4).alias("median"),
     ).orderBy(by, "point")
 
 

@@ -14,10 +14,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Every task sends one sketch of about this many entries to the task that merges them,
-# so it stays small; a wide bracket costs no more than one extra narrowing pass.
+# A wide bracket costs no more than one extra narrowing pass, so sketches stay small.
 ACCURACY = 500
 BINS = 2048
+# Sketches are merged in two levels: each of so many groups merges those of its share of the tasks
+# and passes on GRID + 1 values. A million tasks make groups of a thousand sketches.
+SKETCH_GROUPS = 1024
+GRID = 200
 
 
 class _Target:
@@ -31,11 +34,17 @@ class _Target:
         self.start = self.stop = None
         self.below = self.inside = 0
         self.low_value = self.high_value = None
+        self.rows = 0
 
     @property
     def done(self) -> bool:
         return self.low_value is not None and self.high_value is not None
 
+    @property
+    def above(self) -> int:
+        """Rows above ``value``, of the ``rows`` there are."""
+        return self.rows - (self.high if self.low_value < self.high_value else self.below + self.inside)
+
     @property
     def value(self) -> float:
         share = self.position - self.low
@@ -71,32 +80,35 @@ def exact_quantiles(df: DataFrame, streams: Mapping[str, Column], probs: Sequenc
     A stream is any numeric column expression, so ``when(cond, x)`` gives a group's quantiles.
     """
     asks = [(name, q, None) for name in streams for q in probs]
-    found = iter(_solve(df, streams, asks, accuracy, bins))
+    found = iter(_values(_solve(df, streams, asks, accuracy, bins)))
     return {name: [next(found) for _ in probs] for name in streams}
 
 
+def quantile_and_above(df: DataFrame, column: str, q: float) -> tuple[float | None, int]:
+    """The quantile of a column and the number of rows above it, which the search has counted anyway."""
+    target, = _solve(df, {column: F.col(column)}, [(column, q, None)], ACCURACY, BINS)
+    return (target.value, target.above) if target else (None, 0)
+
+
 def kth_smallest(df: DataFrame, streams: Mapping[str, Column], ranks: Mapping[str, tuple[int, int]],
                  accuracy: int = ACCURACY, bins: int = BINS) -> dict[str, float | None]:
     """The k-th smallest value of each stream; ``ranks`` gives (k, rows of the stream)."""
     asks = [(name, (k - 1) / max(n - 1, 1), float(k - 1)) for name, (k, n) in ranks.items()]
-    return dict(zip(ranks, _solve(df, streams, asks, accuracy, bins)))
+    return dict(zip(ranks, _values(_solve(df, streams, asks, accuracy, bins))))
+
+
+def _values(targets: Sequence[_Target | None]) -> list[float | None]:
+    return [t.value if t else None for t in targets]
 
 
-def _solve(df, streams, asks, accuracy, bins) -> list[float | None]:
-    """Values for (stream, probability, position or None) in the order asked."""
+def _solve(df, streams, asks, accuracy, bins) -> list[_Target | None]:
+    """Settled targets for (stream, probability, position or None) in the order asked; None for an empty stream."""
     values = {name: expr.cast("double") for name, expr in streams.items()}
-    margin = 2.0 / accuracy
+    margin = 2.0 / accuracy + 1.0 / GRID
     points = {name: [] for name in values}
     for name, q, _ in asks:
         points[name] += [max(0.0, q - margin), min(1.0, q + margin)]
-    first = df.agg(*[
-        F.struct(
-            F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-            F.percentile_approx(v, points[name], accuracy).alias("marks"),
-        ).alias(f"s{i}")
-        for i, (name, v) in enumerate(values.items())
-    ]).first()
-    seen = {name: first[f"s{i}"] for i, name in enumerate(values)}
+    seen = _first_look(df, values, points, accuracy)
     used = dict.fromkeys(values, 0)
     targets = []
     for name, q, position in asks:
@@ -106,14 +118,39 @@ def _solve(df, streams, asks, accuracy, bins) -> list[float | None]:
             targets.append(None)
             continue
         target = _Target(name, (n - 1) * q if position is None else position)
-        target.start, target.stop = marks[at], marks[at + 1]
+        target.start, target.stop, target.rows = marks[at], marks[at + 1], n
         targets.append(target)
     live = [t for t in targets if t]
     if live:
         _check_brackets(df, values, seen, live)
     while open_targets := [t for t in live if not t.done]:
         _narrow_all(df, values, open_targets, bins)
-    return [t.value if t else None for t in targets]
+    return targets
+
+
+def _first_look(df, values, points, accuracy) -> dict:
+    """n, lo, hi and the approximate quantiles ``marks`` of each stream."""
+    names = list(values)
+    held = df.select(*[v.alias(f"s{i}") for i, v in enumerate(values.values())],
+                     F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group"))
+    grid = [k / GRID for k in range(GRID + 1)]
+    parts = held.groupBy("_group").agg(*[
+        F.struct(F.lit(i).alias("i"), F.count(f"s{i}").alias("n"), F.min(f"s{i}").alias("lo"), F.max(f"s{i}").alias("hi"),
+                 F.percentile_approx(f"s{i}", grid, accuracy).alias("marks")).alias(f"p{i}") for i in range(len(names))])
+    each = parts.select(F.explode(F.array(*[f"p{i}" for i in range(len(names))])).alias("p")).where(F.col("p.n") > 0)
+    marked = each.select("p.i", "p.n", "p.lo", "p.hi", F.posexplode("p.marks").alias("at", "mark"))
+    wanted = sorted({q for qs in points.values() for q in qs})
+    # a group's marks stand for equal shares of its rows; there are SKETCH_GROUPS x (GRID + 1) of them at the most
+    looked = {r["i"]: r for r in marked.groupBy("i").agg(
+        F.sum(F.when(F.col("at") == 0, F.col("n"))).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.percentile("mark", wanted, F.col("n")).alias("marks")).collect()}
+    out = {}
+    for i, name in enumerate(names):
+        r = looked.get(i)
+        marks = dict(zip(wanted, r["marks"])) if r else {}
+        out[name] = {"n": r["n"] if r else 0, "lo": r["lo"] if r else None, "hi": r["hi"] if r else None,
+                     "marks": [marks.get(q) for q in points[name]]}
+    return out
 
 
 def _check_brackets(df, values, seen, targets):
@@ -158,8 +195,16 @@ def exact_median(df: DataFrame, column: str) -> float | None:
     return exact_quantiles(df, {column: F.col(column)}, [0.5])[column][0]
 
 
-def most_common(df: DataFrame, column: str):
+def most_common_each(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The most frequent value of each text column that has one, the smallest among equals, in one pass."""
+    if not columns:
+        return {}
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])).alias("x")
+    counts = (df.select(cells).where(F.col("x.value").isNotNull()).groupBy("x.name", "x.value").agg(F.count(F.lit(1)).alias("n")))
+    tops = counts.groupBy("name").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"))
+    return {r["name"]: r["value"] for r in tops.collect()}
+
+
+def most_common(df: DataFrame, column: str) -> str | None:
     """The most frequent value, the smallest among equals; None when all are NULL."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), F.asc(column)).select(column).limit(1).collect()
-    return top[0][0] if top else None
+    return most_common_each(df, [column]).get(column)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
 from txnrisk.functions import constants as C, features
 from txnrisk.functions.scalars import rnd
 from txnrisk.operators import (
-    cleaning, evaluate, investigate as I, kpi, learn, ordering, profile as P, quality,
+    cleaning, evaluate, investigate as I, kpi, learn, model_tables, ordering, profile as P, quality,
 )
 from txnrisk.plans import cleaning_run, training_run
 from txnrisk.session import shared_folder, stage
-from txnrisk.sources import files, orders, warehouse
+from txnrisk.sources import catalog_objects, files, increments, orders, warehouse
 from txnrisk.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +82,79 @@ def sequence_ids(spark, sf_dir):
     return warehouse.with_sequence(distinct).select("id")
 
 
+def appended(spark, sf_dir):
+    """Transactions stored in two batches, the first of them sent twice."""
+    rows = raw(spark, sf_dir).select(F.col("id").alias("source_id"), "step", "amount")
+    folder = shared_folder(spark, "increments")
+    early, late = rows.where("step <= 372"), rows.where("step > 372")
+    for name, part in (("early", early), ("late", late), ("early", early)):
+        increments.append_batch(part, folder, name, order="step", tie="source_id")
+    kinds = T.StructType([T.StructField("id", T.LongType()), *rows.schema.fields, warehouse.CREATED])
+    return increments.read_appended(spark, folder, kinds)
+
+
+def appended_ids(spark, sf_dir):
+    return appended(spark, sf_dir).select("id", "source_id", "batch")
+
+
+def appended_batches(spark, sf_dir):
+    return appended(spark, sf_dir).groupBy("batch").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+        F.count("created_at").alias("stamped"), F.count_distinct("id").alias("ids"))
+
+
+def stamped_table(spark, sf_dir):
+    """The stored table read back with the time its rows were written."""
+    path = shared_folder(spark, "warehouse")
+    warehouse.write_warehouse(warehouse.to_warehouse(feat(spark, sf_dir), stamp=True), path)
+    back = warehouse.read_warehouse(spark, path, stamp=True)
+    recent = F.col("created_at").between(F.current_timestamp() - F.expr("interval 1 day"), F.current_timestamp())
+    return back.withColumn("stamped", recent).drop("created_at")
+
+
+def _table_name() -> str:
+    return f"transactions_{uuid.uuid4().hex}"
+
+
+def by_sender(spark, sf_dir):
+    """The warehouse table bucketed by sender, from the session's catalog."""
+    return warehouse.save_by_sender(txns(spark, sf_dir), _table_name(), shared_folder(spark, "by-sender"))
+
+
+def catalog_name(spark, sf_dir) -> str:
+    """The warehouse table stored under a new name of the session's catalog."""
+    name = _table_name()
+    warehouse.save_table(txns(spark, sf_dir), name, shared_folder(spark, "catalog"))
+    return name
+
+
+def report_function(arguments: str) -> Query:
+    """A call of the report's table function from SQL."""
+    def call(spark, sf_dir):
+        name = catalog_objects.create_report(spark, catalog_name(spark, sf_dir))
+        return spark.sql(f"SELECT * FROM {name}({arguments})")
+    return call
+
+
+def queue_view(spark, sf_dir):
+    name = catalog_objects.create_queue(spark, catalog_name(spark, sf_dir))
+    return spark.sql(f"SELECT * FROM {name}")
+
+
+def described_table(spark, sf_dir):
+    """DESCRIBE of the stored table: its columns and their types."""
+    found = spark.sql(f"DESCRIBE TABLE {catalog_name(spark, sf_dir)}")
+    return found.where("NOT col_name LIKE '#%' AND col_name <> ''").select("col_name", "data_type").distinct()
+
+
+def explained_report(spark, sf_dir):
+    """EXPLAIN of the fraud counts by type: the operators of the plan."""
+    plan = I.explain_sql(spark, f"""SELECT type, count(*) AS n, sum(is_fraud) AS f FROM {catalog_name(spark, sf_dir)}
+                                    WHERE is_fraud = 1 GROUP BY type""")
+    lines = plan.select(F.explode(F.split("plan", "\n")).alias("line"))
+    return lines.select(F.regexp_extract("line", r"^[ :+*-]*([A-Z]\w+)[^()]* \(\d+\)$", 1).alias("operator")).where("operator <> ''").distinct()
+
+
 def cleaned_table(spark, sf_dir):
     out = cleaning_run.clean(dirty(spark, sf_dir))
     return out.withColumn("amount_capped", rnd(F.col("amount_capped"), 5))
@@ -207,20 +282,99 @@ def scored_transactions(spark, sf_dir):
     return learn.score(t.models["Random Forest"], t.test)
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def _models_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Where the session's trained models are stored."""
+    slot = (spark.sparkContext.applicationId, sf_dir)
+    if slot not in _stored:
+        folder = shared_folder(spark, "models")
+        learn.save_models(trained(spark, sf_dir).models, folder)
+        _stored[slot] = folder
+    return _stored[slot]
+
+
+def nodes_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return model_tables.node_table(spark, learn.model_path(_models_folder(spark, sf_dir), name))
+
+
 def forest_importance(spark, sf_dir):
-    return learn.forest_importance(trained(spark, sf_dir).models["Random Forest"], spark)
+    return model_tables.importances(nodes_of(spark, sf_dir, "Random Forest"))
+
+
+def importance_agreement(spark, sf_dir):
+    """Whether the importances worked out from the node files are the model's own."""
+    own = trained(spark, sf_dir).models["Random Forest"].stages[-1].featureImportances.toArray()
+    pairs = F.create_map(*[F.lit(x) for pair in zip(C.MODEL_FEATURES, map(float, own)) for x in pair])
+    found = forest_importance(spark, sf_dir)
+    return found.select("feature", (F.abs(F.col("value") - pairs[F.col("feature")]) < 1e-9).alias("agrees"))
 
 
 def logistic_strength(spark, sf_dir):
     return learn.logistic_strength(trained(spark, sf_dir).models["Logistic Regression"], spark)
 
 
+def logistic_certificate(spark, sf_dir):
+    """Whether the gradient of the penalised, weighted loss is 0 at the fitted coefficients, by feature."""
+    t = trained(spark, sf_dir)
+    return learn.logistic_certificate(t.models["Logistic Regression"], stage(learn.training_frame(t.train), "training-frame"))
+
+
+def training_matrix(spark, sf_dir):
+    """The rows that models are fitted on: features, label and balanced weight."""
+    train, _ = learn.stratified_split(feat(spark, sf_dir))
+    frame = learn.training_frame(train)
+    return frame.select(*[rnd(F.col(c), 6).alias(c) for c in frame.columns])
+
+
+def scaler_figures(spark, sf_dir):
+    """Mean and deviation that the stored scaler subtracts and divides by."""
+    model = learn.load_model(_models_folder(spark, sf_dir), "Logistic Regression")
+    rows = [(f, float(m), float(d)) for f, m, d in zip(C.MODEL_FEATURES, model.stages[1].mean, model.stages[1].std)]
+    table = spark.createDataFrame(rows, "feature string, mean double, deviation double")
+    return table.select("feature", rnd(F.col("mean"), 4).alias("mean"), rnd(F.col("deviation"), 4).alias("deviation"))
+
+
 def tree_rules(spark, sf_dir):
-    return learn.tree_rules(trained(spark, sf_dir).models["Decision Tree"], spark)
+    return model_tables.rules(nodes_of(spark, sf_dir, "Decision Tree")).select("rule", "prediction")
+
+
+def rule_decisions(spark, sf_dir):
+    """Of every test row, how many rules of the stored tree hold and whether they predict as the model does."""
+    t = trained(spark, sf_dir)
+    scored = t.models["Decision Tree"].transform(t.test).select("id", *C.MODEL_FEATURES, "prediction")
+    decided = model_tables.decide(scored, nodes_of(spark, sf_dir, "Decision Tree"))
+    return decided.select("id", "n_rules", (F.col("rule_prediction") == F.col("prediction")).alias("agrees"))
+
+
+def leaf_rows(spark, sf_dir):
+    """Whether the training rows that reach each leaf by its rule weigh what the stored leaf says."""
+    nodes = nodes_of(spark, sf_dir, "Decision Tree")
+    frame = stage(learn.training_frame(trained(spark, sf_dir).train), "training-frame")
+    reached = model_tables.decide(frame, nodes).groupBy(F.col("rule").alias("leaf")).agg(F.sum("weight").alias("met"))
+    said = model_tables.rules(nodes).join(reached, "leaf", "full")
+    same = F.abs(F.col("met") - F.col("weight")) < 1e-6 * F.col("weight")
+    return said.agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("agrees"), F.count_if(F.col("leaf").isNull()).alias("lost"))
 
 
 def model_shapes(spark, sf_dir):
-    return learn.model_shapes(trained(spark, sf_dir).models, spark)
+    parts = [model_tables.shapes(nodes_of(spark, sf_dir, name)).select(F.lit(name).alias("model"), "*")
+             for name in ("Decision Tree", "Random Forest")]
+    return parts[0].unionByName(parts[1])
+
+
+def metric_agreement(spark, sf_dir):
+    """Whether each model's figures are those of MLlib's own evaluators on the same test scores."""
+    t = trained(spark, sf_dir)
+    rows = []
+    for r in training_run.compare_models(t).collect():  # one row per model
+        scored = t.models[r["Model"]].transform(t.test).withColumn("label", F.col(learn.LABEL).cast("double")).select("label", "prediction", "rawPrediction")
+        area = BinaryClassificationEvaluator(numBins=0).evaluate(scored)
+        recall, precision = (MulticlassClassificationEvaluator(metricName=m, metricLabel=1.0).evaluate(scored)
+                             for m in ("recallByLabel", "precisionByLabel"))
+        rows.append((r["Model"], abs(area - r["ROC-AUC"]) < 1e-4, abs(recall - r["Recall"]) < 1e-4, abs(precision - r["Precision"]) < 1e-4))
+    return spark.createDataFrame(rows, "model string, roc_auc boolean, recall boolean, precision boolean")
 
 
 def forest_roc(spark, sf_dir):
@@ -228,11 +382,29 @@ def forest_roc(spark, sf_dir):
 
 
 def stored_model_scores(spark, sf_dir):
-    """Models saved, loaded back and applied to the test part."""
+    """Models loaded back and applied to the test part."""
+    return learn.score(learn.load_model(_models_folder(spark, sf_dir), "Decision Tree"), trained(spark, sf_dir).test)
+
+
+def stored_model_agreement(spark, sf_dir):
+    """Whether every test row gets the same score from the model in memory and the one loaded back."""
     t = trained(spark, sf_dir)
+    own = learn.probabilities(t.models["Random Forest"], t.test, "own").select("id", "own")
+    back = learn.probabilities(learn.load_model(_models_folder(spark, sf_dir), "Random Forest"), t.test, "back").select("id", "back")
+    return own.join(back, "id", "full").select("id", F.coalesce(F.abs(F.col("own") - F.col("back")) < 1e-12, F.lit(False)).alias("same"))
+
+
+def training_pipeline(spark, sf_dir):
+    """The whole run from features to stored models: rows in, rows of each part, models, rows scored."""
+    base = stage(feat(spark, sf_dir), "features")
     folder = shared_folder(spark, "models")
-    learn.save_models(t.models, folder)
-    return learn.score(learn.load_model(folder, "Decision Tree"), t.test)
+    done, comparison, alerts = training_run.run(base, folder, partitions=spark.sparkContext.defaultParallelism)
+    loaded = [learn.load_model(folder, name) for name in training_run.MODEL_ORDER]
+    sized = comparison.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return alerts.agg(
+        F.lit(done.train.count()).alias("train_rows"), F.lit(done.test.count()).alias("test_rows"), sized.alias("models"),
+        F.lit(len(loaded)).cast("long").alias("stored_models"), F.count(F.lit(1)).alias("scored_rows"),
+        F.sum("actual_fraud").cast("long").alias("scored_fraud"))
 
 
 def live_hourly(spark, sf_dir):
@@ -260,6 +432,11 @@ QUERIES: dict[str, Query] = {
         warehouse.with_row_hash(raw(s, d).drop("id"))),
     "sequence_ids": sequence_ids,
     "clustered_layout": clustered_layout,
+    "appended_ids": appended_ids,
+    "appended_batches": appended_batches,
+    "stamped_table": stamped_table,
+    "described_table": described_table,
+    "explained_report": explained_report,
     # business reports
     "kpi_summary": _over(txns, kpi.kpi_summary),
     "fraud_by_type": _over(txns, kpi.fraud_by_type),
@@ -279,13 +456,20 @@ QUERIES: dict[str, Query] = {
     "amount_percentiles_all": _over(txns, I.amount_percentiles, scope="all"),
     "repeat_fraud": _over(txns, I.repeat_fraud),
     "repeat_fraud_all": _over(txns, I.repeat_fraud, k=None),
+    "repeat_fraud_stored": _over(by_sender, I.repeat_fraud),
+    "sender_ranking_stored": _over(by_sender, I.sender_ranking),
     "above_average_fraud": _over(txns, I.above_average_fraud),
     "above_average_fraud_all": _over(txns, I.above_average_fraud, k=None),
     "fraud_report_critical": _over(txns, I.fraud_report, "Critical"),
     "fraud_report_fraud": _over(txns, I.fraud_report, "ALL", True),
     "fraud_report_high_fraud": _over(txns, I.fraud_report, "High", True),
     "fraud_report_all": _over(txns, I.fraud_report),
+    "report_function_critical": report_function("'Critical', 0"),
+    "report_function_fraud": report_function("'ALL', 1"),
+    "report_function_high_fraud": report_function("p_fraud_only => 1, p_risk_tier => 'High'"),
+    "report_function_all": report_function(""),
     "investigation_view": investigation_view,
+    "queue_view": queue_view,
     "fraud_counts_by_type": _over(txns, I.fraud_counts_by_type),
     "executive_summary": _over(txns, I.executive_summary),
     "amount_ranks": amount_ranks,
@@ -323,6 +507,9 @@ QUERIES: dict[str, Query] = {
     "fraud_rate_by_receiver": _over(feat, P.fraud_rate_by, "dest_type"),
     "tier_fraud_rate": _over(feat, P.tier_fraud_rate),
     "amount_box_stats": lambda s, d: P.box_stats(feat(s, d), F.log1p("amount")),
+    "account_box_stats": lambda s, d: P.box_stats(feat(s, d), F.log1p("amount"), "nameOrig"),
+    "account_amount_density": lambda s, d: P.histogram(feat(s, d), F.col("amount"), 8, by="nameOrig"),
+    "account_score_density": _over(profiled("nameDest", "risk_score"), P.kernel_density, "risk_score", "nameDest", points=10),
     "score_density": _over(profiled("isFraud", "risk_score"), P.kernel_density, "risk_score"),
     "correlation_pairs": _over(profiled(*C.CORRELATED_COLUMNS), P.correlation_pairs),
     "top_label_correlations": _over(feat, P.top_label_correlations),
@@ -351,12 +538,21 @@ QUERIES: dict[str, Query] = {
     "model_comparison": model_comparison,
     "best_models": best_models,
     "scored_transactions": scored_transactions,
+    "metric_agreement": metric_agreement,
+    "training_matrix": training_matrix,
+    "scaler_figures": scaler_figures,
     "forest_importance": forest_importance,
+    "importance_agreement": importance_agreement,
     "logistic_strength": logistic_strength,
+    "logistic_certificate": logistic_certificate,
     "tree_rules": tree_rules,
+    "rule_decisions": rule_decisions,
+    "leaf_rows": leaf_rows,
     "model_shapes": model_shapes,
     "forest_roc": forest_roc,
     "stored_model_scores": stored_model_scores,
+    "stored_model_agreement": stored_model_agreement,
+    "training_pipeline": training_pipeline,
     # stream
     "live_hourly": live_hourly,
 }

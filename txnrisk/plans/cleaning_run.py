@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from txnrisk.functions import constants as C
 from txnrisk.functions.features import add_features
@@ -25,15 +26,28 @@ class Learned:
 
 @dataclass(frozen=True)
 class Prepared:
-    """Filled, de-duplicated rows stored in the shared folder, with what was learned."""
+    """Filled, de-duplicated rows stored in the shared folder, with what was learned and counted on the way.
 
+    ``fills`` are those that this run needs. ``learned`` has a fill for every column and
+    passes over the raw rows for the others when it is first asked for.
+    """
+
+    raw: DataFrame
     distinct: DataFrame
-    learned: Learned
+    fills: Mapping[str, object]
+    cap: float | None
+    missing: Mapping[str, int]
+    rows: Mapping[str, int]
 
     @property
     def valid(self) -> DataFrame:
         return cleaning.drop_invalid_amounts(self.distinct)
 
+    @cached_property
+    def learned(self) -> Learned:
+        others = [c for c in self.raw.columns if c not in self.fills]
+        return Learned({**self.fills, **cleaning.fill_values(cleaning.fill_zero_balances(self.raw), wanted=others)}, self.cap)
+
 
 @dataclass(frozen=True)
 class Cleaned:
@@ -61,12 +75,23 @@ def learn_fills(raw: DataFrame) -> dict[str, object]:
 
 def prepare(raw: DataFrame) -> Prepared:
     """De-duplication shuffles whole rows and several passes follow, so its result is
-    written once to the shared folder. The cap is learned from its valid rows.
+    written once to the shared folder, and counted in that write. The cap is learned from its valid rows.
     """
-    fills = cleaning.fill_values(cleaning.fill_zero_balances(raw), every=True)
-    distinct = stage(distinct_rows(raw, needed(raw, fills)), "distinct-rows")
-    cap = cleaning.cap_value(cleaning.drop_invalid_amounts(distinct))
-    return Prepared(distinct, Learned(fills, cap))
+    rows, missing = cleaning.missing_counts(without_nan(raw))
+    open_columns = [c for c, n in missing.items() if n and c not in C.ZERO_FILL_COLUMNS]
+    fills = cleaning.fill_values(cleaning.fill_zero_balances(raw), wanted=open_columns)
+    counted = Observation("distinct rows")
+    positive = F.col("amount") > 0
+    # Counted by the tasks that write: of a task that runs twice, Spark takes one result.
+    distinct = stage(distinct_rows(raw, fills).observe(
+        counted,
+        F.count(F.lit(1)).alias("distinct"),
+        F.count_if(positive).alias("valid"),
+        F.count_if(positive & (F.col("amount") > C.EXTREME_AMOUNT)).alias("extreme"),
+        F.count_if(positive & F.col("type").isin(list(C.TYPE_CODES))).alias("encoded"),
+    ), "distinct-rows")
+    cap, capped = cleaning.cap_value(cleaning.drop_invalid_amounts(distinct))
+    return Prepared(raw, distinct, fills, cap, missing, {"raw": rows, **counted.get, "capped": capped})
 
 
 def needed(raw: DataFrame, fills: Mapping[str, object]) -> dict[str, object]:
@@ -88,43 +113,23 @@ def clean(raw: DataFrame, learned: Learned | None = None, strict: bool = False)
 
 
 def clean_prepared(prepared: Prepared, strict: bool = False) -> DataFrame:
-    return finish(prepared.valid, prepared.learned.cap, strict).select(*S.CLEANED.names)
+    return finish(prepared.valid, prepared.cap, strict).select(*S.CLEANED.names)
 
 
 def step_audit(raw: DataFrame, prepared: Prepared | None = None) -> DataFrame:
-    """(step, rows_in, rows_out, detail) of a cleaning run.
-
-    Counted by two plain aggregates rather than task-side counters, which count twice
-    when a lost executor's tasks run again.
-    """
+    """(step, rows_in, rows_out, detail) of a cleaning run, from what it counted: no further pass."""
     prepared = prepared or prepare(raw)
-    fills, cap = prepared.learned.fills, prepared.learned.cap
-    unfilled = [c for c in raw.columns if c in C.ZERO_FILL_COLUMNS or c in fills]
-    before = without_nan(raw).agg(
-        F.count(F.lit(1)).alias("raw"),
-        *[F.count_if(F.col(c).isNull()).alias(c) for c in unfilled],
-    ).first()
-    positive = F.col("amount") > 0
-    after = prepared.distinct.agg(
-        F.count(F.lit(1)).alias("distinct"),
-        F.count_if(positive).alias("valid"),
-        F.count_if(positive & (F.col("amount") > F.lit(cap))).alias("capped"),
-        F.count_if(positive & (F.col("amount") > C.EXTREME_AMOUNT)).alias("extreme"),
-        F.count_if(positive & F.col("type").isin(list(C.TYPE_CODES))).alias("encoded"),
-    ).first()
-    rows = before["raw"]
+    n, cap = prepared.rows, prepared.cap
     steps = []
-    for name in (c for c in unfilled if c in C.ZERO_FILL_COLUMNS or before[c]):
-        value = 0.0 if name in C.ZERO_FILL_COLUMNS else fills[name]
-        steps.append((f"fill {name}", rows, rows, f"{before[name]} missing filled with {value}"))
+    for name in (c for c, gone in prepared.missing.items() if c in C.ZERO_FILL_COLUMNS or gone and c in prepared.fills):
+        value = 0.0 if name in C.ZERO_FILL_COLUMNS else prepared.fills[name]
+        steps.append((f"fill {name}", n["raw"], n["raw"], f"{prepared.missing[name]} missing filled with {value}"))
     steps += [
-        ("drop duplicates", rows, after["distinct"], f"{rows - after['distinct']} removed"),
-        ("drop invalid amounts", after["distinct"], after["valid"],
-         f"{after['distinct'] - after['valid']} removed"),
-        ("cap amounts", after["valid"], after["valid"],
-         f"cap {0.0 if cap is None else cap:.2f}, {after['capped']} capped, {after['extreme']} extreme"),
-        ("encode types", after["valid"], after["encoded"],
-         f"{after['valid'] - after['encoded']} unknown"),
+        ("drop duplicates", n["raw"], n["distinct"], f"{n['raw'] - n['distinct']} removed"),
+        ("drop invalid amounts", n["distinct"], n["valid"], f"{n['distinct'] - n['valid']} removed"),
+        ("cap amounts", n["valid"], n["valid"],
+         f"cap {0.0 if cap is None else cap:.2f}, {n['capped']} capped, {n['extreme']} extreme"),
+        ("encode types", n["valid"], n["encoded"], f"{n['valid'] - n['encoded']} unknown"),
     ]
     return raw.sparkSession.createDataFrame(
         steps, "step string, rows_in long, rows_out long, detail string")

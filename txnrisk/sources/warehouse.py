@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window
 
 from txnrisk.functions import constants as C
 from txnrisk.sources import schema as S
 
+CREATED = T.StructField("created_at", T.TimestampType())
+# Rows of a bucket: a bucket is read by one task.
+BUCKET_ROWS = 4_000_000
+
 
 def to_warehouse(df: DataFrame, stamp: bool = False) -> DataFrame:
     """Rename, cast and order feature rows as the 23 warehouse columns.
@@ -84,9 +88,10 @@ def write_warehouse(df: DataFrame, path: str, files: int | None = None) -> None:
     writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
 
 
-def read_warehouse(spark: SparkSession, path: str) -> DataFrame:
-    names = [f.name for f in S.WAREHOUSE]
-    return spark.read.schema(S.WAREHOUSE).parquet(path).select(*names)
+def read_warehouse(spark: SparkSession, path: str, stamp: bool = False) -> DataFrame:
+    """The stored table; ``stamp`` reads ``created_at`` too, missing where it was not written."""
+    kinds = T.StructType([*S.WAREHOUSE.fields, CREATED]) if stamp else S.WAREHOUSE
+    return spark.read.schema(kinds).parquet(path).select(*kinds.names)
 
 
 def save_table(df: DataFrame, name: str, path: str) -> DataFrame:
@@ -95,6 +100,20 @@ def save_table(df: DataFrame, name: str, path: str) -> DataFrame:
     return df.sparkSession.table(name).select(*df.columns)
 
 
+def save_by_sender(df: DataFrame, name: str, path: str, buckets: int | None = None) -> DataFrame:
+    """The table in the session's catalog, bucketed and sorted by sender.
+
+    Reports that follow a sender's transactions (``repeat_fraud``, sums by sender) read a bucket
+    per task and shuffle nothing by sender; an account's history as a sender reads one bucket.
+    """
+    spark = df.sparkSession
+    if buckets is None:
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // BUCKET_ROWS))
+    (df.repartition(buckets, "name_orig").write.mode("overwrite").bucketBy(buckets, "name_orig")
+     .sortBy("name_orig", "step", "id").option("path", path).saveAsTable(name))
+    return spark.table(name).select(*df.columns)
+
+
 def register_view(df: DataFrame, name: str) -> DataFrame:
     df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)
