@@ -23,11 +23,18 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts masked; n_chars follows."""
-    found = secrets.scan(docs)
-    text = F.when(F.size("spans") > 0, secrets.masked(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    counted = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumn("text", text).withColumn("n_chars", counted).select(*docs.columns)
+    """All documents, secrets in their texts masked; n_chars follows.
+
+    Rows are carried whole beside their text, so that no column of theirs is mistaken for one of the scan. A null text
+    stays null, an empty one empty; repeated rows are masked alike; no rows give none.
+    """
+    found = secrets.scan(docs.select(F.struct(*docs.columns).alias("row"), "text"), secrets.train(docs.select("doc_id", "text")))
+    changed = F.size("spans") > 0
+    text = F.when(changed, secrets.masked(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    kept = found.select("row", changed.alias("changed"), text.alias("text"))
+    counted = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": counted}
+    return kept.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +43,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the tokenized documents with their places in packed sequences."""
-    parts = packing.pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.place(stage(parts, "pieces"), ["doc_id", "piece", "start", "ids_crc32"])
+    """Pieces of the tokenized documents with their ids (binary, little-endian unsigned 32-bit) and their
+    places in packed sequences.
+
+    A null or empty text is a piece of the end id alone; repeated rows are packed once each; no rows
+    give none. Places are worked out without the ids, which join them by the piece's number. Equal
+    pieces are interchangeable, so that number is drawn once, when the pieces are stored.
+    """
+    parts = packing.pieces(docs).withColumns({"ids_crc32": F.crc32("ids"), "number": F.monotonically_increasing_id()})
+    stored = stage(parts, "pieces")
+    placed = packing.place(stored.drop("ids"), ["number"])
+    return placed.join(stored.select("number", "ids"), "number").drop("number")
 
 
 STAGES = [

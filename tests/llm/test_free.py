@@ -1,6 +1,7 @@
 """Extraction, search, language, near-duplicates and the pipeline against brute force and planted cases."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -64,7 +65,8 @@ def nearest(rows, every, k=10):
 
 
 def test_vectors_whole_table(spark, sf):
-    want = nearest([(r["vec_id"], r["embedding"]) for r in table(spark, sf, "embeddings").collect()], 100)
+    rows = [(r["vec_id"], r["embedding"]) for r in table(spark, sf, "embeddings").collect()]
+    want, every = nearest(rows, 100), nearest(rows, 100, k=len(rows))
     got = {}
     for r in queries.op4_nearest_vectors(spark, sf).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
@@ -72,7 +74,9 @@ def test_vectors_whole_table(spark, sf):
     same = sum(len({j for _, j in got[i]} & {j for _, j in want[i]}) for i in want)
     assert same >= 0.99 * sum(map(len, want.values()))
     for i in want:
-        assert [s for s, _ in got[i]] == pytest.approx([s for s, _ in want[i]], abs=1e-12) or same
+        exact = {j: s for s, j in every[i]}
+        assert [s for s, _ in got[i]] == pytest.approx([exact[j] for _, j in got[i]], abs=1e-12)
+        assert got[i] == sorted(got[i])
 
 
 def test_vectors_awkward_rows(spark):
@@ -278,10 +282,24 @@ def test_stages_with_awkward_rows(spark, sf):
             step(spark, rows, sf).collect()
 
 
+def test_masking_keeps_other_columns(spark):
+    """Columns with the names of the scan's own come through as they were."""
+    rows = docs(spark, [(1, "password = abcdefgh12345678"), (2, None), (3, "nothing to hide"), (3, "nothing to hide")])
+    for name in ("spans", "_assign", "_fixed", "_random", "row", "changed"):
+        rows = rows.withColumn(name, rows["source"])
+    out = corpus_pipeline.mask_secrets(spark, rows, "")
+    assert out.columns == rows.columns and out.dtypes == rows.dtypes
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert "abcdefgh" not in got[1]["text"] and got[1]["n_chars"] == len(got[1]["text"]) and got[2]["text"] is None
+    assert all(r[name] == "s" for r in got.values() for name in ("spans", "_assign", "_fixed", "_random", "row", "changed"))
+    assert out.count() == 4 and corpus_pipeline.mask_secrets(spark, rows.limit(0), "").count() == 0
+
+
 def test_pipeline_runs(spark, sf):
     out = corpus_pipeline.run(spark, sf).collect()
     by_sequence = {}
     for r in out:
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
         by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for places in by_sequence.values():
         end = 0

@@ -165,6 +165,8 @@ def test_boundaries(lengths):
     assert packed.all().tolist() == ends.tolist()
     for i in {0, len(ends) // 3, len(ends) // 2, len(ends) - 1}:
         assert packed.select(i) == ends[i]
+        for stop in {i, i + 1, min(i + 300, len(ends)), len(ends)}:
+            assert packed.between(i, stop).tolist() == ends[i:stop].tolist()
     bits = 8 * (len(low) + len(high))
     assert bits <= len(ends) * (3 + max(0, np.log2(max(ends[-1] / len(ends), 1)))) + 16
 
@@ -173,3 +175,19 @@ def test_not_a_token_file(tmp_path):
     (tmp_path / "x.bin").write_bytes(b"0" * 100)
     with pytest.raises(ValueError):
         token_files.TokenFile(f"file://{tmp_path}/x.bin")
+
+
+def test_long_and_many_words_take_bounded_memory():
+    made = Encoder(vocabulary(), remembered=3000)
+    texts = [f"Word{i}, the {i} it's of{odd}all THINGS''S. {'x' * (i % 90)}é" for i in range(1500) for odd in ("\u00a0", "\x1c", " ", "'")] + ["y" * 30_000 + " z", " \n\t", None, ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in made.encode(texts)] == [plain(t) for t in texts]
+    for memory in (made.words, made.pieces):
+        assert memory.older and all(len(w) <= 64 for w in [*memory.recent, *memory.older])
+        assert max(sum(map(len, memory.recent)), sum(map(len, memory.older))) <= 3000 + 64
+
+
+def test_most_files_are_bounded(spark, sf, monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_FILES", 4)
+    manifest = token_files.write_token_files(table(spark, sf, "documents").select("doc_id", "text"), file_bytes=1000)
+    assert manifest.count() <= 4
+    assert token_files.read_token_files(manifest).count() == table(spark, sf, "documents").count()

@@ -7,7 +7,6 @@ import pytest
 
 from common import docs
 from txnrisk.llm import extraction, language, near_duplicates as near, secrets
-from txnrisk.operators import learn
 
 
 def families(seeds):
@@ -106,13 +105,6 @@ def test_sketches_of_short_texts_rule_nothing_out(spark):
     assert near._likely(frame, unique).count() == 20  # unlike long texts are ruled out
 
 
-def test_split_of_more_than_64_classes(spark):
-    df = spark.range(1400).selectExpr("id", "cast(id % 70 as int) as isFraud")
-    train, test = learn.stratified_split(df)
-    assert {r["isFraud"]: r["count"] for r in test.groupBy("isFraud").count().collect()} == {c: 4 for c in range(70)}
-    assert train.count() == 1400 - 280 and train.join(test, "id").count() == 0
-
-
 def test_a_secret_longer_than_its_fixed_part_is_masked_whole(spark, sf):
     rng = random.Random(4)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

@@ -29,8 +29,9 @@ from txnrisk.session import shared_folder, stage
 MAGIC = b"TXNTOK01"
 _FOOTER = struct.Struct("<QQBBQQQ8s")
 SAMPLE = 256
-#: Bytes of text that go to one file.
+#: Bytes of text that go to one file, and most files: beyond that, files hold more text.
 FILE_BYTES = 16 << 20
+MOST_FILES = 20_000
 _POPULATION = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -88,17 +89,29 @@ class Boundaries:
     def start(self, i: int) -> int:
         return self.select(i - 1) if i else 0
 
-    def all(self) -> np.ndarray:
-        """Every boundary in order."""
-        if not self.n:
+    def between(self, first: int, stop: int) -> np.ndarray:
+        """Where the documents from ``first`` to before ``stop`` end: select for neighbours, from the
+        sample before the first to the one after the last. No other part is decoded."""
+        if first >= stop:
             return np.empty(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
-        ends = (ones - np.arange(self.n)) << self.width
+        sample, after = first // SAMPLE, (stop - 1) // SAMPLE + 1
+        begin = int(self.samples[sample])
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.high)
+        byte = begin >> 3
+        ones = np.flatnonzero(np.unpackbits(self.high[byte:(end + 7) >> 3], bitorder="little")) + 8 * byte
+        skip = int(np.searchsorted(ones, begin)) + first - sample * SAMPLE
+        ends = (ones[skip:skip + stop - first] - np.arange(first, stop)) << self.width
         if self.width:
-            bits = np.unpackbits(self.low, bitorder="little")[:self.n * self.width].reshape(self.n, self.width)
-            ends = ends + bits.astype(np.int64) @ (1 << np.arange(self.width, dtype=np.int64))
+            bit = first * self.width
+            bits = np.unpackbits(self.low[bit >> 3:(stop * self.width + 7) >> 3], bitorder="little")[bit & 7:]
+            rows = bits[:(stop - first) * self.width].reshape(stop - first, self.width)
+            ends = ends + rows.astype(np.int64) @ (1 << np.arange(self.width, dtype=np.int64))
         return ends
 
+    def all(self) -> np.ndarray:
+        """Every boundary in order."""
+        return self.between(0, self.n)
+
 
 def _opened(uri: str):
     from pyarrow import fs
@@ -133,18 +146,20 @@ class TokenFile:
         return np.frombuffer(raw, f"<u{self.wide}").astype(ID)
 
     def documents(self, at_once: int = 4 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, start in this file, ids) of every document."""
-        ends = self.ends.all().tolist()
-        i, start = 0, 0
-        while i < len(ends):
-            k = i + 1
-            while k < len(ends) and ends[k] - start <= at_once:
-                k += 1
-            block, base = self._read(start, ends[k - 1]), start
-            for j in range(i, k):
-                yield self.names[j], start, block[start - base:ends[j] - base]
-                start = ends[j]
-            i = k
+        """(doc_id, start in this file, ids) of every document. Boundaries are selected for SAMPLE documents at a time."""
+        start = 0
+        for first in range(0, self.ends.n, SAMPLE):
+            ends = self.ends.between(first, min(first + SAMPLE, self.ends.n)).tolist()
+            i = 0
+            while i < len(ends):
+                k = i + 1
+                while k < len(ends) and ends[k] - start <= at_once:
+                    k += 1
+                block, base = self._read(start, ends[k - 1]), start
+                for j in range(i, k):
+                    yield self.names[first + j], start, block[start - base:ends[j] - base]
+                    start = ends[j]
+                i = k
 
     def close(self) -> None:
         self.source.close()
@@ -194,7 +209,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
     wide = 2 if max(Tokenizer.from_file(path).get_vocab_size() - 1, end_id) < 1 << 16 else 4
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = plain.agg(F.sum(F.octet_length("text") + 16)).head()[0] or 0
-    files = max(1, -(-size // file_bytes))
+    files = max(1, min(-(-size // file_bytes), MOST_FILES))
     ordered = (plain.repartitionByRange(files, "doc_id", F.xxhash64("text"))
                .sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
                .select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
@@ -210,7 +225,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, end_id: int =
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (binary) of every document.
 
-    The driver sees the manifest, one short row per file, to number the files' ids.
+    The driver sees the manifest, one short row for each of at most ``MOST_FILES`` files, to number the files' ids.
     """
     spark = manifest.sparkSession
     before, listed = 0, []

@@ -8,20 +8,26 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Vocabulary used where the caller names none; a path may be given instead.
 VOCABULARY = "word_bpe_49k.json"
-#: Words remembered by a worker. When so many are held, those not used since the last time go.
-REMEMBERED = 300_000
+#: Characters of pieces that a worker remembers, and as many of pieces used before those. With its ids, a
+#: piece takes some 25 bytes a character, so a worker holds about 150 MB.
+REMEMBERED = 3_000_000
+#: Longer words are encoded each time they are met.
+LONGEST = 64
 #: Characters of text handled at a time.
-AT_ONCE = 1_000_000
+AT_ONCE = 4_000_000
 ID = np.dtype("<u4")
 
-#: str.split() also splits at these four, which the tokenizer takes as ordinary characters.
-_CONTROLS = re.compile("[\x1c-\x1f]")
-_WORDS = re.compile(r"[^ \t\n\r\f\v]+")
-#: Letters whose lower case and normal form do not depend on what stands around them.
-_LATIN = re.compile("[\x21-įı-ɏ]+")
+#: Fixed value: the pattern by which the vocabulary's own tokenizer cuts a text into pieces.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: What of it is not a run of letters, for Arrow's expressions.
+_BETWEEN = r"'(?:s|t|re|ve|m|ll|d)|\pN|[^\t\n\v\f\r \pL\pN]+"
+#: Outside of these characters, lower case, normal form or white space may depend on more than the character.
+_ODD = re.compile("[^\t\n\v\f\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]")
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -33,10 +39,11 @@ def vocabulary(path: str | None = None) -> str:
 class Encoder:
     """Gives the same ids as the tokenizer's encode(text, add_special_tokens=False).
 
-    A tokenizer that cuts at white space and drops it gives every word its ids
-    independently of the words around it, so words are looked up in a bounded memory and
-    only new ones are encoded. Of a new Latin word, only pieces (as the tokenizer's own
-    pattern cuts it) that are new are encoded. Other tokenizers encode whole texts.
+    A tokenizer that cuts texts into pieces by a pattern gives every piece its ids independently of the pieces
+    around it. Texts are put in lower case and cut, and their pieces numbered, by Arrow, so that Python
+    looks at each distinct piece of a few megabytes once: in a bounded memory, or by encoding it. Texts
+    with characters beyond Latin letters are cut at white space of ASCII only, and their words encoded as they
+    are. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -44,22 +51,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        # each a recent memory and the one before it; what is found in the older one moves over
-        self.words: dict[str, bytes] = {}
-        self.older_words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.older_pieces: dict[str, bytes] = {}
+        self.words, self.pieces = _Memory(remembered // 3), _Memory(remembered)
         parts = json.loads(self.tokenizer.to_str())
         model, cut, norm = parts["model"], parts.get("pre_tokenizer") or {}, parts.get("normalizer") or {}
         steps = [x["type"] for x in norm.get("normalizers", [])]
         cuts = cut.get("pretokenizers", [{}])
         suffix = model.get("end_of_word_suffix")
-        self.by_word = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and (
-            cuts[0].get("type") == "Split" and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert"))
-        if self.by_word:
-            import regex
-
-            self.cut = regex.compile(cuts[0]["pattern"]["Regex"]).findall
+        self.by_piece = bool(suffix) and steps == ["NFC", "Replace", "Lowercase"] and (
+            cuts[0].get("type") == "Split" and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert")
+            and cuts[0]["pattern"].get("Regex") == PATTERN)
+        if self.by_piece:
             self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
             for token, i in self.tokenizer.get_vocab().items():
                 self.last[i] = token.endswith(suffix)
@@ -67,69 +68,101 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; none for a null text."""
-        if not self.by_word:
+        if not self.by_piece:
             for text in texts:
                 ids = self.tokenizer.encode(text or "", add_special_tokens=False).ids
                 yield np.asarray(ids, ID).tobytes()
             return
-        held: list[list[str]] = []
+        held: list[str] = []
         chars = 0
         for text in texts:
-            text = text or ""
-            held.append(_WORDS.findall(text) if _CONTROLS.search(text) else text.split())
-            chars += len(text)
+            held.append(text or "")
+            chars += len(held[-1])
             if chars >= AT_ONCE:
                 yield from self._joined(held)
                 held, chars = [], 0
         yield from self._joined(held)
 
-    def _joined(self, held: list[list[str]]) -> list[bytes]:
-        if len(self.words) > self.remembered:
-            self.older_words, self.words = self.words, {}
-        if len(self.pieces) > self.remembered:
-            self.older_pieces, self.pieces = self.pieces, {}
-        known = self.words
-        new = set().union(*held).difference(known)
-        self._learn(_moved(new, self.older_words, known))
-        found = known.__getitem__
-        return [b"".join(map(found, words)) for words in held]
-
-    def _learn(self, new: set[str]) -> None:
-        odd, cut = [], {}
-        for word in new:
-            if _LATIN.fullmatch(word) and not any(x in word for x in self.marked):
-                cut[word] = self.cut(word.lower())
-            else:
-                odd.append(word)
-        pieces = list(_moved({p for ps in cut.values() for p in ps}.difference(self.pieces), self.older_pieces, self.pieces))
-        for i in range(0, len(pieces), 512):
-            self._learn_pieces(pieces[i:i + 512])
-        for word, ps in cut.items():
-            self.words[word] = b"".join([self.pieces[p] for p in ps])
-        for word, found in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
-            self.words[word] = np.asarray(found.ids, ID).tobytes()
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        ids = np.asarray(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, ID)
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        odd = [bool(_ODD.search(text)) or any(x in text for x in self.marked) for text in texts]
+        plain = iter(self._looked_up([t for t, o in zip(texts, odd) if not o], True))
+        other = iter(self._looked_up([t for t, o in zip(texts, odd) if o], False))
+        return [next(other if o else plain) for o in odd]
+
+    def _looked_up(self, texts: list[str], latin: bool) -> list[bytes]:
+        if not texts:
+            return []
+        held = pa.array(texts, pa.large_string())
+        if latin:
+            held = pc.replace_substring_regex(pc.utf8_lower(held), _BETWEEN, r" \0 ")
+        cut = pc.ascii_split_whitespace(held)
+        ends = cut.offsets.to_numpy()
+        numbered = cut.values.dictionary_encode()
+        each = self._ids(numbered.dictionary.to_pylist(), latin)
+        at = numbered.indices.to_numpy()
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(each), ID)
+        counts = sizes[at]
+        after = np.concatenate([[0], np.cumsum(counts)])
+        # the place in ``flat`` of every id: its piece's start, and one more for each id within the piece
+        place = np.arange(after[-1]) + np.repeat(starts[at] - after[:-1], counts)
+        ids, cuts = flat[place], after[ends].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _ids(self, keys: list[str], latin: bool) -> list[bytes]:
+        """The ids of distinct pieces (or words of odd texts), from memory or newly worked out."""
+        memory = self.pieces if latin else self.words
+        found = memory.find(keys)
+        found[""] = b""
+        new = [k for k in keys if k not in found]
+        for i in range(0, len(new), 4096):
+            some = new[i:i + 4096]
+            for key, ids in zip(some, self._piece_ids(some) if latin else self._word_ids(some)):
+                found[key] = ids
+                if len(key) <= LONGEST:
+                    memory.keep(key, ids)
+        return [found[k] for k in keys]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, ID).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        one, = self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)
+        ids = np.asarray(one.ids, ID)
         ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
         if len(ends) != len(pieces):  # a piece without an end mark: each by itself
-            for piece in pieces:
-                found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-                self.pieces[piece] = np.asarray(found, ID).tobytes()
-            return
-        raw, start = ids.tobytes(), 0
-        for piece, end in zip(pieces, ends):
-            self.pieces[piece] = raw[4 * start:4 * end]
-            start = end
-
-
-def _moved(wanted: set[str], older: dict[str, bytes], newer: dict[str, bytes]) -> set[str]:
-    """Move what ``older`` has of ``wanted`` to ``newer``; the rest."""
-    if not older:
-        return wanted
-    for word in wanted & older.keys():
-        newer[word] = older[word]
-    return wanted.difference(older)
+            return self._word_ids(pieces)
+        raw = ids.tobytes()
+        return [raw[4 * start:4 * end] for start, end in zip([0, *ends], ends)]
+
+
+class _Memory:
+    """Ids of what was looked for lately: a recent part and the one before it, each of bounded size."""
+
+    def __init__(self, chars: int):
+        self.chars, self.held = chars, 0
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def find(self, keys: Iterable[str]) -> dict[str, bytes]:
+        """What is known of ``keys`` (distinct). What the older part has moves to the recent one."""
+        out, recent, older = {}, self.recent, self.older
+        for key in keys:
+            ids = recent.get(key)
+            if ids is None:
+                ids = older.get(key)
+                if ids is None:
+                    continue
+                self.keep(key, ids)
+            out[key] = ids
+        return out
+
+    def keep(self, key: str, ids: bytes) -> None:
+        if self.held > self.chars:
+            self.older, self.recent, self.held = self.recent, {}, 0
+        self.recent[key] = ids
+        self.held += len(key) + 1
 
 
 @lru_cache(maxsize=2)
