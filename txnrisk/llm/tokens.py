@@ -14,12 +14,12 @@ import pyarrow.compute as pc
 #: Vocabulary used where the caller names none; a path may be given instead.
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of pieces that a worker remembers, and as many of pieces used before those. With its ids, a
-#: piece takes some 25 bytes a character, so a worker holds about 150 MB.
-REMEMBERED = 3_000_000
+#: piece takes some 25 bytes a character, so a worker holds about 100 MB.
+REMEMBERED = 2_000_000
 #: Longer words are encoded each time they are met.
 LONGEST = 64
 #: Characters of text handled at a time.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 ID = np.dtype("<u4")
 
 #: Fixed value: the pattern by which the vocabulary's own tokenizer cuts a text into pieces.
@@ -41,7 +41,7 @@ class Encoder:
 
     A tokenizer that cuts texts into pieces by a pattern gives every piece its ids independently of the pieces
     around it. Texts are put in lower case and cut, and their pieces numbered, by Arrow, so that Python
-    looks at each distinct piece of a few megabytes once: in a bounded memory, or by encoding it. Texts
+    looks at each distinct piece of a megabyte once: in a bounded memory, or by encoding it. Texts
     with characters beyond Latin letters are cut at white space of ASCII only, and their words encoded as they
     are. Other tokenizers encode whole texts.
     """
