@@ -204,6 +204,17 @@ def test_near_duplicates_planted(spark, monkeypatch):
     assert again == want
 
 
+def test_near_duplicates_without_spaces(spark):
+    """Copies of a text that does not separate words, with a character changed or a passage moved along, are one class."""
+    rng = random.Random(2)
+    letters = [chr(0x4e00 + i) for i in range(3000)]
+    text = "".join(rng.choice(letters) for _ in range(2000))
+    other = "".join(rng.choice(letters) for _ in range(2000))
+    rows = [(1, text), (2, text[:900] + "x" + text[901:]), (3, "".join(rng.choice(letters) for _ in range(7)) + text), (4, other), (5, other[:-30])]
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
 def test_alignment():
     a = np.arange(100, dtype=np.uint64)
     assert near.aligned(a, a) == 100 and near.aligned(a, a[::-1]) <= 20

@@ -10,7 +10,8 @@ from txnrisk.operators.ordering import MAX_RANGES, range_marks, with_range
 #: Words of a k-gram, and k-grams of a window (a power of two). Two texts that share
 #: GRAM + WINDOW - 1 words in a row share a fingerprint entry there.
 GRAM, WINDOW = 5, 8
-#: Longer runs without white space are cut into words of this length.
+#: Of longer runs without white space (text that does not separate words, data) every character is a word, so that what
+#: two texts share is found wherever it stands in them.
 LONGEST = 32
 #: Documents that are put in order in one task.
 RANGE_ROWS = 1024
@@ -28,7 +29,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     words, grams, size = f"{out}_w", f"{out}_g", f"{out}_n"
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn(words, F.regexp_extract_all(lower, F.lit(rf"\S{{1,{LONGEST}}}"), F.lit(0)))
+    df = df.withColumn(words, F.regexp_extract_all(lower, F.lit(rf"(?<!\S)\S{{1,{LONGEST}}}(?!\S)|\S"), F.lit(0)))
 
     def entry(i: Column) -> Column:
         gram = F.xxhash64(*[F.get(words, i + j) for j in range(GRAM)])  # places past the end are left out

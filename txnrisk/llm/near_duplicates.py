@@ -15,6 +15,8 @@ from txnrisk.session import stage
 
 #: Words of a k-mer, and share of aligned k-mers of two near-duplicates.
 WORDS, SIMILAR = 5, 0.8
+#: Of longer runs without white space (text that does not separate words) every character counts as a word.
+LONGEST = 128
 #: A sketch has so many entries, each of two least k-mers; a bucket's key is ROWS entries in a row.
 ENTRIES, ROWS, BUCKETS = 96, 2, 24
 #: Equal entries below which no pair as similar as SIMILAR is expected: the mean of a pair at
@@ -38,6 +40,8 @@ def kmers(text: str) -> np.ndarray:
     words = text.split(" ") if text else []
     if not words:
         return np.empty(0, np.uint64)
+    if max(map(len, words)) > LONGEST:
+        words = [w for run in words for w in (run if len(run) > LONGEST else (run,))]
     each = pd.util.hash_array(np.array(words, object), categorize=False)
     n = max(1, len(each) - WORDS + 1)
     out = np.zeros(n, np.uint64)
