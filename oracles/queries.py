@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from oracles.base import (
     CLEANED, FEAT, FRAUDS, LOSS, LOSS_RAW, RATE, RAW, SCORE, SCORED, SOILED, TYPE_CODE, VALID,
     WAREHOUSE, div, mean, pct, r,
@@ -323,6 +325,16 @@ def _train(body: str) -> str:
 {body}""")
 
 
+def _draws(text: str) -> str:
+    """The Poisson count, mean 1, at a hash of ``text``."""
+    share = f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / CAST({1 << 52} AS DOUBLE)"
+    steps, reached = [], 0.0
+    for k in range(14):
+        reached += math.exp(-1.0) / math.factorial(k)
+        steps.append(f"CAST({share} >= {reached!r}::DOUBLE AS INTEGER)")
+    return " + ".join(steps)
+
+
 def _scaler() -> str:
     return _train("\nUNION ALL ".join(
         f"""SELECT '{f}' AS feature, {r(f'avg("{f}")', 4)} AS mean, {r(f'stddev_samp("{f}")', 4)} AS deviation FROM train""" for f in FEATURES))
@@ -361,7 +373,7 @@ FROM txn WHERE is_fraud = 1 GROUP BY type"""),
 SELECT batch, {N} AS rows, min(id) AS first_id, max(id) AS last_id, {N} AS stamped, {N} AS ids FROM numbered GROUP BY batch""",
     "stamped_table": _txn("SELECT *, true AS stamped FROM txn"),
     "described_table": f"SELECT * FROM (VALUES {', '.join(map(str, DESCRIBED))}) AS v(col_name, data_type)",
-    "explained_report": f"""SELECT * FROM (VALUES {_names(['AdaptiveSparkPlan', 'HashAggregate', 'Exchange', 'Filter', 'Project', 'Scan'])})
+    "explained_report": f"""SELECT * FROM (VALUES {_names(['AdaptiveSparkPlan', 'HashAggregate', 'Exchange', 'Filter', 'Scan'])})
 AS v(operator)""",
 
     "kpi_summary": _txn(f"""SELECT {N} AS total_transactions, {FRAUDS} AS total_fraud_count,
@@ -601,6 +613,8 @@ FROM (VALUES {_names(['Logistic Regression', 'Decision Tree', 'Random Forest'])}
     "logistic_certificate": f"SELECT feature, true AS optimal FROM (VALUES {_names([*FEATURES, 'intercept'])}) AS v(feature)",
     "rule_decisions": _feat(f"{PARTS} SELECT id, 1 AS n_rules, true AS agrees FROM parts WHERE part = 'test'"),
     "leaf_rows": "SELECT true AS agrees, CAST(0 AS BIGINT) AS lost",
+    "bootstrap_samples": _train(f"""SELECT CAST(tree AS INTEGER) AS tree, label, {_count('k > 0')} AS rows, CAST(sum(k) {BIG} AS draws
+FROM (SELECT tree, "isFraud" AS label, {_draws("id || ':' || tree || ':42'")} AS k FROM train, (SELECT unnest(range(10)) AS tree)) GROUP BY tree, label"""),
     "stored_model_agreement": _feat(f"{PARTS} SELECT id, true AS same FROM parts WHERE part = 'test'"),
     "training_pipeline": _feat(f"""{PARTS} SELECT {_count("part = 'train'")} AS train_rows, {_count("part = 'test'")} AS test_rows,
        CAST(3 AS BIGINT) AS models, CAST(3 AS BIGINT) AS stored_models, {_count("part = 'test'")} AS scored_rows,

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from txnrisk.operators import evaluate, learn, model_tables
+from txnrisk.operators import balanced, evaluate, learn, model_tables
 from txnrisk.plans import training_run
 from txnrisk.plans.catalog import feat
 
@@ -196,6 +196,21 @@ def test_a_tree_of_one_leaf(spark, tmp_path):
     assert model_tables.shapes(table).first()[:] == (1, 0, 1)
 
 
+def test_balanced_samples_and_forest(spark, trained):
+    """Draws follow the Poisson distribution, weigh the classes alike in every tree, and the forest ranks as well as the other."""
+    drawn = spark.range(20_000).select(balanced.draws("id", 3).alias("k")).groupBy("k").count().collect()
+    share = {r["k"]: r["count"] / 20_000 for r in drawn}
+    assert [share[k] for k in range(4)] == pytest.approx([0.3679, 0.3679, 0.1839, 0.0613], abs=0.012)
+    forest = balanced.fit_balanced_forest(trained.train, trees=20)
+    for tree in forest.trees[:3]:  # the stored weights of the root: half for each class
+        root = tree.trees[0]._call_java("rootNode").impurityStats().stats()
+        assert root[0] == pytest.approx(root[1])
+    metrics = lambda df: evaluate.model_metrics(df.select(F.col("isFraud").alias("label"), F.col("p").alias("score"))).first()
+    got = metrics(forest.probabilities(trained.test, "p"))
+    other = metrics(learn.probabilities(trained.models["Random Forest"], trained.test, "p"))
+    assert got["roc_auc"] > 0.85 and got["avg_precision"] > 0.8 * other["avg_precision"]
+
+
 def test_gradient_certifies_the_optimum(spark, sf, tmp_path):
     frame = learn.training_frame(feat(spark, sf)).persist()
     model = learn.fit_logistic(frame)

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from txnrisk.functions import constants as C, features
 from txnrisk.functions.scalars import rnd
 from txnrisk.operators import (
-    cleaning, evaluate, investigate as I, kpi, learn, model_tables, ordering, profile as P, quality,
+    balanced, cleaning, evaluate, investigate as I, kpi, learn, model_tables, ordering, profile as P, quality,
 )
 from txnrisk.plans import cleaning_run, training_run
 from txnrisk.session import shared_folder, stage
@@ -358,6 +358,19 @@ def leaf_rows(spark, sf_dir):
     return said.agg(F.bool_and(F.coalesce(same, F.lit(False))).alias("agrees"), F.count_if(F.col("leaf").isNull()).alias("lost"))
 
 
+def bootstrap_samples(spark, sf_dir):
+    """Rows and draws of the first ten trees' samples, by class."""
+    return balanced.sample_sizes(trained(spark, sf_dir).train, 10, learn.LABEL)
+
+
+def balanced_forest(spark, sf_dir):
+    """Figures on the test part of ten trees that balance their own samples."""
+    t = trained(spark, sf_dir)
+    scored = balanced.fit_balanced_forest(t.train, trees=10).probabilities(t.test)
+    pairs = scored.select(F.col(learn.LABEL).alias("label"), F.col("probability_of_fraud").alias("score"))
+    return evaluate.model_metrics(stage(pairs, "scores"))
+
+
 def model_shapes(spark, sf_dir):
     parts = [model_tables.shapes(nodes_of(spark, sf_dir, name)).select(F.lit(name).alias("model"), "*")
              for name in ("Decision Tree", "Random Forest")]
@@ -369,8 +382,8 @@ def metric_agreement(spark, sf_dir):
     t = trained(spark, sf_dir)
     rows = []
     for r in training_run.compare_models(t).collect():  # one row per model
-        scored = t.models[r["Model"]].transform(t.test).withColumn("label", F.col(learn.LABEL).cast("double")).select("label", "prediction", "rawPrediction")
-        area = BinaryClassificationEvaluator(numBins=0).evaluate(scored)
+        scored = t.models[r["Model"]].transform(t.test).withColumn("label", F.col(learn.LABEL).cast("double")).select("label", "prediction", "probability")
+        area = BinaryClassificationEvaluator(rawPredictionCol="probability", numBins=0).evaluate(scored)
         recall, precision = (MulticlassClassificationEvaluator(metricName=m, metricLabel=1.0).evaluate(scored)
                              for m in ("recallByLabel", "precisionByLabel"))
         rows.append((r["Model"], abs(area - r["ROC-AUC"]) < 1e-4, abs(recall - r["Recall"]) < 1e-4, abs(precision - r["Precision"]) < 1e-4))
@@ -402,7 +415,7 @@ def training_pipeline(spark, sf_dir):
     loaded = [learn.load_model(folder, name) for name in training_run.MODEL_ORDER]
     sized = comparison.agg(F.count(F.lit(1)).alias("n")).scalar()
     return alerts.agg(
-        F.lit(done.train.count()).alias("train_rows"), F.lit(done.test.count()).alias("test_rows"), sized.alias("models"),
+        F.lit(done.train.count()).cast("long").alias("train_rows"), F.lit(done.test.count()).cast("long").alias("test_rows"), sized.alias("models"),
         F.lit(len(loaded)).cast("long").alias("stored_models"), F.count(F.lit(1)).alias("scored_rows"),
         F.sum("actual_fraud").cast("long").alias("scored_fraud"))
 
@@ -548,6 +561,8 @@ QUERIES: dict[str, Query] = {
     "tree_rules": tree_rules,
     "rule_decisions": rule_decisions,
     "leaf_rows": leaf_rows,
+    "bootstrap_samples": bootstrap_samples,
+    "balanced_forest": balanced_forest,
     "model_shapes": model_shapes,
     "forest_roc": forest_roc,
     "stored_model_scores": stored_model_scores,

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txnrisk.functions import constants as C
 from txnrisk.functions.features import add_features
@@ -37,7 +37,20 @@ class Prepared:
     fills: Mapping[str, object]
     cap: float | None
     missing: Mapping[str, int]
-    rows: Mapping[str, int]
+    raw_rows: int
+    capped: int
+
+    @cached_property
+    def rows(self) -> Mapping[str, int]:
+        """Rows after each step: one pass over two stored columns, the rest is known."""
+        positive = F.col("amount") > 0
+        counted = self.distinct.agg(
+            F.count(F.lit(1)).alias("distinct"),
+            F.count_if(positive).alias("valid"),
+            F.count_if(positive & (F.col("amount") > C.EXTREME_AMOUNT)).alias("extreme"),
+            F.count_if(positive & F.col("type").isin(list(C.TYPE_CODES))).alias("encoded"),
+        ).first()
+        return {"raw": self.raw_rows, "capped": self.capped, **counted.asDict()}
 
     @property
     def valid(self) -> DataFrame:
@@ -75,23 +88,14 @@ def learn_fills(raw: DataFrame) -> dict[str, object]:
 
 def prepare(raw: DataFrame) -> Prepared:
     """De-duplication shuffles whole rows and several passes follow, so its result is
-    written once to the shared folder, and counted in that write. The cap is learned from its valid rows.
+    written once to the shared folder. The cap is learned from its valid rows.
     """
     rows, missing = cleaning.missing_counts(without_nan(raw))
     open_columns = [c for c, n in missing.items() if n and c not in C.ZERO_FILL_COLUMNS]
     fills = cleaning.fill_values(cleaning.fill_zero_balances(raw), wanted=open_columns)
-    counted = Observation("distinct rows")
-    positive = F.col("amount") > 0
-    # Counted by the tasks that write: of a task that runs twice, Spark takes one result.
-    distinct = stage(distinct_rows(raw, fills).observe(
-        counted,
-        F.count(F.lit(1)).alias("distinct"),
-        F.count_if(positive).alias("valid"),
-        F.count_if(positive & (F.col("amount") > C.EXTREME_AMOUNT)).alias("extreme"),
-        F.count_if(positive & F.col("type").isin(list(C.TYPE_CODES))).alias("encoded"),
-    ), "distinct-rows")
+    distinct = stage(distinct_rows(raw, fills), "distinct-rows")
     cap, capped = cleaning.cap_value(cleaning.drop_invalid_amounts(distinct))
-    return Prepared(raw, distinct, fills, cap, missing, {"raw": rows, **counted.get, "capped": capped})
+    return Prepared(raw, distinct, fills, cap, missing, rows, capped)
 
 
 def needed(raw: DataFrame, fills: Mapping[str, object]) -> dict[str, object]:
@@ -117,7 +121,11 @@ def clean_prepared(prepared: Prepared, strict: bool = False) -> DataFrame:
 
 
 def step_audit(raw: DataFrame, prepared: Prepared | None = None) -> DataFrame:
-    """(step, rows_in, rows_out, detail) of a cleaning run, from what it counted: no further pass."""
+    """(step, rows_in, rows_out, detail) of a cleaning run.
+
+    The raw rows were counted when gaps were looked for, and rows above the cap when it was found. (Counts taken by
+    the write itself need ``Observation``, after which this version's models can no longer be applied in the session.)
+    """
     prepared = prepared or prepare(raw)
     n, cap = prepared.rows, prepared.cap
     steps = []
