@@ -45,7 +45,11 @@ def create_report(spark: SparkSession, table: str, name: str = REPORT, temporary
 
 
 def create_queue(spark: SparkSession, table: str, name: str = QUEUE) -> str:
-    """Create the stored view ``name`` of High and Critical rows. Sort where it is read."""
+    """Create the stored view ``name`` of High and Critical rows; its full name. Sort where it is read.
+
+    The full name has the database, as a session view of the same name would hide the stored one.
+    """
+    name = f"{spark.catalog.currentDatabase()}.{name}"
     tiers = ", ".join(f"'{t}'" for t in C.QUEUE_TIERS)
     spark.sql(f"""
         CREATE OR REPLACE VIEW {name} AS
