@@ -3,8 +3,11 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from txnrisk.functions import constants as C
 from txnrisk.operators import balanced, evaluate, learn, model_tables
 from txnrisk.plans import training_run
 from txnrisk.plans.catalog import feat
@@ -211,6 +214,17 @@ def test_balanced_samples_and_forest(spark, trained):
     assert got["roc_auc"] > 0.85 and got["avg_precision"] > 0.7 * other["avg_precision"]
 
 
+def test_the_forest_keeps_node_ids_and_is_the_same(spark, sf):
+    frame = learn.training_frame(feat(spark, sf)).persist()
+    kept = learn.fit_forest(frame, trees=5).stages[-1]
+    assert kept.getOrDefault("cacheNodeIds")
+    other = RandomForestClassifier(
+        labelCol="label", weightCol="weight", numTrees=5, maxDepth=8, minInstancesPerNode=10, featureSubsetStrategy="sqrt",
+        maxBins=learn.MAX_BINS, seed=C.SEED).fit(VectorAssembler(inputCols=C.MODEL_FEATURES, outputCol="features").transform(frame))
+    trees = lambda model: model.toDebugString.split("\n", 1)[1]
+    assert trees(kept) == trees(other)
+
+
 def test_gradient_certifies_the_optimum(spark, sf, tmp_path):
     frame = learn.training_frame(feat(spark, sf)).persist()
     model = learn.fit_logistic(frame)
