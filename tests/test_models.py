@@ -11,6 +11,7 @@ from txnrisk.functions import constants as C
 from txnrisk.operators import balanced, evaluate, learn, model_tables
 from txnrisk.plans import training_run
 from txnrisk.plans.catalog import feat
+from txnrisk.session import stage
 
 SMALL = [(1, 0.9), (1, 0.8), (0, 0.7), (1, 0.6), (0, 0.55), (0, 0.4), (1, 0.3), (0, 0.2), (0, 0.1), (0, 0.1)]
 
@@ -225,6 +226,24 @@ def test_the_forest_keeps_node_ids_and_is_the_same(spark, sf):
     assert trees(kept) == trees(other)
 
 
+def test_draws_of_all_trees_at_once(spark):
+    """The stored draws are those that each tree's own expression gives, missing and repeated keys too."""
+    df = spark.range(500).selectExpr("CASE WHEN id % 50 <> 0 THEN id % 400 END AS id")
+    each = [balanced.draws("id", t).alias(f"k{t}") for t in range(4)]
+    rows = df.select(balanced.all_draws("id", 4).alias("all"), *each).collect()
+    assert len(rows) == 500 and all(list(r["all"]) == [r[f"k{t}"] for t in range(4)] for r in rows)
+
+
+def test_metric_agreement_scores_each_model_twice(spark, monkeypatch):
+    """Once for the comparison and once, stored, for the three evaluators."""
+    from txnrisk.plans import catalog
+    stored = []
+    monkeypatch.setattr(catalog, "stage", lambda df, purpose: stored.append(purpose) or stage(df, purpose))
+    rows = catalog.metric_agreement(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 3 and all(r["roc_auc"] and r["recall"] and r["precision"] for r in rows)
+    assert stored.count("evaluated") == 3
+
+
 def test_gradient_certifies_the_optimum(spark, sf, tmp_path):
     frame = learn.training_frame(feat(spark, sf)).persist()
     model = learn.fit_logistic(frame)

@@ -29,10 +29,23 @@ FITS_AT_ONCE = 4
 
 def draws(key: str | Column, tree: int | Column, seed: int = C.SEED) -> Column:
     """How often the row is in the tree's sample: where 52 bits of a hash lie among the Poisson distribution's steps."""
+    return _steps(_share(key, tree, seed))
+
+
+def all_draws(key: str | Column, trees: int, seed: int = C.SEED) -> Column:
+    """``draws`` for each tree, in order, as an array of bytes: a hash for each tree."""
+    shares = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: _share(key, tree, seed))
+    return F.transform(shares, lambda share: _steps(share).cast("byte"))
+
+
+def _share(key: str | Column, tree: int | Column, seed: int) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     tree = F.lit(tree) if isinstance(tree, int) else tree
     text = F.concat_ws(":", key.cast("string"), tree.cast("string"), F.lit(str(seed)))
-    share = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def _steps(share: Column) -> Column:
     count, reached = F.lit(0), 0.0
     for k in range(MOST_DRAWS):
         reached += math.exp(-1.0) / math.factorial(k)
@@ -68,19 +81,22 @@ def fit_balanced_forest(train: DataFrame, trees: int = 100, label: str = "isFrau
                         at_once: int = FITS_AT_ONCE) -> BalancedForest:
     """Depth 8, leaves of at least 10 rows, square-root feature subsets; ``at_once`` trees are fitted side by side.
 
-    The driver holds one number per tree and class.
+    The driver holds one number per tree and class. Draws are worked out once for all trees and stored with the
+    rows: a fit passes over its sample several times.
     """
+    plain = train.select(F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features],
+                         all_draws(key, trees, seed).alias("draws"))
+    frame = stage(VectorAssembler(inputCols=list(features), outputCol="features").transform(plain).select("label", "features", "draws"), "forest-frame")
     sizes: dict[int, dict[float, int]] = {}
-    for r in sample_sizes(train, trees, label, key, seed).collect():
+    drawn = frame.select("label", F.posexplode("draws").alias("tree", "k"))
+    for r in drawn.groupBy("tree", "label").agg(F.sum("k").alias("draws")).collect():
         sizes.setdefault(r["tree"], {})[float(r["label"])] = r["draws"]
-    plain = train.select(key, F.col(label).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features])
-    frame = stage(VectorAssembler(inputCols=list(features), outputCol="features").transform(plain).select(key, "label", "features"), "forest-frame")
 
     def fit(tree: int) -> RandomForestClassificationModel:
         own = {c: n for c, n in sizes[tree].items() if n}
         weight = F.create_map(*[F.lit(x) for c, n in own.items() for x in (c, sum(own.values()) / (len(own) * n))])
-        sample = (frame.withColumn("k", draws(key, tree, seed)).where("k > 0")
-                  .withColumn("weight", F.col("k") * weight[F.col("label")]))
+        k = F.col("draws")[tree]
+        sample = frame.where(k > 0).select("label", "features", (k * weight[F.col("label")]).alias("weight"))
         return RandomForestClassifier(
             labelCol="label", weightCol="weight", numTrees=1, bootstrap=False, subsamplingRate=1.0, maxDepth=8, minInstancesPerNode=10,
             featureSubsetStrategy="sqrt", maxBins=MAX_BINS, seed=seed + tree).fit(sample)
