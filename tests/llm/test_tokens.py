@@ -113,6 +113,15 @@ def test_plan_places_every_item(lengths):
     assert len(bins) <= simple_best_fit(lengths, 60) * 1.1 + 1
 
 
+def test_pieces_are_handed_over_in_frames_of_bounded_size():
+    """A frame has one piece more than the bound at the most, a document of many pieces too; none is lost."""
+    rows = [(str(i), k, k * 2048, 2048, bytes([i % 256]) * 8192) for i in range(10) for k in range(200)]
+    frames = list(packing._frames(iter(rows)))
+    assert max(int(f["ids"].map(len).sum()) for f in frames) <= 4_000_000 + 8192
+    assert [tuple(r) for f in frames for r in f.itertuples(index=False)] == rows
+    assert not list(packing._frames([])) and len(frames) > 1
+
+
 def test_packing_awkward_rows(spark):
     parts = packing.pieces(awkward(spark)).cache()
     assert parts.where("piece = 0").count() == 11

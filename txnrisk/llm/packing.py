@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ CAPACITY = 2048
 SALTS = 256
 #: Items of one length and part; more rows give more parts.
 ITEMS = 100_000
+#: Bytes of ids that a worker hands over at a time; frame, Arrow batch and stream each hold them once more.
+HELD = 4_000_000
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str | None = None) -> DataFrame:
@@ -33,18 +35,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path).encode
         for batch in batches:
-            rows, held = [], 0
-            for doc, raw in zip(batch["doc_id"], encode(batch["text"])):
-                raw += end
-                for k, at in enumerate(range(0, len(raw), step)):
-                    part = raw[at:at + step]
-                    rows.append((doc, k, at // 4, len(part) // 4, part))
-                    held += len(part)
-                if held > 16_000_000:
-                    yield _frame(rows)
-                    rows, held = [], 0
-            if rows:
-                yield _frame(rows)
+            yield from _frames((doc, k, at // 4, min(step, len(raw) - at) // 4, raw[at:at + step])
+                               for doc, ids in zip(batch["doc_id"], encode(batch["text"])) for raw in (ids + end,)
+                               for k, at in enumerate(range(0, len(raw), step)))
 
     # ids travel as text: pandas would turn a column with missing ids into doubles
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -53,6 +46,19 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+def _frames(rows: Iterable[tuple], most: int = HELD) -> Iterator[pd.DataFrame]:
+    """Frames of pieces in order, each of little more than ``most`` bytes of ids."""
+    some, held = [], 0
+    for row in rows:
+        some.append(row)
+        held += len(row[-1])
+        if held > most:
+            yield _frame(some)
+            some, held = [], 0
+    if some:
+        yield _frame(some)
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
 
