@@ -82,6 +82,20 @@ def test_split_is_exact_and_repeatable(spark, sf):
     assert train.select("id").intersect(test.select("id")).isEmpty()
 
 
+def test_training_rows_are_spread_by_their_number(spark, sf, monkeypatch):
+    """A partition of the training part is bounded however many rows there are, and leaves memory to the fits."""
+    seen = []
+    for name in ("fit_logistic", "fit_tree", "fit_forest"):
+        monkeypatch.setattr(learn, name, lambda frame: seen.append((frame.rdd.getNumPartitions(), frame.storageLevel.useMemory, frame.count())))
+    base = feat(spark, sf)
+    training_run.train_models(base, partitions=8)
+    monkeypatch.setattr(training_run, "PARTITION_ROWS", 100)
+    training_run.train_models(base, partitions=8)
+    training_run.train_models(base)
+    assert seen == [(8, False, 1200)] * 3 + [(12, False, 1200)] * 6
+    assert training_run.spread(100, None, 100) is None
+
+
 def test_split_of_more_than_64_classes(spark):
     df = spark.range(1400).selectExpr("id", "cast(id % 70 as int) as isFraud")
     train, test = learn.stratified_split(df)

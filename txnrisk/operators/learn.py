@@ -87,16 +87,16 @@ def split_summary(train: DataFrame, test: DataFrame, label: str = LABEL) -> Data
     return parts[0].unionByName(parts[1])
 
 
-def class_weights(df: DataFrame, label: str = LABEL) -> dict[int, float]:
-    """Balanced weights rows / (classes x rows of the class)."""
-    counts = class_counts(df, label)
+def class_weights(df: DataFrame, label: str = LABEL, counts: Mapping[int, int] | None = None) -> dict[int, float]:
+    """Balanced weights rows / (classes x rows of the class). ``counts`` are the ``class_counts`` of ``df``, if known."""
+    counts = class_counts(df, label) if counts is None else counts
     return {c: sum(counts.values()) / (len(counts) * n) for c, n in counts.items()}
 
 
 def training_frame(train: DataFrame, features: Sequence[str] = tuple(C.MODEL_FEATURES),
-                   label: str = LABEL) -> DataFrame:
+                   label: str = LABEL, counts: Mapping[int, int] | None = None) -> DataFrame:
     """Feature columns as doubles, the label and the balanced weight."""
-    weights = class_weights(train, label)
+    weights = class_weights(train, label, counts)
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])  # one expression, however many classes
     weight = F.try_element_at(table, F.col(label)) if weights else F.lit(None).cast("double")
     return train.select(*[F.col(f).cast("double").alias(f) for f in features],

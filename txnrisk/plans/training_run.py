@@ -14,6 +14,8 @@ from txnrisk.operators import evaluate, learn
 from txnrisk.session import stage
 
 MODEL_ORDER = ["Logistic Regression", "Decision Tree", "Random Forest"]
+#: Training rows of one partition. The forest keeps some 1,000 bytes of each, a partition's in one piece.
+PARTITION_ROWS = 150_000
 
 
 @dataclass(frozen=True)
@@ -24,15 +26,19 @@ class Trained:
 
 
 def train_models(df: DataFrame, key: str = "id", partitions: int | None = None) -> Trained:
-    """Split and fit the three models. The training part is kept while the fits iterate over it.
+    """Split and fit the three models. The training part is kept while the fits iterate over it, on disk:
+    memory is for the rows in the form that the fits themselves keep.
 
-    ``partitions`` spreads the training part when it comes from fewer files than cores.
+    ``partitions`` spreads the training part when it comes from fewer files than cores; large ones
+    have as many more as ``PARTITION_ROWS`` asks for.
     """
     train, test = learn.stratified_split(df, key=key)
-    frame = learn.training_frame(train)
-    if partitions:
-        frame = frame.repartition(partitions)
-    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = learn.class_counts(train)
+    frame = learn.training_frame(train, counts=counts)
+    parts = spread(sum(counts.values()), partitions, PARTITION_ROWS)
+    if parts:
+        frame = frame.repartition(parts)
+    frame = frame.persist(StorageLevel.DISK_ONLY)
     try:
         fits = [learn.fit_logistic(frame), learn.fit_tree(frame), learn.fit_forest(frame)]
     finally:
@@ -40,6 +46,12 @@ def train_models(df: DataFrame, key: str = "id", partitions: int | None = None)
     return Trained(dict(zip(MODEL_ORDER, fits)), train, test)
 
 
+def spread(rows: int, partitions: int | None, most: int) -> int | None:
+    """Partitions for ``rows``: as many as asked for, or more where they would hold over ``most`` rows; none asked for and none needed: none."""
+    needed = -(-rows // most)
+    return max(partitions or 0, needed) if partitions or needed > 1 else None
+
+
 def test_scores(trained: Trained, name: str) -> DataFrame:
     """(label, score) of one model on the test part, stored: evaluation passes over it several times."""
     scored = learn.probabilities(trained.models[name], trained.test)
