@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -122,6 +123,27 @@ def test_pieces_are_handed_over_in_frames_of_bounded_size():
     assert not list(packing._frames([])) and len(frames) > 1
 
 
+def test_a_batch_becomes_python_strings_little_by_little():
+    """Of a batch of long texts a worker turns no more into Python objects than the encoder asks for; none is lost."""
+    asked = []
+
+    class Column:
+        def __init__(self, held):
+            self.held = held
+
+        def __len__(self):
+            return len(self.held)
+
+        def slice(self, at, n):
+            asked.append(n)
+            return self.held.slice(at, n)
+
+    texts = [None if i % 7 == 0 else f"text {i}" for i in range(1000)]
+    values = packing._values(Column(pa.array(texts)))
+    assert next(values) is None and asked == [packing.ROWS] and packing.ROWS < 1000
+    assert [None, *values] == texts and not list(packing._values(pa.array([], pa.string())))
+
+
 def test_packing_awkward_rows(spark):
     parts = packing.pieces(awkward(spark)).cache()
     assert parts.where("piece = 0").count() == 11

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -17,7 +18,9 @@ SALTS = 256
 #: Items of one length and part; more rows give more parts.
 ITEMS = 100_000
 #: Bytes of ids that a worker hands over at a time; frame, Arrow batch and stream each hold them once more.
-HELD = 4_000_000
+HELD = 1_000_000
+#: Rows of an Arrow batch that become Python strings at a time.
+ROWS = 256
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str | None = None) -> DataFrame:
@@ -32,20 +35,30 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str
     end = np.asarray([end_id], ID).tobytes()
     step = 4 * capacity
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
+        kinds = pa.schema([("doc_id", pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
-            yield from _frames((doc, k, at // 4, min(step, len(raw) - at) // 4, raw[at:at + step])
-                               for doc, ids in zip(batch["doc_id"], encode(batch["text"])) for raw in (ids + end,)
-                               for k, at in enumerate(range(0, len(raw), step)))
-
-    # ids travel as text: pandas would turn a column with missing ids into doubles
+            rows = zip(_values(batch.column("doc_id")), encode(_values(batch.column("text"))))
+            for frame in _frames((doc, k, at // 4, min(step, len(raw) - at) // 4, raw[at:at + step])
+                                 for doc, ids in rows for raw in (ids + end,)
+                                 for k, at in enumerate(range(0, len(raw), step))):
+                yield pa.RecordBatch.from_pandas(frame, kinds, preserve_index=False)
+            pa.default_memory_pool().release_unused()
+
+    # ids travel as text: they may be of any type
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = plain.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids binary")
+    out = plain.mapInArrow(cut, "doc_id string, piece int, start long, length long, ids binary")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+def _values(column: pa.Array, at_once: int = ROWS) -> Iterator[str | None]:
+    """The column's values; few of them are Python objects at a time, where a batch may be 10,000 long texts."""
+    for at in range(0, len(column), at_once):
+        yield from column.slice(at, at_once).to_pylist()
+
+
 def _frames(rows: Iterable[tuple], most: int = HELD) -> Iterator[pd.DataFrame]:
     """Frames of pieces in order, each of little more than ``most`` bytes of ids."""
     some, held = [], 0
