@@ -240,6 +240,19 @@ def test_the_forest_keeps_node_ids_and_is_the_same(spark, sf):
     assert trees(kept) == trees(other)
 
 
+def test_a_large_forest_keeps_no_node_ids_and_is_the_same(spark, sf, monkeypatch):
+    """Ids are kept as long as rows x trees stay within the bound, whatever the rows."""
+    frame = learn.training_frame(feat(spark, sf)).persist()
+    kept = learn.fit_forest(frame, trees=5).stages[-1]
+    monkeypatch.setattr(learn, "KEPT_NODES", frame.count() * 5)
+    assert learn.fit_forest(frame, trees=5).stages[-1].getOrDefault("cacheNodeIds")
+    monkeypatch.setattr(learn, "KEPT_NODES", frame.count() * 5 - 1)
+    walked = learn.fit_forest(frame, trees=5).stages[-1]
+    assert not walked.getOrDefault("cacheNodeIds")
+    trees = lambda model: model.toDebugString.split("\n", 1)[1]
+    assert trees(kept) == trees(walked)
+
+
 def test_draws_of_all_trees_at_once(spark):
     """The stored draws are those that each tree's own expression gives, missing and repeated keys too."""
     df = spark.range(500).selectExpr("CASE WHEN id % 50 <> 0 THEN id % 400 END AS id")

@@ -20,6 +20,9 @@ from txnrisk.operators.quantiles import kth_smallest
 
 LABEL = "isFraud"
 MAX_BINS = 128
+#: Most node ids, one for each row and tree, that a forest's fit keeps between its levels. MLlib holds them several times over,
+#: 4 bytes each: some 1.6 GB in all.
+KEPT_NODES = 100_000_000
 # Classes whose cuts one pass finds, each as a column of its own.
 MAX_CLASSES = 64
 
@@ -133,14 +136,16 @@ def fit_forest(frame: DataFrame, features: Sequence[str] = tuple(C.MODEL_FEATURE
     """Depth 8, leaves of at least 10 rows, square-root feature subsets.
 
     Balanced weights are those of the whole training part; MLlib does not reweight
-    each bootstrap sample. The node that a row has reached in each tree is kept between levels:
-    the trees are the same, and no row walks down from their roots again at every level.
+    each bootstrap sample. The node that a row has reached in each tree is kept between levels, up to ``KEPT_NODES``:
+    the trees are the same, and no row walks down from their roots again at every level. Beyond that, rows walk:
+    kept ids would be most of the memory, and push MLlib's copy of the rows to disk at every level.
     """
+    keep = frame.count() * trees <= KEPT_NODES
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="features"),
         RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=trees, maxDepth=8,
                                minInstancesPerNode=10, featureSubsetStrategy="sqrt",
-                               maxBins=MAX_BINS, cacheNodeIds=True, seed=C.SEED),
+                               maxBins=MAX_BINS, cacheNodeIds=keep, seed=C.SEED),
     ]).fit(frame)
 
 
