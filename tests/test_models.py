@@ -253,6 +253,35 @@ def test_a_large_forest_keeps_no_node_ids_and_is_the_same(spark, sf, monkeypatch
     assert trees(kept) == trees(walked)
 
 
+def test_a_query_fits_the_models_it_names_only(spark, sf, monkeypatch):
+    """leaf_rows needs no forest, scored_transactions nothing but the forest; nothing is fitted twice."""
+    from txnrisk.plans import catalog
+    fitted = []
+    for name in ("fit_logistic", "fit_tree", "fit_forest"):
+        monkeypatch.setattr(learn, name, lambda frame, name=name, fit=getattr(learn, name): fitted.append(name) or fit(frame))
+    monkeypatch.setattr(catalog, "_trained", {})
+    monkeypatch.setattr(catalog, "_stored", {})
+    assert catalog.bootstrap_samples(spark, sf).count() == 20 and fitted == []
+    assert catalog.leaf_rows(spark, sf).first()[:] == (True, 0) and fitted == ["fit_tree"]
+    assert catalog.scored_transactions(spark, sf).count() == 300 and fitted == ["fit_tree", "fit_forest"]
+    assert [r["Model"] for r in catalog.model_comparison(spark, sf).collect()] == training_run.MODEL_ORDER
+    assert catalog.model_shapes(spark, sf).count() == 2 and fitted == ["fit_tree", "fit_forest", "fit_logistic"]
+
+
+def test_models_fitted_one_by_one_are_those_fitted_together(spark, sf):
+    base = stage(feat(spark, sf), "test-features")
+    together = training_run.train_models(base, partitions=8)
+    alone = training_run.split_parts(base)
+    for name in reversed(training_run.MODEL_ORDER):
+        alone = training_run.fit_models(alone, [name], 8)
+    assert list(alone.models) == training_run.MODEL_ORDER
+    for name in ("Decision Tree", "Random Forest"):
+        trees = [t.models[name].stages[-1].toDebugString.split("\n", 1)[1] for t in (together, alone)]
+        assert trees[0] == trees[1]
+    a, b = (t.models["Logistic Regression"].stages[-1].coefficients.toArray() for t in (together, alone))
+    assert a == pytest.approx(b, rel=1e-6)
+
+
 def test_draws_of_all_trees_at_once(spark):
     """The stored draws are those that each tree's own expression gives, missing and repeated keys too."""
     df = spark.range(500).selectExpr("CASE WHEN id % 50 <> 0 THEN id % 400 END AS id")

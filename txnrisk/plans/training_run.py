@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -13,7 +13,12 @@ from txnrisk.functions import constants as C
 from txnrisk.operators import evaluate, learn
 from txnrisk.session import stage
 
-MODEL_ORDER = ["Logistic Regression", "Decision Tree", "Random Forest"]
+FITS = {
+    "Logistic Regression": lambda frame: learn.fit_logistic(frame),
+    "Decision Tree": lambda frame: learn.fit_tree(frame),
+    "Random Forest": lambda frame: learn.fit_forest(frame),
+}
+MODEL_ORDER = list(FITS)
 #: Training rows of one partition. The forest keeps some 1,000 bytes of each, a partition's in one piece.
 PARTITION_ROWS = 150_000
 
@@ -23,27 +28,41 @@ class Trained:
     models: Mapping[str, PipelineModel]
     train: DataFrame
     test: DataFrame
+    counts: Mapping[int, int]  # rows per class of the training part
 
 
 def train_models(df: DataFrame, key: str = "id", partitions: int | None = None) -> Trained:
-    """Split and fit the three models. The training part is kept while the fits iterate over it, on disk:
-    memory is for the rows in the form that the fits themselves keep.
+    """Split and fit the three models."""
+    return fit_models(split_parts(df, key), MODEL_ORDER, partitions)
+
+
+def split_parts(df: DataFrame, key: str = "id") -> Trained:
+    """The split alone, no model fitted yet."""
+    train, test = learn.stratified_split(df, key=key)
+    return Trained({}, train, test, learn.class_counts(train))
+
+
+def fit_models(trained: Trained, names: Sequence[str] = tuple(MODEL_ORDER), partitions: int | None = None) -> Trained:
+    """``trained`` plus those of the named models that it does not have yet. A fit depends on the training part
+    alone, not on the other fits. That part is kept while the fits iterate over it, on disk: memory is for the rows
+    in the form that the fits themselves keep.
 
     ``partitions`` spreads the training part when it comes from fewer files than cores; large ones
     have as many more as ``PARTITION_ROWS`` asks for.
     """
-    train, test = learn.stratified_split(df, key=key)
-    counts = learn.class_counts(train)
-    frame = learn.training_frame(train, counts=counts)
-    parts = spread(sum(counts.values()), partitions, PARTITION_ROWS)
+    missing = [n for n in MODEL_ORDER if n in names and n not in trained.models]
+    if not missing:
+        return trained
+    frame = learn.training_frame(trained.train, counts=trained.counts)
+    parts = spread(sum(trained.counts.values()), partitions, PARTITION_ROWS)
     if parts:
         frame = frame.repartition(parts)
     frame = frame.persist(StorageLevel.DISK_ONLY)
     try:
-        fits = [learn.fit_logistic(frame), learn.fit_tree(frame), learn.fit_forest(frame)]
+        models = {**trained.models, **{n: FITS[n](frame) for n in missing}}
     finally:
         frame.unpersist()
-    return Trained(dict(zip(MODEL_ORDER, fits)), train, test)
+    return replace(trained, models={n: models[n] for n in MODEL_ORDER if n in models})
 
 
 def spread(rows: int, partitions: int | None, most: int) -> int | None:
