@@ -20,8 +20,8 @@ from txnrisk.operators.quantiles import kth_smallest
 
 LABEL = "isFraud"
 MAX_BINS = 128
-#: Most node ids, one for each row and tree, that a forest's fit keeps between its levels. MLlib holds them several times over,
-#: 4 bytes each: some 1.6 GB in all.
+#: Most node ids, one for each row and tree, that a forest's fit keeps between its levels. MLlib holds those of three levels
+#: at a time, 4 bytes each: some 1.2 GB in all.
 KEPT_NODES = 100_000_000
 # Classes whose cuts one pass finds, each as a column of its own.
 MAX_CLASSES = 64
